@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ from fleetledger.plans.model_inputs import (
     cost_features_asset,
     cost_features_unit,
 )
-from fleetledger.session import scratch_path
+from fleetledger.session import scratch_path, written_once
 from fleetledger.sources.snapshots import append_snapshot, union_history, write_results
 from fleetledger.sources.tables import (
     clean_landscape,
@@ -617,14 +618,17 @@ def cost_model_by_asset(spark, sf_dir):
     return _rounded(fit.coefs, 4, "coef", "std_err", "t")
 
 
+def _mean_prices(rows: DataFrame, subsets: list[list[str]]) -> DataFrame:
+    """Stand-in coefficients: the mean price of every value combination of the subsets, in one pass."""
+    out = [F.grouping(d).alias(f"out_{d}") for d in DIMS]
+    return rows.groupingSets(subsets, *DIMS).agg(F.round(F.avg("price"), 2).alias("coef"), *out)
+
+
 def _level_coefs(rows: DataFrame) -> DataFrame:
-    """Stand-in coefficients: the mean price of each level, and the mean of all as the constant."""
-    price = F.round(F.avg("price"), 2).alias("coef")
-    coefs = rows.agg(price).select(F.lit("const").alias("term"), "coef")
-    for dim in DIMS:
-        level = F.concat(F.lit(f"{dim}_"), F.col(dim)).alias("term")
-        coefs = coefs.unionByName(rows.groupBy(level).agg(price))
-    return coefs
+    """The mean price of each level, and the mean of all as the constant."""
+    level = [F.when(F.col(f"out_{d}") == 0, F.concat(F.lit(f"{d}_"), F.col(d))) for d in DIMS]
+    prices = _mean_prices(rows, [[], *[[d] for d in DIMS]])
+    return written_once(prices.select(F.coalesce(*level, F.lit("const")).alias("term"), "coef"), "levels")
 
 
 @query
@@ -653,14 +657,13 @@ def effects_by_segment(spark, sf_dir):
 
 
 def _lattice_coefs(rows: DataFrame) -> DataFrame:
-    """Stand-in interaction coefficients of the flag term with every subset of the dimensions."""
-    price = F.round(F.avg("price"), 2).alias("coef")
-    coefs = rows.agg(price).select(F.lit("minimumoperatinghours").alias("term"), "coef")
-    for subset in [DIMS[:1], DIMS[1:2], DIMS[2:], DIMS[:2], DIMS[1:], [DIMS[0], DIMS[2]], DIMS]:
-        parts = [F.concat(F.lit(f"dummies_const{d}_"), F.col(d)) for d in subset]
-        term = F.concat(*parts, F.lit("_minimumoperatinghours")).alias("term")
-        coefs = coefs.unionByName(rows.groupBy(term).agg(price))
-    return coefs
+    """Coefficients of the flag term and of its interactions with every subset of the dimensions."""
+    subsets = [list(s) for size in range(len(DIMS) + 1) for s in combinations(DIMS, size)]
+    parts = [
+        F.when(F.col(f"out_{d}") == 0, F.concat(F.lit(f"dummies_const{d}_"), F.col(d), F.lit("_"))) for d in DIMS
+    ]
+    term = F.concat(*[F.coalesce(p, F.lit("")) for p in parts], F.lit("minimumoperatinghours"))
+    return _mean_prices(rows, subsets).select(term.alias("term"), "coef")
 
 
 @query

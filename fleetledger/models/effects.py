@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from fleetledger.functions.aggregates import row_sum
 from fleetledger.functions.text import count_token
 from fleetledger.operators.grouping import known_keys
 from fleetledger.operators.joins import left_join
+from fleetledger.session import written_once
 
 MARKER = "dummies_const"
 FLAG_TERM = "minimumoperatinghours"
@@ -105,19 +106,21 @@ def lattice_effects(
     tagged in its name agree with the segment on a subset of k dimensions (null agrees with null),
     whatever it is tagged with elsewhere. Several terms for one subset give several rows.
     """
-    segments = segments.select(*dims).distinct()
-    tagged = tag_terms(coefs.select("term", "coef"), segments, dims, prefixes or {})
-    any_tag = reduce(lambda a, b: a | b, [F.col(d).isNotNull() for d in dims])
-    params = tagged.where(
-        (F.col("term").contains(flag_term) & any_tag) | (F.col("term") == flag_term)
-    ).withColumn("__order", count_token("term", marker))
+    segments = written_once(segments.select(*dims).distinct(), "segments")
+    coefs = written_once(coefs.select("term", "coef"), "coefficients")
+    flagged = coefs.where(F.col("term").contains(flag_term) & (F.col("term") != flag_term))
+    tagged = tag_terms(flagged, segments, dims, prefixes or {}).withColumn("__order", count_token("term", marker))
+    # Read once per subset below.
+    params = written_once(tagged.where("__order > 0"), "tagged-terms")
+
+    any_tag = reduce(or_, [F.col(d).isNotNull() for d in dims])
 
     rows, values = segments, []
     for size in range(1, len(dims) + 1):
         for subset in combinations(dims, size):
             name = f"value_{len(values)}"
             # Equal coefficients of one subset give equal rows, which count once.
-            part = params.where(F.col("__order") == size).select(*subset, F.col("coef").alias(name)).distinct()
+            part = params.where((F.col("__order") == size) & any_tag).select(*subset, F.col("coef").alias(name)).distinct()
             rows = left_join(rows, part, list(subset), null_safe=True)
             values.append(name)
     base = coefs.where(F.col("term") == flag_term).select("coef").scalar()

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -182,6 +183,8 @@ def probit(design: Design) -> FitResult:
     cats, numbers = list(design.categories), list(design.numbers)
     rows = design.frame.dropna(how="any", subset=cats) if cats else design.frame
     weighted = rows.groupBy(*cats, *numbers, design.target).agg(F.count("*").cast("double").alias("__n"))
+    # Read by the indexer, by every iteration and by the row count.
+    weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)
     stages, inputs = [], list(numbers)
     if cats:
         indexed, encoded = [f"__i_{c}" for c in cats], [f"__v_{c}" for c in cats]
@@ -201,7 +204,8 @@ def probit(design: Design) -> FitResult:
     levels = fitted.stages[0].labelsArray if cats else []
     terms = [f"{c}_{level}" for c, known in zip(cats, levels) for level in known[:-1]]
     model = fitted.stages[-1]
-    summary = model.summary
+    summary, n_rows = model.summary, int(weighted.agg(F.sum("__n")).first()[0])
+    weighted.unpersist()
     coef = [*model.coefficients.toArray(), model.intercept]
     return FitResult(
         _coefs(
@@ -213,7 +217,7 @@ def probit(design: Design) -> FitResult:
         ),
         float(model.intercept),
         None,
-        int(rows.count()),
+        n_rows,
     )
 
 

@@ -36,7 +36,7 @@ def case_event_timeline(
 ) -> DataFrame:
     """Cases of a segment created between two dates, with their subcases and maintenance events.
 
-    Newest case first. ``end`` is a point in time, midnight of that day, as the source query has it.
+    Newest case first; the ids break ties, which also lets the sort split a busy day. ``end`` is a point in time, midnight of that day, as the source query has it.
     Only the case side is filtered, and it is filtered and projected before the joins.
     """
     picked = cases.where(
@@ -61,7 +61,9 @@ def case_event_timeline(
     chained = left_join(
         chained, done, [("case_id", "event_case_number")], null_safe=False, keep_right_keys=True
     )
-    return chained.drop("case_id").orderBy(F.desc("case_created"))
+    return chained.drop("case_id").orderBy(
+        F.desc("case_created"), "case_number", "subcase_id", "event_id"
+    )
 
 
 def cost_actuals(

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -157,6 +157,14 @@ def _literal_rows(spark: SparkSession, columns: Mapping[str, Sequence]) -> DataF
     return rows.drop("id")
 
 
+def _reached_at(column: str, dates: Sequence[dt.date]) -> Column:
+    """The first of the ascending dates that is not before the value; the last one holds for the rest."""
+    reached = F.when(F.col(column) <= F.lit(dates[0]), F.lit(dates[0]))
+    for day in dates[1:-1]:
+        reached = reached.when(F.col(column) <= F.lit(day), F.lit(day))
+    return reached.otherwise(F.lit(dates[-1]))
+
+
 def contract_funnel(landscape: DataFrame, spec: FunnelSpec, as_of_dates: Sequence[dt.date]) -> DataFrame:
     """Distinct entities per as-of date, category, KPI key and stage; null counts as one entity.
 
@@ -164,25 +172,23 @@ def contract_funnel(landscape: DataFrame, spec: FunnelSpec, as_of_dates: Sequenc
     """
     dates = sorted(set(as_of_dates))
     stages = _stage_rows(first_dates(landscape, spec, dates[-1]))
-    # Number of the first as-of date an entity is counted at.
-    slot = reduce(add, [(F.col("since") > F.lit(d)).cast("int") for d in dates])
-    entered = stages.groupBy("category", "kpi", "filter", slot.alias("slot")).agg(F.count("*").alias("n"))
+    # The first as-of date an entity is counted at; dates[-1] bounds them all.
+    entered = stages.groupBy("category", "kpi", "filter", _reached_at("since", dates).alias("timestamp")).agg(
+        F.count("*").alias("n")
+    )
 
     grid = _literal_rows(
         landscape.sparkSession,
         {"category": list(spec.groups()), "kpi": list(spec.kpi_keys), "filter": STAGES, "timestamp": dates},
     )
-    position = reduce(add, [(F.col("timestamp") > F.lit(d)).cast("int") for d in dates])
     labels = F.coalesce(*[F.when(F.col("filter") == s, F.lit(c)) for s, c in spec.criteria().items()])
     # One partition per category, key and stage, with as many rows as there are as-of dates.
     so_far = (
         Window.partitionBy("category", "kpi", "filter")
-        .orderBy("slot")
+        .orderBy("timestamp")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    counted = left_join(
-        grid.withColumn("slot", position), entered, ["category", "kpi", "filter", "slot"], null_safe=False
-    )
+    counted = left_join(grid, entered, ["category", "kpi", "filter", "timestamp"], null_safe=False)
     return counted.select(
         "filter",
         F.sum(F.coalesce("n", F.lit(0))).over(so_far).alias("value"),
