@@ -478,7 +478,7 @@ def _matrix(y: str, aggregate: str) -> str:
     return f"SELECT {y}, {cells} FROM lineitem GROUP BY {y}"
 
 
-ORACLE["matrix_of_means"] = _matrix("l_suppkey", "round(avg(l_extendedprice) {0}, 4)")
+ORACLE["matrix_of_means"] = _matrix("l_suppkey", "avg(l_quantity) {0}")
 ORACLE["matrix_of_medians"] = _matrix("l_linestatus", "round(median(l_extendedprice) {0}, 4)")
 ORACLE["matrix_of_distinct_counts"] = _matrix("l_linenumber", "count(DISTINCT l_partkey) {0}")
 ORACLE["matrix_of_first_values"] = """

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetledger.operators.joins import key_join, semi
+from fleetledger.session import written_once
+
+# Each round divides the value range of a group by the number of slots.
+_MAX_ROUNDS = 64
 
 
 def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -62,52 +67,75 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
 
 
 def median_by(
-    df: DataFrame, keys: Sequence[str], column: str, alias: str = "median", slices: int = 256
+    df: DataFrame,
+    keys: Sequence[str],
+    column: str,
+    alias: str = "median",
+    group_limit: int = 1_000_000,
+    slots: int = 1024,
 ) -> DataFrame:
-    """Exact median per group, without holding the values of a group in one place.
+    """Exact median per group; missing values and NaN do not count.
 
-    Approximate quantiles (a sketch of fixed size per group) only cut each group into slices; exact
-    counts per slice then tell which slice holds the middle ranks, and only that one is ranked.
-    Equal values are collapsed into one counted row up front, so a repeated value cannot grow a slice.
+    Spark's own median keeps the values of a group in one place, so it is used for groups of at most
+    ``group_limit`` values. Larger groups are narrowed down by histograms, see ``_large_medians``.
     """
     keys = list(keys)
-    rows = known_keys(df, keys).select(*keys, F.col(column).cast("double").alias("__v"))
-    counted = rows.where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
-
-    steps = [i / slices for i in range(1, slices)]
-    cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx("__v", steps, slices * 8).alias("__cuts"), F.count("__v").alias("__total")
-    )
-    slice_no = F.size(F.filter("__cuts", lambda cut: cut < F.col("__v")))
-    placed = key_join(counted, cuts, keys, "inner", null_safe=False).select(
-        *keys, "__v", "__n", "__total", slice_no.alias("__slice")
-    )
-
-    # At most `slices` rows per group from here to the choice of the slice.
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.col("__total")
-    middle = F.array_distinct(F.array(F.floor((total - 1) / 2), F.floor(total / 2)))
-    wanted = (
-        placed.groupBy(*keys, "__slice", "__total")
-        .agg(F.sum("__n").alias("__in_slice"))
-        .withColumn("__before", F.coalesce(F.sum("__in_slice").over(before), F.lit(0)))
-        .withColumn("__rank", F.explode(middle))
-        .where("__rank >= __before AND __rank < __before + __in_slice")
-        .select(*keys, "__slice", (F.col("__rank") - F.col("__before")).alias("__rank"))
+    value = F.col(column).cast("double")
+    rows = known_keys(df, keys).select(*keys, F.when(~F.isnan(value), value).alias("__v"))
+    sizes = rows.groupBy(*keys).agg(
+        F.count("__v").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
     )
-    wanted = wanted.groupBy(*keys, "__slice").agg(F.collect_set("__rank").alias("__ranks"))
-
-    upto = Window.partitionBy(*keys, "__slice").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = key_join(placed.drop("__total"), wanted, [*keys, "__slice"], "inner", null_safe=False)
-    ranked = inside.withColumn("__upto", F.sum("__n").over(upto))
-    holds = F.filter(
-        "__ranks", lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__n"))
-    )
-    medians = (
-        ranked.withColumn("__hits", F.size(holds))
-        .where("__hits > 0")
-        .groupBy(*keys)
-        .agg((F.sum(F.col("__v") * F.col("__hits")) / F.sum("__hits")).alias(alias))
-    )
-    empty = rows.groupBy(*keys).agg(F.count("__v").alias("__total")).where("__total = 0").drop("__total")
-    return medians.unionByName(empty.withColumn(alias, F.lit(None).cast("double")))
+    largest = sizes.agg(F.max("__n")).first()[0] or 0
+    if largest <= group_limit:
+        return rows.groupBy(*keys).agg(F.median("__v").alias(alias))
+    large = written_once(sizes.where(F.col("__n") > group_limit), "large-groups")
+    side = large.select(*keys, F.lit(True).alias("__large"))
+    marked = key_join(rows, side, keys, "left", null_safe=False)
+    small = marked.where("__large IS NULL").groupBy(*keys).agg(F.median("__v").alias(alias))
+    found = _large_medians(marked.where("__large").drop("__large"), large, keys, slots)
+    return small.unionByName(found.withColumnRenamed("__median", alias))
+
+
+def _large_medians(rows: DataFrame, groups: DataFrame, keys: list[str], slots: int) -> DataFrame:
+    """Medians by repeated histograms: count the values of a group in equal slots of its range, then
+    go on inside the slot that holds the middle ranks, until its least and greatest value agree.
+
+    A round is one pass with a grouped count; no step orders or gathers the values of a group.
+    """
+    total = F.col("__n")
+    middle = {"__r1": F.floor((total - 1) / 2), "__r2": F.floor(total / 2), "__below": F.lit(0).cast("bigint")}
+    state = ["__lo", "__hi", "__r1", "__r2", "__below"]
+    open_groups = groups.withColumns(middle).select(*keys, *state)
+    # At most `slots + 1` rows per group.
+    earlier = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    finished = []
+    for _ in range(_MAX_ROUNDS):
+        in_range = key_join(rows, open_groups, keys, "inner", null_safe=False).where("__v BETWEEN __lo AND __hi")
+        slot = F.when(F.col("__lo") < F.col("__hi"), F.width_bucket("__v", "__lo", "__hi", F.lit(slots)))
+        histogram = (
+            in_range.groupBy(*keys, "__r1", "__r2", "__below", F.coalesce(slot, F.lit(0)).alias("__slot"))
+            .agg(F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+            .withColumn("__below", F.col("__below") + F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        )
+
+        def at(rank: str, name: str) -> Column:
+            holds = (F.col(rank) >= F.col("__below")) & (F.col(rank) < F.col("__below") + F.col("__n"))
+            return F.max(F.when(holds, F.col(name)))
+
+        lower, upper = at("__r1", "__max"), at("__r2", "__min")
+        # Ranks in two slots: the last value of the one and the first of the next. In one slot: its
+        # only value, or not known yet.
+        median = F.when(at("__r1", "__slot") != at("__r2", "__slot"), (lower + upper) / 2)
+        median = median.when(at("__r1", "__min") == lower, lower)
+        narrowed = histogram.groupBy(*keys, "__r1", "__r2").agg(
+            median.alias("__median"),
+            at("__r1", "__min").alias("__lo"),
+            lower.alias("__hi"),
+            at("__r1", "__below").alias("__below"),
+        )
+        narrowed = written_once(narrowed, "medians")
+        finished.append(narrowed.where("__median IS NOT NULL").select(*keys, "__median"))
+        open_groups = narrowed.where("__median IS NULL").select(*keys, *state)
+        if open_groups.isEmpty():
+            return reduce(DataFrame.unionByName, finished)
+    raise RuntimeError(f"medians not found in {_MAX_ROUNDS} rounds: are there infinite values?")

@@ -80,14 +80,18 @@ def test_median_equals_the_median_of_each_group(rows):
     data = [("hot", float(rng.randrange(50))) for _ in range(3000)]
     data += [("wide", rng.random()) for _ in range(1001)] + [("pair", 1.0), ("pair", 2.0), ("one", 7.0)]
     data += [("nothing", None), (None, 1.0), ("copies", 3.0), ("copies", 3.0), ("copies", 3.0)]
+    data += [("gap", float(v)) for v in [*range(100), *range(10**9, 10**9 + 100)]] + [("half", 1.0)] * 90 + [("half", 2.0)] * 90
+    data += [("nan", 1.0), ("nan", float("nan"))]
     groups = {}
     for key, value in data:
-        if key and value is not None:
+        if key and value is not None and value == value:
             groups.setdefault(key, []).append(value)
     want = {(k, statistics.median(v)) for k, v in groups.items()} | {("nothing", None)}
     frame = rows(data, "k string, v double").repartition(5)
-    assert as_set(median_by(frame, ["k"], "v", slices=16)) == want
     assert as_set(median_by(frame, ["k"], "v")) == want
+    # The way for large groups, first for some of them, then for all.
+    assert as_set(median_by(frame, ["k"], "v", group_limit=50, slots=16)) == want
+    assert as_set(median_by(frame, ["k"], "v", group_limit=0)) == want
 
 
 def test_search(rows):
