@@ -199,10 +199,11 @@ SELECT 'totals' AS part, NULL::VARCHAR AS contract_type, NULL::VARCHAR AS unit_s
        count(DISTINCT oracle_contract_number) AS n_contracts, count(DISTINCT unit_serial_raw) AS n_units
 FROM contracts
 UNION ALL
-SELECT 'by_type_and_status', contract_type, oracle_unit_status, count(*), NULL FROM contracts
-GROUP BY contract_type, oracle_unit_status
+SELECT 'by_type_and_status', contract_type, oracle_unit_status, count(*), count(DISTINCT unit_serial_raw)
+FROM contracts GROUP BY contract_type, oracle_unit_status
 UNION ALL
-SELECT 'selected_by_type', contract_type, NULL, count(*), NULL FROM selected GROUP BY contract_type
+SELECT 'selected_by_type', contract_type, NULL, count(*), count(DISTINCT unit_serial_raw)
+FROM selected GROUP BY contract_type
 UNION ALL
 SELECT 'selected_totals', NULL, NULL, count(DISTINCT oracle_contract_number), count(DISTINCT unit_serial_raw)
 FROM selected

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetledger.checks import standins as views
@@ -149,25 +149,7 @@ def clean_landscape_extract(spark, sf_dir):
 
 @query
 def contract_profile_counts(spark, sf_dir):
-    """The four tables of the profile under each other."""
-    parts = contract_profile(clean_landscape(_landscape(spark, sf_dir)), ["URGENT", "HIGH"])
-    none = F.lit(None).cast("string")
-
-    def rows(name: str, kind: Column, status: Column, contracts="n_contracts", units: Column | None = None):
-        return parts[name].select(
-            F.lit(name).alias("part"),
-            kind.alias("contract_type"),
-            status.alias("unit_status"),
-            F.col(contracts).alias("n_contracts"),
-            (F.lit(None).cast("bigint") if units is None else units).alias("n_units"),
-        )
-
-    return (
-        rows("totals", none, none, units=F.col("n_units"))
-        .unionByName(rows("by_type_and_status", F.col("contract_type"), F.col("oracle_unit_status")))
-        .unionByName(rows("selected_by_type", F.col("contract_type"), none))
-        .unionByName(rows("selected_totals", none, none, units=F.col("n_units")))
-    )
+    return contract_profile(clean_landscape(_landscape(spark, sf_dir)), ["URGENT", "HIGH"])
 
 
 # --- scans, text, filters ---------------------------------------------------------------------

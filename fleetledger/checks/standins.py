@@ -10,6 +10,7 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LANDSCAPE = """
 SELECT cast(o_orderkey AS string)
@@ -173,9 +174,15 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return rows.withColumns({name: F.col(name).cast("timestamp_ntz") for name in zoned}) if zoned else rows
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One test table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table; its schema is looked up in the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def sql_view(text: str) -> str:

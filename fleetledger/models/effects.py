@@ -16,6 +16,7 @@ from fleetledger.operators.grouping import known_keys
 from fleetledger.operators.joins import left_join
 from fleetledger.session import written_once
 
+# How interaction terms and the base term of the sensitivity are named.
 MARKER = "dummies_const"
 FLAG_TERM = "minimumoperatinghours"
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from fleetledger.models.design import CONST, Design, build_design, gram_stats, gram_stats_wide
 from fleetledger.operators.joins import left_join
 
-MAX_TERMS = 4096
+MAX_TERMS = 2000
 
 # Relative size below which an eigenvalue of the scaled Gram matrix counts as zero.
 _RANK_CUTOFF = 1e-10

@@ -15,7 +15,7 @@ from fleetledger.functions.text import (
     normalize_serial,
     strip_literals,
 )
-from fleetledger.operators.grouping import count_by, first_per_key
+from fleetledger.operators.grouping import first_per_key
 from fleetledger.plans.funnel import ACTIVE
 
 # Fixed value: marks serials that stand for no real unit.
@@ -41,11 +41,13 @@ def active_contracts(landscape: DataFrame) -> DataFrame:
     )
 
 
-def contract_profile(extract: DataFrame, type_terms: Sequence[str]) -> dict[str, DataFrame]:
+def contract_profile(extract: DataFrame, type_terms: Sequence[str]) -> DataFrame:
     """Counts over the active contracts of a cleaned landscape extract, one row per contract.
 
-    Of several rows of a contract the least one stays, in the order of the columns. ``type_terms``
-    select the contract types of the last two tables.
+    Rows of the result, by ``part``: ``totals``, ``by_type_and_status``, and for the contract types
+    that hold one of the terms ``selected_by_type`` and ``selected_totals``; each with its number of
+    contracts and of distinct unit serials. Of several rows of a contract the least one stays, in
+    the order of the columns. One pass: the parts are grouping sets over the contracts.
     """
     active = extract.where(F.col("oracle_contract_type") == ACTIVE).withColumns(
         {
@@ -55,20 +57,32 @@ def contract_profile(extract: DataFrame, type_terms: Sequence[str]) -> dict[str,
     )
     contracts = first_per_key(
         active, ["oracle_contract_number"], [c for c in active.columns if c != "oracle_contract_number"]
+    ).select(
+        "oracle_contract_number",
+        "unit_serial_raw",
+        "contract_type",
+        F.col("oracle_unit_status").alias("unit_status"),
+        F.coalesce(any_term("contract_type", type_terms), F.lit(False)).alias("selected"),
     )
-    selected = contracts.where(any_term("contract_type", type_terms))
-
-    def totals(rows: DataFrame) -> DataFrame:
-        return rows.agg(
-            distinct_count("oracle_contract_number", count_null=False).alias("n_contracts"),
-            distinct_count("unit_serial_raw", count_null=False).alias("n_units"),
-        )
-
-    return {
-        "totals": totals(contracts),
-        "by_type_and_status": count_by(
-            contracts, ["contract_type", "oracle_unit_status"], "oracle_contract_number", "n_contracts"
-        ),
-        "selected_by_type": count_by(selected, ["contract_type"], "oracle_contract_number", "n_contracts"),
-        "selected_totals": totals(selected),
-    }
+    by_type, by_status, by_selection = (
+        F.grouping(c) == 0 for c in ("contract_type", "unit_status", "selected")
+    )
+    part = (
+        F.when(by_status, "by_type_and_status")
+        .when(by_type, "selected_by_type")
+        .when(by_selection, "selected_totals")
+        .otherwise("totals")
+    )
+    sets = [[], ["contract_type", "unit_status"], ["selected", "contract_type"], ["selected"]]
+    counted = contracts.groupingSets(sets, "contract_type", "unit_status", "selected").agg(
+        part.alias("part"),
+        F.count("oracle_contract_number").alias("n_contracts"),
+        distinct_count("unit_serial_raw", count_null=False).alias("n_units"),
+    )
+    known = F.col("contract_type").isNotNull() & F.col("unit_status").isNotNull()
+    kept = (
+        F.when(F.col("part") == "by_type_and_status", known)
+        .when(F.col("part") == "totals", F.lit(True))
+        .otherwise(F.col("selected"))
+    )
+    return counted.where(kept).select("part", "contract_type", "unit_status", "n_contracts", "n_units")

@@ -159,10 +159,9 @@ def _literal_rows(spark: SparkSession, columns: Mapping[str, Sequence]) -> DataF
 
 def _reached_at(column: str, dates: Sequence[dt.date]) -> Column:
     """The first of the ascending dates that is not before the value; the last one holds for the rest."""
-    reached = F.when(F.col(column) <= F.lit(dates[0]), F.lit(dates[0]))
-    for day in dates[1:-1]:
-        reached = reached.when(F.col(column) <= F.lit(day), F.lit(day))
-    return reached.otherwise(F.lit(dates[-1]))
+    *early, last = [f"DATE '{day.isoformat()}'" for day in dates]
+    cases = " ".join(f"WHEN {column} <= {day} THEN {day}" for day in early)
+    return F.expr(f"CASE {cases} ELSE {last} END" if cases else last)
 
 
 def contract_funnel(landscape: DataFrame, spec: FunnelSpec, as_of_dates: Sequence[dt.date]) -> DataFrame:

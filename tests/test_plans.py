@@ -7,7 +7,7 @@ from conftest import as_list, as_set
 from pyspark.sql import functions as F
 
 from fleetledger.functions.dates import as_of_dates
-from fleetledger.plans.contracts import active_contracts
+from fleetledger.plans.contracts import active_contracts, contract_profile
 from fleetledger.plans.costs import (
     cost_actuals,
     enrich_with_margin,
@@ -179,6 +179,25 @@ def test_active_contracts(rows):
     assert got.count() == 2
 
 
+def test_contract_profile_null_rules(rows):
+    schema = ("oracle_contract_number string, contract_type string, oracle_contract_type string, oracle_unit_status string, "
+              "unit_serial_raw string, engine_serial_raw string")
+    data = [
+        ("1", "MSA A", "ACTIVE", "x", "JEN-2", None), ("1", "MSA A", "ACTIVE", "x", "GEJ-1", None),
+        ("2", "MSA A", "ACTIVE", "y", "1", None), ("3", "OTHER", "ACTIVE", "x", None, None),
+        ("4", None, "ACTIVE", "x", "9", None), ("5", "MSA B", "CLOSED", "x", "7", None),
+        (None, "MSA A", "ACTIVE", "x", "8", None),
+    ]
+    assert as_set(contract_profile(rows(data, schema), ["MSA"])) == {
+        ("totals", None, None, 4, 3),
+        ("by_type_and_status", "MSA A", "x", 1, 2),
+        ("by_type_and_status", "MSA A", "y", 1, 1),
+        ("by_type_and_status", "OTHER", "x", 1, 0),
+        ("selected_by_type", "MSA A", None, 2, 2),
+        ("selected_totals", None, None, 2, 2),
+    }
+
+
 def test_unit_financials_null_and_zero_rules(rows):
     schema = "unit_period date, unit_serial string, contract_number string, cost double, billings double, ic_cost double"
     day = dt.date(2023, 5, 1)
