@@ -17,26 +17,26 @@ from fleetledger import build_session  # noqa: E402
 from fleetledger.checks.registry import QUERIES  # noqa: E402
 
 HEADLINE = (
-    "contract_funnel_24_months",
-    "fleet_status_matrix",
-    "funnel_member_lists",
-    "active_contract_rows",
-    "contract_profile_counts",
-    "counter_bounds_by_month",
-    "counter_bounds_with_ties",
+    "contract_funnel",
+    "fleet_status",
+    "funnel_members",
+    "active_contracts",
+    "contract_profile",
+    "counter_bounds_one",
+    "counter_bounds_all",
     "case_timeline",
-    "cost_actuals_by_request",
-    "unit_financials_by_year",
-    "margin_by_region_industry_gas",
-    "cost_features_by_asset_year",
-    "cost_features_by_asset_month",
-    "matrices_of_sums",
-    "matrix_of_medians",
-    "gram_cells",
-    "cost_model_by_asset",
-    "effects_by_segment",
-    "lattice_effects_by_segment",
-    "column_search",
+    "cost_actuals",
+    "unit_financials",
+    "margin_by_segment",
+    "cost_features_asset",
+    "cost_features_month",
+    "comparison_matrices",
+    "matrix_median",
+    "gram_stats",
+    "cost_model_asset",
+    "segment_effects",
+    "lattice_effects",
+    "search_columns",
 )
 
 

@@ -91,7 +91,7 @@ def _with_labels(sql: str, labels: str) -> str:
     return sql.replace("categorised AS (", f"{labels}, categorised AS (", 1)
 
 
-ORACLE["contract_funnel_24_months"] = _with_labels(_funnel(_months("2001-11-01", 24), _ONE_TYPE), _LABELS)
+ORACLE["contract_funnel"] = _with_labels(_funnel(_months("2001-11-01", 24), _ONE_TYPE), _LABELS)
 ORACLE["contract_funnel_grouped_types"] = _with_labels(
     _funnel(
         _months("2001-11-01", 6),
@@ -101,9 +101,9 @@ ORACLE["contract_funnel_grouped_types"] = _with_labels(
     "labels AS (SELECT * FROM (VALUES ('1-URGENT', '1-URGENT'), ('1-URGENT', '2-HIGH'), ('2-HIGH', '2-HIGH')) "
     "v(label, member))",
 )
-ORACLE["kpi_run_history"] = _with_labels(_funnel(_months("2001-11-01", 25), _ONE_TYPE), _LABELS)
+ORACLE["kpi_run"] = _with_labels(_funnel(_months("2001-11-01", 25), _ONE_TYPE), _LABELS)
 
-ORACLE["funnel_member_lists"] = f"""
+ORACLE["funnel_members"] = f"""
 {_FLAGS},
 due AS (
   SELECT * FROM flags WHERE commissioning <= DATE '2000-06-30'
@@ -144,7 +144,16 @@ due AS (
 """
 
 
-ORACLE["fleet_status_matrix"] = _fleet_status()
+ORACLE["fleet_status"] = _fleet_status()
+
+ORACLE["kpi_metadata"] = f"""
+SELECT kpi, "timestamp", total, operationalization FROM ({ORACLE["fleet_status"]}) JOIN (VALUES
+  ('active_contracts', 'contract status:|ACTIVE'),
+  ('active_units', 'contract status:, unit status:|ACTIVE|ACTIVE'),
+  ('active_units_not_unit_level', 'contract status:, unit status:, unit in exempt group:|ACTIVE|ACTIVE|#000000001|small ring|atlantis'),
+  ('active_units_commissioned', 'contract status:, unit status:, installed-base status:|ACTIVE|ACTIVE|Active|Standby')
+) criteria(kpi, operationalization) USING (kpi)
+"""
 
 # --- contracts --------------------------------------------------------------------------------
 
@@ -158,7 +167,7 @@ def _serial(column: str) -> str:
 
 _SHORT_NUMBER = "regexp_replace(contract_number, '(_EXP[1-6]|_EXP|_REP|_OLD)', '', 'g')"
 
-ORACLE["active_contract_rows"] = f"""
+ORACLE["active_contracts"] = f"""
 {_with(landscape=views.LANDSCAPE)}
 SELECT DISTINCT contract_number, quote_number, contract_type AS oracle_contract_type, contract_type2,
        contract_status, contract_name, customer_name, country, unit_status AS oracle_unit_status, ib_status,
@@ -174,10 +183,10 @@ SELECT {_SHORT_NUMBER} AS oracle_contract_number, quote_number, contract_type,
        unit_serial_raw, engine_serial_raw, eot_date
 FROM landscape
 """
-ORACLE["clean_landscape_extract"] = f"{_with(landscape=views.LANDSCAPE)} {_EXTRACT}"
+ORACLE["clean_landscape"] = f"{_with(landscape=views.LANDSCAPE)} {_EXTRACT}"
 
 _STRIPPED = "replace(replace({0}, 'GEJ-', ''), 'JEN-', '')"
-ORACLE["contract_profile_counts"] = f"""
+ORACLE["contract_profile"] = f"""
 {_with(landscape=views.LANDSCAPE)},
 extract AS ({_EXTRACT}),
 active AS (
@@ -212,17 +221,17 @@ FROM selected
 # --- scans, text, filters ---------------------------------------------------------------------
 
 ORACLE["full_scan"] = "SELECT * FROM orders"
-ORACLE["counter_readings"] = f"""
+ORACLE["load_counters"] = f"""
 {_with(counters=views.COUNTERS)}
 SELECT * FROM counters WHERE counter_type = 'view' AND source = 'HISTORY'
 """
-ORACLE["head_of_transactions"] = """
+ORACLE["head_rows"] = """
 SELECT * FROM lineitem
 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
          l_returnflag, l_linestatus, l_shipdate
 LIMIT 100
 """
-ORACLE["financials_from_csv"] = sql_view(views.FINANCIALS)
+ORACLE["financials_csv"] = sql_view(views.FINANCIALS)
 ORACLE["serial_numbers"] = f"""
 {_with(landscape=views.LANDSCAPE)}
 SELECT DISTINCT unit_serial_raw, engine_serial_raw, {_serial('unit_serial_raw')} AS usn,
@@ -244,12 +253,12 @@ def _column_search(columns: list[str], table: str, pattern: str) -> str:
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n_matches > 0"
 
 
-ORACLE["column_search"] = _column_search(["doc_id", "text", "lang", "source", "n_chars"], "documents", "and")
-ORACLE["rows_with_text"] = """
+ORACLE["search_columns"] = _column_search(["doc_id", "text", "lang", "source", "n_chars"], "documents", "and")
+ORACLE["matching_rows"] = """
 SELECT * FROM part WHERE regexp_matches(p_name, 'ring|promo', 'i') OR regexp_matches(p_type, 'ring|promo', 'i')
    OR regexp_matches(p_brand, 'ring|promo', 'i')
 """
-ORACLE["keyword_columns"] = """
+ORACLE["first_keyword"] = """
 SELECT *,
   CASE WHEN contains(p_name, 'ring') THEN 'ring' WHEN contains(p_name, 'bolt') THEN 'bolt'
        WHEN contains(p_name, 'widget') THEN 'widget' END AS shape,
@@ -257,11 +266,11 @@ SELECT *,
        WHEN contains(p_name, 'red') THEN 'red' END AS size_word
 FROM part
 """
-ORACLE["any_term_rows"] = """
+ORACLE["any_term"] = """
 SELECT p_partkey, p_name, p_type FROM part
 WHERE regexp_matches(lower(p_name), 'ring|bolt') OR regexp_matches(upper(p_type), 'PROMO')
 """
-ORACLE["text_classes"] = """
+ORACLE["text_class"] = """
 SELECT doc_id, (contains(upper(text), 'AND ') OR contains(upper(text), 'THE '))
        AND NOT contains(upper(text), 'THERE') AND NOT contains(upper(text), 'ANDS') AS in_class
 FROM documents
@@ -269,43 +278,43 @@ FROM documents
 
 # --- joins and sets ---------------------------------------------------------------------------
 
-ORACLE["null_safe_left_join"] = f"""
+ORACLE["left_join"] = f"""
 {_with(operating=views.OPERATING, costs=views.ASSET_COSTS_YEAR)}
 SELECT o.asset_id, o.year, o.month, actual_hours, round(amount_eur, 2) AS amount_eur
 FROM operating o LEFT JOIN costs c
   ON o.asset_id IS NOT DISTINCT FROM c.asset_id AND o.year IS NOT DISTINCT FROM c.year
 """
-ORACLE["units_in_set"] = f"{_FLAGS} SELECT contract_number, unit_serial, commissioning FROM flags WHERE ex"
-ORACLE["units_not_in_set"] = f"{_FLAGS} SELECT contract_number, unit_serial, commissioning FROM flags WHERE NOT ex"
+ORACLE["semi_join"] = f"{_FLAGS} SELECT contract_number, unit_serial, commissioning FROM flags WHERE ex"
+ORACLE["anti_join"] = f"{_FLAGS} SELECT contract_number, unit_serial, commissioning FROM flags WHERE NOT ex"
 
 _DAILY = """
 daily AS (
   SELECT CAST(o_orderdate AS DATE) AS day, o_orderstatus AS kpi, count(*) AS "value" FROM orders
   GROUP BY CAST(o_orderdate AS DATE), o_orderstatus
 )"""
-ORACLE["history_union"] = f"""
+ORACLE["union_history"] = f"""
 WITH {_DAILY}
 SELECT day, kpi, "value", NULL::VARCHAR AS note FROM daily WHERE day >= DATE '1998-01-01'
 UNION ALL
 SELECT day, kpi, -"value", 'old' FROM daily WHERE day < DATE '1998-01-01'
 """
-ORACLE["snapshot_history"] = f"""
+ORACLE["snapshot_roundtrip"] = f"""
 WITH {_DAILY}
 SELECT * FROM daily WHERE day >= DATE '1994-06-01' AND day < DATE '2001-01-01'
 """
-ORACLE["distinct_counts"] = f"""
+ORACLE["distinct_count"] = f"""
 {_with(landscape=views.LANDSCAPE)}
 SELECT contract_type, count(DISTINCT unit_serial) + max(CASE WHEN unit_serial IS NULL THEN 1 ELSE 0 END)
          AS with_null,
        count(DISTINCT unit_serial) AS without_null
 FROM landscape GROUP BY contract_type
 """
-ORACLE["grouped_counts"] = f"""
+ORACLE["count_by"] = f"""
 {_with(landscape=views.LANDSCAPE)}
 SELECT contract_type, unit_serial, count(commissioning) AS n FROM landscape
 WHERE contract_type IS NOT NULL AND unit_serial IS NOT NULL GROUP BY contract_type, unit_serial
 """
-ORACLE["hours_range"] = f"""
+ORACLE["range_profile"] = f"""
 {_with(operating=views.OPERATING)}
 SELECT gas_type_formatted, min(actual_hours) AS min_actual_hours, max(actual_hours) AS max_actual_hours
 FROM operating WHERE start_year = 1996 AND gas_type_formatted IS NOT NULL GROUP BY gas_type_formatted
@@ -315,8 +324,8 @@ top AS (
   SELECT end_hours, count(*) AS n_rows FROM operating WHERE end_hours IS NOT NULL GROUP BY end_hours
   ORDER BY n_rows DESC, end_hours LIMIT 25
 )"""
-ORACLE["top_end_hours"] = f"{_with(operating=views.OPERATING)}, {_TOP} SELECT * FROM top"
-ORACLE["rows_of_top_values"] = f"""
+ORACLE["top_values"] = f"{_with(operating=views.OPERATING)}, {_TOP} SELECT * FROM top"
+ORACLE["keep_top_values"] = f"""
 {_with(operating=views.OPERATING)}, {_TOP}
 SELECT engine_type, end_hours, count(*) AS n FROM operating WHERE end_hours IN (SELECT end_hours FROM top)
 GROUP BY engine_type, end_hours
@@ -342,8 +351,8 @@ FROM span s
 
 
 ORACLE["counter_bounds_by_day"] = _bounds(["year", "month", "day"])
-ORACLE["counter_bounds_by_month"] = _bounds(["year", "month"])
-ORACLE["counter_bounds_with_ties"] = f"""
+ORACLE["counter_bounds_one"] = _bounds(["year", "month"])
+ORACLE["counter_bounds_all"] = f"""
 {_with(counters=views.COUNTERS)},
 readings AS (
   SELECT asset_id, year(ts) AS year, month(ts) AS month, day(ts) AS day, ts, counter_value,
@@ -368,7 +377,7 @@ WHERE c.created >= '1996-01-01' AND c.created <= '1999-12-31' AND segment LIKE '
   AND site_customer IS NOT NULL AND site_name <> 'Training Center'
 ORDER BY c.created DESC
 """
-ORACLE["cost_actuals_by_request"] = f"""
+ORACLE["cost_actuals"] = f"""
 {_with(trx=views.TRANSACTIONS, coa=views.ACCOUNTS)}
 SELECT service_request_number, sub_division, cost_category, project_code, fiscal_period, ledger, account_dd,
        hierarchy_1, hierarchy_2, hierarchy_3, alt_hierarchy, round(sum(amount_eur), 2) AS amt_eur_trx
@@ -381,7 +390,7 @@ _TRX_COLUMNS = (
     "account, account_dd, amount_eur, business_segment, cost_category, fiscal_period, ledger, line, order_key, "
     "part_key, project_code, service_request_number, service_request_ref, sub_division"
 )
-ORACLE["cost_detail_head"] = f"""
+ORACLE["cost_detail"] = f"""
 {_with(trx=views.TRANSACTIONS, coa=views.ACCOUNTS)}
 SELECT trx.*, coa.account AS coa_account, hierarchy_1 AS coa_hierarchy_1, hierarchy_2 AS coa_hierarchy_2,
        hierarchy_3 AS coa_hierarchy_3, alt_hierarchy AS coa_alt_hierarchy, account_type AS coa_account_type
@@ -400,7 +409,7 @@ raw AS (
 ),
 fin AS (SELECT *, (billings - cost) / nullif(billings, 0) AS cm FROM raw)"""
 _ROUNDED_FIN = "round(cost, 4) AS cost, round(billings, 4) AS billings, round(ic_cost, 4) AS ic_cost, round(cm, 6) AS cm"
-ORACLE["unit_financials_by_year"] = f"""
+ORACLE["unit_financials"] = f"""
 {_with(financials=views.FINANCIALS)}, {_FINANCIALS}
 SELECT unit_serial, contract_number, billing_year, {_ROUNDED_FIN} FROM fin
 """
@@ -408,18 +417,18 @@ _ENRICHED = """
 base LEFT JOIN fin ON base.unit_serial IS NOT DISTINCT FROM fin.unit_serial
  AND base.contract_number IS NOT DISTINCT FROM fin.contract_number
  AND base.year IS NOT DISTINCT FROM fin.billing_year"""
-ORACLE["rows_with_margin"] = f"""
+ORACLE["enrich_with_margin"] = f"""
 {_with(financials=views.FINANCIALS, base=views.MARGIN_BASE)}, {_FINANCIALS}
 SELECT base.*, {_ROUNDED_FIN} FROM {_ENRICHED}
 """
-ORACLE["margin_by_region_industry_gas"] = f"""
+ORACLE["margin_by_segment"] = f"""
 {_with(financials=views.FINANCIALS, base=views.MARGIN_BASE)}, {_FINANCIALS}
 SELECT service_region, industry, gas_type, round(avg(cm), 6) AS cm FROM {_ENRICHED}
 WHERE gas_type IS NOT NULL GROUP BY service_region, industry, gas_type
 """
 
 _HOURS = "CAST(CAST(start_hours AS BIGINT) AS VARCHAR) || CAST(CAST(end_hours AS BIGINT) AS VARCHAR) AS category"
-ORACLE["cost_features_by_unit"] = f"""
+ORACLE["cost_features_unit"] = f"""
 {_with(operating=views.OPERATING, unit_costs=views.UNIT_COSTS)},
 costs AS (
   SELECT unit_serial, sum(amount_eur) AS amount_eur FROM unit_costs
@@ -454,8 +463,8 @@ FROM joined o WHERE run_time > 0 AND amount_eur IS NOT NULL AND gas_type_formatt
 
 
 _YEAR_END = "make_date(o.year, 12, 31)"
-ORACLE["cost_features_by_asset_year"] = _asset_features(False, _YEAR_END)
-ORACLE["cost_features_by_asset_month"] = _asset_features(True, _YEAR_END)
+ORACLE["cost_features_asset"] = _asset_features(False, _YEAR_END)
+ORACLE["cost_features_month"] = _asset_features(True, _YEAR_END)
 ORACLE["cost_features_to_month_end"] = _asset_features(True, "last_day(make_date(o.year, o.month, 1))")
 
 # --- reshaping --------------------------------------------------------------------------------
@@ -479,10 +488,10 @@ def _matrix(y: str, aggregate: str) -> str:
     return f"SELECT {y}, {cells} FROM lineitem GROUP BY {y}"
 
 
-ORACLE["matrix_of_means"] = _matrix("l_suppkey", "avg(l_quantity) {0}")
-ORACLE["matrix_of_medians"] = _matrix("l_linestatus", "round(median(l_extendedprice) {0}, 4)")
-ORACLE["matrix_of_distinct_counts"] = _matrix("l_linenumber", "count(DISTINCT l_partkey) {0}")
-ORACLE["matrix_of_first_values"] = """
+ORACLE["comparison_matrix"] = _matrix("l_suppkey", "avg(l_quantity) {0}")
+ORACLE["matrix_median"] = _matrix("l_linestatus", "round(median(l_extendedprice) {0}, 4)")
+ORACLE["matrix_nunique"] = _matrix("l_linenumber", "count(DISTINCT l_partkey) {0}")
+ORACLE["matrix_first"] = """
 WITH ranked AS (
   SELECT l_suppkey, l_returnflag, l_quantity, row_number() OVER (
     PARTITION BY l_suppkey, l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity) AS place
@@ -493,7 +502,7 @@ SELECT l_suppkey, max(l_quantity) FILTER (WHERE l_returnflag = 'A') AS l_returnf
        max(l_quantity) FILTER (WHERE l_returnflag = 'R') AS l_returnflag_R
 FROM ranked WHERE place = 1 GROUP BY l_suppkey
 """
-ORACLE["matrices_of_sums"] = f"""
+ORACLE["comparison_matrices"] = f"""
 WITH rows_in AS (
   SELECT l_suppkey, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag END AS flag, l_linenumber AS line,
          CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_quantity END AS quantity
@@ -503,7 +512,7 @@ SELECT l_suppkey, {_cells('flag', _FLAG_VALUES, 'coalesce(sum(quantity) {0}, 0)'
        {_cells('line', [1, 2, 3, 4, 5, 6, 7], 'coalesce(sum(quantity) {0}, 0)', 'line')}
 FROM rows_in GROUP BY l_suppkey
 """
-ORACLE["matrices_of_deviations"] = f"""
+ORACLE["matrices_std"] = f"""
 SELECT l_suppkey, {_cells('l_returnflag', _FLAG_VALUES, 'round(stddev_samp(l_quantity) {0}, 5)', 'l_returnflag')},
        {_cells('l_linestatus', _LINE_VALUES, 'round(stddev_samp(l_quantity) {0}, 5)', 'l_linestatus')}
 FROM lineitem GROUP BY l_suppkey
@@ -522,10 +531,10 @@ def _grid(variable: str) -> str:
     )
 
 
-ORACLE["prediction_grids"] = (
+ORACLE["display_grids"] = (
     f"{_with(predictions=views.PREDICTIONS)} {_grid('amount')} UNION ALL {_grid('n_orders')}"
 )
-ORACLE["long_form"] = " UNION ALL ".join(
+ORACLE["unpivot_metrics"] = " UNION ALL ".join(
     f"SELECT l_orderkey, l_linenumber, l_partkey, '{v}' AS variable, {x} AS \"value\" FROM lineitem"
     for v, x in {
         "l_quantity": "l_quantity",
@@ -542,7 +551,7 @@ def _indicators(column: str, values: list, prefix: str) -> str:
 
 
 _PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-ORACLE["indicator_columns"] = f"""
+ORACLE["one_hot"] = f"""
 WITH rows_in AS (
   SELECT p_partkey, p_type, CASE WHEN p_size > 20 THEN NULL ELSE p_size % 3 END AS size_class FROM part
 )
@@ -550,12 +559,12 @@ SELECT p_partkey, {_indicators('p_type', _PART_TYPES, 'p_type')},
        {_indicators('size_class', [0, 1, 2], 'size_class')}
 FROM rows_in
 """
-ORACLE["list_combinations"] = """
+ORACLE["explode_combinations"] = """
 WITH words AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, p_brand, p_type FROM part)
 SELECT p_partkey, word, p_brand AS attribute FROM words
 UNION ALL SELECT p_partkey, word, p_type FROM words
 """
-ORACLE["interaction_sums"] = "SELECT " + ", ".join(
+ORACLE["interaction_terms"] = "SELECT " + ", ".join(
     f"count(*) FILTER (WHERE l_returnflag = '{g}' AND l_linestatus = '{s}') AS dummies_constline_{s}_gas_{g}"
     for g in _FLAG_VALUES
     for s in _LINE_VALUES
@@ -582,7 +591,7 @@ def _indicator(column: str, value: str) -> str:
     return f"(CASE WHEN {column} = '{value}' THEN 1 ELSE 0 END)"
 
 
-ORACLE["gram_cells"] = f"""
+ORACLE["gram_stats"] = f"""
 WITH rows_in AS (
   SELECT *, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag END AS flag FROM lineitem
 )
@@ -592,7 +601,7 @@ WITH rows_in AS (
     'const': '1', 'l_quantity': 'l_quantity', 'l_tax': 'l_tax',
 }, 3)}
 """
-ORACLE["gram_cells_of_wide_design"] = _gram(
+ORACLE["gram_stats_wide"] = _gram(
     "lineitem",
     {
         "gas_A": _indicator("l_returnflag", "A"),
@@ -604,7 +613,7 @@ ORACLE["gram_cells_of_wide_design"] = _gram(
     0,
 )
 # One factor with k levels next to a constant: const = sum of group means / (k + 1), the rest follows.
-ORACLE["ols_one_factor"] = """
+ORACLE["ols_factor"] = """
 WITH g AS (
   SELECT l_returnflag AS level, avg(l_extendedprice) AS m, CAST(count(*) AS DOUBLE) AS n,
          var_pop(l_extendedprice) * count(*) AS sse
@@ -630,9 +639,9 @@ SELECT 'const' AS term, round(regr_intercept(l_extendedprice, {0}), 4) AS coef,
 UNION ALL
 SELECT '{0}', round(regr_slope(l_extendedprice, {0}), 4), round(regr_r2(l_extendedprice, {0}), 8) FROM lineitem
 """
-ORACLE["ols_one_number"] = _LINE_FIT.format("l_quantity")
-ORACLE["ols_wide_number"] = _LINE_FIT.format("l_discount")
-ORACLE["ridge_one_number"] = """
+ORACLE["ols_simple"] = _LINE_FIT.format("l_quantity")
+ORACLE["ols_wide"] = _LINE_FIT.format("l_discount")
+ORACLE["ridge_simple"] = """
 WITH m AS (
   SELECT regr_sxy(l_extendedprice, l_discount) AS sxy, regr_sxx(l_extendedprice, l_discount) AS sxx,
          regr_syy(l_extendedprice, l_discount) AS syy, avg(l_extendedprice) AS y, avg(l_discount) AS x
@@ -645,9 +654,27 @@ UNION ALL
 SELECT 'const', round(y - w * x, 4), round(r2, 8) FROM r
 """
 
+
+
+def _level_totals(features: str, categories: list[str]) -> str:
+    parts = ["SELECT 'const' AS term, round(sum(amount_eur), 2) AS target_total, 1.0::DOUBLE AS explained FROM f"]
+    parts += [
+        f"SELECT '{c}_' || {c}, round(sum(amount_eur), 2), 1.0::DOUBLE FROM f GROUP BY {c}" for c in categories
+    ]
+    return f"WITH f AS (SELECT * FROM ({features})) {' UNION ALL '.join(parts)}"
+
+
+_ASSET_LEVELS = ["engine_type", "engine_version", "gas_type_formatted", "industry", "subregion", "year"]
+_ASSET_LEVELS += ["start_year", "category"]
+ORACLE["cost_model_asset"] = _level_totals(ORACLE["cost_features_asset"], _ASSET_LEVELS)
+ORACLE["cost_model_month"] = _level_totals(ORACLE["cost_features_month"], [*_ASSET_LEVELS, "month"])
+ORACLE["cost_model_unit"] = _level_totals(
+    ORACLE["cost_features_unit"], ["engine_type", "gas_type", "start_year", "category", "year"]
+)
+
 _SEGMENTS = _with(cells=views.SEGMENT_ROWS)
 _PRICE = "round(avg(price), 2)"
-ORACLE["segment_scores"] = f"""
+ORACLE["score_segments"] = f"""
 {_SEGMENTS},
 r AS (SELECT region, {_PRICE} AS w FROM cells GROUP BY region),
 g AS (SELECT gas, {_PRICE} AS w FROM cells GROUP BY gas),
@@ -657,7 +684,7 @@ SELECT s.region, s.gas, s.industry, round(base.w + r.w + g.w + i.w, 2) AS predic
 FROM (SELECT DISTINCT region, gas, industry FROM cells) s
 JOIN r ON r.region = s.region JOIN g ON g.gas = s.gas LEFT JOIN i ON i.industry = s.industry CROSS JOIN base
 """
-ORACLE["effects_by_segment"] = f"""
+ORACLE["segment_effects"] = f"""
 {_SEGMENTS} SELECT region, gas, industry, {_PRICE} AS "value" FROM cells GROUP BY region, gas, industry
 """
 
@@ -681,8 +708,8 @@ FROM (SELECT DISTINCT region, gas, industry FROM cells) s {joins}
 """
 
 
-ORACLE["lattice_effects_by_segment"] = _lattice()
-ORACLE["sums_by_unit"] = f"""
+ORACLE["lattice_effects"] = _lattice()
+ORACLE["sum_or_zero"] = f"""
 {_with(financials=views.FINANCIALS)}
 SELECT unit_serial,
        round(coalesce(sum(CASE WHEN unit_period < DATE '2001-01-01' THEN NULL ELSE cost END), 0), 4) AS cost

@@ -53,11 +53,21 @@ from fleetledger.plans.costs import (
     unit_financials,
 )
 from fleetledger.plans.counters import counter_bound_readings, counter_period_bounds
-from fleetledger.plans.funnel import Exemptions, FunnelSpec, contract_funnel, fleet_status, funnel_members
+from fleetledger.plans.funnel import (
+    Exemptions,
+    FunnelSpec,
+    contract_funnel,
+    fleet_status,
+    funnel_members,
+    kpi_metadata,
+)
 from fleetledger.plans.kpi_run import KpiRun, run_kpis
 from fleetledger.plans.model_inputs import (
     ASSET_CATEGORIES,
     ASSET_NUMBERS,
+    MONTH_CATEGORIES,
+    UNIT_CATEGORIES,
+    UNIT_NUMBERS,
     cost_features_asset,
     cost_features_unit,
 )
@@ -87,9 +97,12 @@ DIMS = ["region", "gas", "industry"]
 QUERIES: dict[str, Query] = {}
 
 
-def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
-    return run
+def query(name: str) -> Callable[[Query], Query]:
+    def register(run: Query) -> Query:
+        QUERIES[name] = run
+        return run
+
+    return register
 
 
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -103,29 +116,40 @@ def _landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- funnel and fleet -------------------------------------------------------------------------
 
 
-@query
+@query("contract_funnel")
 def contract_funnel_24_months(spark, sf_dir):
     return contract_funnel(_landscape(spark, sf_dir), SPEC, as_of_dates(BASE_DATE))
 
 
-@query
+@query("contract_funnel_grouped_types")
 def contract_funnel_grouped_types(spark, sf_dir):
     return contract_funnel(_landscape(spark, sf_dir), TWO_TYPES, as_of_dates(BASE_DATE, 6))
 
 
-@query
+@query("funnel_members")
 def funnel_member_lists(spark, sf_dir):
     return funnel_members(_landscape(spark, sf_dir), SPEC, dt.date(2000, 6, 30))
 
 
-@query
+@query("fleet_status")
 def fleet_status_matrix(spark, sf_dir):
     return fleet_status(
         _landscape(spark, sf_dir), dt.date(2001, 10, 1), TYPES, ("Active", "Standby"), EXEMPT, TYPE_LABELS
     )
 
 
-@query
+@query("kpi_metadata")
+def fleet_status_with_criteria(spark, sf_dir):
+    """The totals of the fleet status next to the criteria behind them."""
+    day, ib_types = dt.date(2001, 10, 1), ("Active", "Standby")
+    status = fleet_status(_landscape(spark, sf_dir), day, TYPES, ib_types, EXEMPT)
+    criteria = kpi_metadata(spark, day, ib_types, EXEMPT)
+    return left_join(status.select("kpi", "timestamp", "total"), criteria, ["kpi", "timestamp"]).withColumn(
+        "operationalization", F.array_join("operationalization", "|")
+    )
+
+
+@query("kpi_run")
 def kpi_run_history(spark, sf_dir):
     """Two monthly runs into one archive; the second one's appended funnel."""
     run = KpiRun(scratch_path(spark, "kpi-run"), SPEC, TYPES)
@@ -137,17 +161,17 @@ def kpi_run_history(spark, sf_dir):
 # --- contracts --------------------------------------------------------------------------------
 
 
-@query
+@query("active_contracts")
 def active_contract_rows(spark, sf_dir):
     return active_contracts(_landscape(spark, sf_dir))
 
 
-@query
+@query("clean_landscape")
 def clean_landscape_extract(spark, sf_dir):
     return clean_landscape(_landscape(spark, sf_dir))
 
 
-@query
+@query("contract_profile")
 def contract_profile_counts(spark, sf_dir):
     return contract_profile(clean_landscape(_landscape(spark, sf_dir)), ["URGENT", "HIGH"])
 
@@ -155,25 +179,25 @@ def contract_profile_counts(spark, sf_dir):
 # --- scans, text, filters ---------------------------------------------------------------------
 
 
-@query
+@query("full_scan")
 def full_scan(spark, sf_dir):
     catalog = {"gl_transactions": {"format": "parquet", "path": f"{sf_dir}/orders.parquet"}}
     return load_table(spark, "gl_transactions", catalog)
 
 
-@query
+@query("load_counters")
 def counter_readings(spark, sf_dir):
     return load_counter_readings(view(spark, sf_dir, views.COUNTERS), "view", "HISTORY")
 
 
-@query
+@query("head_rows")
 def head_of_transactions(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     return head_rows(rows, 100, ["l_orderkey", "l_linenumber", *[c for c in rows.columns if c not in (
         "l_orderkey", "l_linenumber")]])
 
 
-@query
+@query("financials_csv")
 def financials_from_csv(spark, sf_dir):
     """The financials written as CSV and read back with their schema."""
     rows = view(spark, sf_dir, views.FINANCIALS)
@@ -181,7 +205,7 @@ def financials_from_csv(spark, sf_dir):
     return load_financials_csv(spark, place)
 
 
-@query
+@query("serial_numbers")
 def serial_numbers(spark, sf_dir):
     rows = _landscape(spark, sf_dir).select("unit_serial_raw", "engine_serial_raw").distinct()
     return rows.select(
@@ -194,7 +218,7 @@ def serial_numbers(spark, sf_dir):
     )
 
 
-@query
+@query("epoch_times")
 def epoch_times(spark, sf_dir):
     rows = view(spark, sf_dir, views.MAINTENANCE)
     return rows.select(
@@ -204,22 +228,22 @@ def epoch_times(spark, sf_dir):
     )
 
 
-@query
+@query("search_columns")
 def column_search(spark, sf_dir):
     return search_columns(table(spark, sf_dir, "documents"), "and")
 
 
-@query
+@query("matching_rows")
 def rows_with_text(spark, sf_dir):
     return matching_rows(table(spark, sf_dir, "part"), "ring|promo")
 
 
-@query
+@query("first_keyword")
 def keyword_columns(spark, sf_dir):
     return first_keyword(table(spark, sf_dir, "part"), "p_name", KEYWORDS)
 
 
-@query
+@query("any_term")
 def any_term_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "part")
     return rows.where(
@@ -227,7 +251,7 @@ def any_term_rows(spark, sf_dir):
     ).select("p_partkey", "p_name", "p_type")
 
 
-@query
+@query("text_class")
 def text_classes(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
     test = text_class("text", ["AND ", "THE "], ["THERE", "ANDS"])
@@ -237,7 +261,7 @@ def text_classes(spark, sf_dir):
 # --- joins and sets ---------------------------------------------------------------------------
 
 
-@query
+@query("left_join")
 def null_safe_left_join(spark, sf_dir):
     """Yearly operating rows with the costs of their asset; a missing asset meets a missing asset."""
     rows = view(spark, sf_dir, views.OPERATING).select("asset_id", "year", "month", "actual_hours")
@@ -245,21 +269,21 @@ def null_safe_left_join(spark, sf_dir):
     return _rounded(left_join(rows, costs, ["asset_id", "year"]), 2, "amount_eur")
 
 
-@query
+@query("semi_join")
 def units_in_set(spark, sf_dir):
     rows = _landscape(spark, sf_dir)
     exempt = rows.where(EXEMPT.condition())
     return semi(rows, exempt, "unit_serial").select("contract_number", "unit_serial", "commissioning")
 
 
-@query
+@query("anti_join")
 def units_not_in_set(spark, sf_dir):
     rows = _landscape(spark, sf_dir)
     exempt = rows.where(EXEMPT.condition())
     return anti(rows, exempt, "unit_serial").select("contract_number", "unit_serial", "commissioning")
 
 
-@query
+@query("union_history")
 def history_union(spark, sf_dir):
     """Daily order counts: the later half as current rows, all days but one as history."""
     daily = (
@@ -274,7 +298,7 @@ def history_union(spark, sf_dir):
     return union_history(current, history, ["day", "kpi"])
 
 
-@query
+@query("snapshot_roundtrip")
 def snapshot_history(spark, sf_dir):
     """Three snapshots, the last one written twice; the rows of the newest."""
     path = scratch_path(spark, "snapshots")
@@ -291,7 +315,7 @@ def snapshot_history(spark, sf_dir):
     return newest
 
 
-@query
+@query("distinct_count")
 def distinct_counts(spark, sf_dir):
     rows = _landscape(spark, sf_dir)
     return rows.groupBy("contract_type").agg(
@@ -300,23 +324,23 @@ def distinct_counts(spark, sf_dir):
     )
 
 
-@query
+@query("count_by")
 def grouped_counts(spark, sf_dir):
     return count_by(_landscape(spark, sf_dir), ["contract_type", "unit_serial"], "commissioning", "n")
 
 
-@query
+@query("range_profile")
 def hours_range(spark, sf_dir):
     rows = view(spark, sf_dir, views.OPERATING)
     return range_profile(rows, ["gas_type_formatted"], "actual_hours", F.col("start_year") == 1996)
 
 
-@query
+@query("top_values")
 def top_end_hours(spark, sf_dir):
     return top_values(view(spark, sf_dir, views.OPERATING), "end_hours", 25)
 
 
-@query
+@query("keep_top_values")
 def rows_of_top_values(spark, sf_dir):
     rows = keep_top_values(view(spark, sf_dir, views.OPERATING), "end_hours", 25)
     return rows.groupBy("engine_type", "end_hours").agg(F.count("*").alias("n"))
@@ -325,22 +349,22 @@ def rows_of_top_values(spark, sf_dir):
 # --- counters and costs -----------------------------------------------------------------------
 
 
-@query
+@query("counter_bounds_by_day")
 def counter_bounds_by_day(spark, sf_dir):
     return counter_period_bounds(view(spark, sf_dir, views.COUNTERS), "day")
 
 
-@query
+@query("counter_bounds_one")
 def counter_bounds_by_month(spark, sf_dir):
     return counter_period_bounds(view(spark, sf_dir, views.COUNTERS), "month")
 
 
-@query
+@query("counter_bounds_all")
 def counter_bounds_with_ties(spark, sf_dir):
     return counter_bound_readings(view(spark, sf_dir, views.COUNTERS), "day")
 
 
-@query
+@query("case_timeline")
 def case_timeline(spark, sf_dir):
     return case_event_timeline(
         view(spark, sf_dir, views.CASES),
@@ -353,7 +377,7 @@ def case_timeline(spark, sf_dir):
     )
 
 
-@query
+@query("cost_actuals")
 def cost_actuals_by_request(spark, sf_dir):
     found = cost_actuals(
         view(spark, sf_dir, views.TRANSACTIONS), view(spark, sf_dir, views.ACCOUNTS), "98", "P1"
@@ -361,7 +385,7 @@ def cost_actuals_by_request(spark, sf_dir):
     return _rounded(found, 2, "amt_eur_trx")
 
 
-@query
+@query("cost_detail")
 def cost_detail_head(spark, sf_dir):
     rows = view(spark, sf_dir, views.TRANSACTIONS)
     return cost_detail(rows, view(spark, sf_dir, views.ACCOUNTS), "98", "P1", 100, sorted(rows.columns))
@@ -371,18 +395,18 @@ def _financials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_financials(view(spark, sf_dir, views.FINANCIALS))
 
 
-@query
+@query("unit_financials")
 def unit_financials_by_year(spark, sf_dir):
     return _rounded(_rounded(_financials(spark, sf_dir), 4, "cost", "billings", "ic_cost"), 6, "cm")
 
 
-@query
+@query("enrich_with_margin")
 def rows_with_margin(spark, sf_dir):
     found = enrich_with_margin(view(spark, sf_dir, views.MARGIN_BASE), _financials(spark, sf_dir))
     return _rounded(_rounded(found, 4, "cost", "billings", "ic_cost"), 6, "cm")
 
 
-@query
+@query("margin_by_segment")
 def margin_by_region_industry_gas(spark, sf_dir):
     base = view(spark, sf_dir, views.MARGIN_BASE)
     return _rounded(margin_by_segment(enrich_with_margin(base, _financials(spark, sf_dir))), 6, "cm")
@@ -395,7 +419,7 @@ def _features(spark: SparkSession, sf_dir: str, monthly: bool, **options) -> Dat
     )
 
 
-@query
+@query("cost_features_unit")
 def cost_features_by_unit(spark, sf_dir):
     found = cost_features_unit(
         view(spark, sf_dir, views.OPERATING), view(spark, sf_dir, views.UNIT_COSTS), BASE_DATE, year=1998
@@ -403,19 +427,19 @@ def cost_features_by_unit(spark, sf_dir):
     return _rounded(found, 2, "amount_eur")
 
 
-@query
+@query("cost_features_asset")
 def cost_features_by_asset_year(spark, sf_dir):
     found = _features(spark, sf_dir, monthly=False)
     return _rounded(_rounded(found, 2, "amount_eur"), 6, "average_actual_hours")
 
 
-@query
+@query("cost_features_month")
 def cost_features_by_asset_month(spark, sf_dir):
     found = _features(spark, sf_dir, monthly=True)
     return _rounded(_rounded(found, 2, "amount_eur"), 6, "average_actual_hours")
 
 
-@query
+@query("cost_features_to_month_end")
 def cost_features_to_month_end(spark, sf_dir):
     found = _features(spark, sf_dir, monthly=True, period_end="month")
     return _rounded(_rounded(found, 2, "amount_eur"), 6, "average_actual_hours")
@@ -426,34 +450,34 @@ def cost_features_to_month_end(spark, sf_dir):
 FLAGS, LINES = ["A", "N", "R"], ["F", "O"]
 
 
-@query
+@query("comparison_matrix")
 def matrix_of_means(spark, sf_dir):
     # Whole quantities: their sums are exact, so the means need no rounding to compare.
     rows = table(spark, sf_dir, "lineitem")
     return comparison_matrix(rows, "l_quantity", "l_suppkey", "l_returnflag", "mean", FLAGS)
 
 
-@query
+@query("matrix_median")
 def matrix_of_medians(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     found = comparison_matrix(rows, "l_extendedprice", "l_linestatus", "l_returnflag", "median", FLAGS)
     return _rounded(found, 4, *[f"l_returnflag_{f}" for f in FLAGS])
 
 
-@query
+@query("matrix_nunique")
 def matrix_of_distinct_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     return comparison_matrix(rows, "l_partkey", "l_linenumber", "l_returnflag", "nunique", FLAGS)
 
 
-@query
+@query("matrix_first")
 def matrix_of_first_values(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     order = ["l_shipdate", "l_orderkey", "l_linenumber"]
     return comparison_matrix(rows, "l_quantity", "l_suppkey", "l_returnflag", "first", FLAGS, order)
 
 
-@query
+@query("comparison_matrices")
 def matrices_of_sums(spark, sf_dir):
     """Two matrices in one pass; values are found in the data, one column can be null."""
     rows = table(spark, sf_dir, "lineitem").select(
@@ -465,7 +489,7 @@ def matrices_of_sums(spark, sf_dir):
     return comparison_matrices(rows, "quantity", "l_suppkey", ["flag", "line"], "sum")
 
 
-@query
+@query("matrices_std")
 def matrices_of_deviations(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     found = comparison_matrices(
@@ -475,7 +499,7 @@ def matrices_of_deviations(spark, sf_dir):
     return _rounded(found, 5, *[c for c in found.columns if c != "l_suppkey"])
 
 
-@query
+@query("display_grids")
 def prediction_grids(spark, sf_dir):
     """The grids of two variables under each other."""
     grids = display_grids(
@@ -495,7 +519,7 @@ def prediction_grids(spark, sf_dir):
     return amount.unionByName(orders)
 
 
-@query
+@query("unpivot_metrics")
 def long_form(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount",
@@ -505,7 +529,7 @@ def long_form(spark, sf_dir):
     return unpivot_metrics(rows, ids, ["l_quantity", "l_discount", "l_tax"])
 
 
-@query
+@query("one_hot")
 def indicator_columns(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(
         "p_partkey", "p_type", F.expr("CASE WHEN p_size > 20 THEN NULL ELSE p_size % 3 END").alias("size_class")
@@ -513,7 +537,7 @@ def indicator_columns(spark, sf_dir):
     return one_hot(rows, ["p_type", "size_class"])
 
 
-@query
+@query("explode_combinations")
 def list_combinations(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(
         "p_partkey", F.split("p_name", " ").alias("word"), F.array("p_brand", "p_type").alias("attribute")
@@ -528,7 +552,7 @@ def _flagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_hot(rows, ["gas", "line"], {"gas": FLAGS, "line": LINES})
 
 
-@query
+@query("interaction_terms")
 def interaction_sums(spark, sf_dir):
     """Column sums of the products of two indicator groups."""
     wide = interaction_terms(_flagged_lines(spark, sf_dir), ["gas_", "line_"])
@@ -546,12 +570,12 @@ def _price_design(spark: SparkSession, sf_dir: str):
     return build_design(rows, ["flag", "l_linestatus"], ["l_quantity"], "l_tax")
 
 
-@query
+@query("gram_stats")
 def gram_cells(spark, sf_dir):
     return _rounded(gram_stats(_price_design(spark, sf_dir)), 3, "value")
 
 
-@query
+@query("gram_stats_wide")
 def gram_cells_of_wide_design(spark, sf_dir):
     rows = _flagged_lines(spark, sf_dir)
     return _rounded(gram_stats_wide(rows, ["gas_A", "gas_N", "l_quantity"], "l_extendedprice"), 0, "value")
@@ -562,44 +586,84 @@ def _fit_rows(fit: FitResult, digits: int = 4) -> DataFrame:
     return _rounded(rows, digits, "coef", "std_err", "t").withColumn("n", F.lit(fit.n).cast("bigint"))
 
 
-@query
+@query("ols_factor")
 def ols_one_factor(spark, sf_dir):
     design = build_design(table(spark, sf_dir, "lineitem"), ["l_returnflag"], [], "l_extendedprice")
     return _fit_rows(ols(design), 3)
 
 
-@query
+@query("ols_simple")
 def ols_one_number(spark, sf_dir):
     fit = ols(build_design(table(spark, sf_dir, "lineitem"), [], ["l_quantity"], "l_extendedprice"))
     return _rounded(fit.coefs.select("term", "coef"), 4, "coef").withColumn("r2", F.round(F.lit(fit.r2), 8))
 
 
-@query
+@query("ols_wide")
 def ols_wide_number(spark, sf_dir):
     fit = ols_wide(table(spark, sf_dir, "lineitem"), ["l_discount"], "l_extendedprice")
     return _rounded(fit.coefs.select("term", "coef"), 4, "coef").withColumn("r2", F.round(F.lit(fit.r2), 8))
 
 
-@query
+@query("ridge_simple")
 def ridge_one_number(spark, sf_dir):
     fit = ridge(build_design(table(spark, sf_dir, "lineitem"), [], ["l_discount"], "l_extendedprice"))
     return _rounded(fit.coefs.select("term", "coef"), 4, "coef").withColumn("r2", F.round(F.lit(fit.r2), 8))
 
 
-@query
+@query("probit_fit")
 def probit_fit(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     design = build_design(rows, ["lang"], ["toxic"], "quality")
     return _rounded(probit(design).coefs.select("term", "coef"), 4, "coef")
 
 
-@query
-def cost_model_by_asset(spark, sf_dir):
+@query("cost_model_coefficients")
+def cost_model_coefficients(spark, sf_dir):
     features = _features(spark, sf_dir, monthly=False)
     fit = cost_model(features, ASSET_CATEGORIES, ASSET_NUMBERS, "amount_eur")
     return _rounded(fit.coefs, 4, "coef", "std_err", "t")
 
 
+def _fitted_totals(features: DataFrame, categories, numbers, target: str) -> DataFrame:
+    """Per level: the sum of the target, and the share of it that the fitted values add up to.
+
+    Least squares with a term for every level leaves no residual sum on any of them, so the share
+    is one wherever the fit is right.
+    """
+    design = build_design(features, categories, numbers, target)
+    cells = written_once(gram_stats(design), "gram")
+    coefs = ols(design).coefs.select(F.col("term").alias("col_term"), "coef")
+    swapped = cells.where("row_term <> col_term").select(
+        F.col("col_term").alias("row_term"), F.col("row_term").alias("col_term"), "value"
+    )
+    full = cells.unionByName(swapped).where(~F.col("row_term").isin([target, *numbers]))
+    fitted = full.join(coefs, "col_term").groupBy("row_term").agg(F.sum(F.expr("value * coef")).alias("fitted"))
+    totals = full.where(F.col("col_term") == target).select("row_term", F.col("value").alias("target_total"))
+    return left_join(totals, fitted, ["row_term"], null_safe=False).select(
+        F.col("row_term").alias("term"),
+        F.round("target_total", 2).alias("target_total"),
+        F.round(F.expr("fitted / target_total"), 5).alias("explained"),
+    )
+
+
+@query("cost_model_asset")
+def cost_model_by_asset(spark, sf_dir):
+    return _fitted_totals(_features(spark, sf_dir, monthly=False), ASSET_CATEGORIES, ASSET_NUMBERS, "amount_eur")
+
+
+@query("cost_model_month")
+def cost_model_by_month(spark, sf_dir):
+    return _fitted_totals(_features(spark, sf_dir, monthly=True), MONTH_CATEGORIES, ASSET_NUMBERS, "amount_eur")
+
+
+@query("cost_model_unit")
+def cost_model_by_unit(spark, sf_dir):
+    features = cost_features_unit(
+        view(spark, sf_dir, views.OPERATING), view(spark, sf_dir, views.UNIT_COSTS), BASE_DATE, year=1998
+    )
+    return _fitted_totals(features, UNIT_CATEGORIES, UNIT_NUMBERS, "amount_eur")
+
+
 def _mean_prices(rows: DataFrame, subsets: list[list[str]]) -> DataFrame:
     """Stand-in coefficients: the mean price of every value combination of the subsets, in one pass."""
     out = [F.grouping(d).alias(f"out_{d}") for d in DIMS]
@@ -613,7 +677,7 @@ def _level_coefs(rows: DataFrame) -> DataFrame:
     return written_once(prices.select(F.coalesce(*level, F.lit("const")).alias("term"), "coef"), "levels")
 
 
-@query
+@query("score_segments")
 def segment_scores(spark, sf_dir):
     rows = view(spark, sf_dir, views.SEGMENT_ROWS)
     # No level of industry I1 is known to the model.
@@ -622,7 +686,7 @@ def segment_scores(spark, sf_dir):
     return _rounded(scored, 2, "prediction")
 
 
-@query
+@query("segment_effects")
 def effects_by_segment(spark, sf_dir):
     """Three-way interaction columns of every row, with the mean price of a cell as coefficient."""
     rows = view(spark, sf_dir, views.SEGMENT_ROWS)
@@ -648,14 +712,14 @@ def _lattice_coefs(rows: DataFrame) -> DataFrame:
     return _mean_prices(rows, subsets).select(term.alias("term"), "coef")
 
 
-@query
+@query("lattice_effects")
 def lattice_effects_by_segment(spark, sf_dir):
     rows = view(spark, sf_dir, views.SEGMENT_ROWS)
     found = lattice_effects(_lattice_coefs(rows), rows, DIMS, prefixes={"gas": "_"})
     return _rounded(found, 2, "effect")
 
 
-@query
+@query("sum_or_zero")
 def sums_by_unit(spark, sf_dir):
     """Grouped sum with null keys left out; a group of nulls adds up to zero."""
     rows = view(spark, sf_dir, views.FINANCIALS).dropna(subset=["unit_serial"])

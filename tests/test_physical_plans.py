@@ -13,7 +13,7 @@ from fleetledger.plans.costs import cost_actuals
 from fleetledger.plans.counters import counter_period_bounds
 
 # Build their result with jobs of their own, so there is no single plan to look at.
-SKIP = {"kpi_run_history", "snapshot_history", "probit_fit"}
+SKIP = {"kpi_run", "snapshot_roundtrip", "probit_fit"}
 
 
 def physical(df):

@@ -7,7 +7,7 @@ from conftest import SF_DIR
 import __spark_entry__ as entry
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-ROWS_ONLY = {"probit_fit", "cost_model_by_asset"}
+ROWS_ONLY = {"probit_fit", "cost_model_coefficients"}
 
 
 @pytest.fixture(scope="module")
