@@ -33,7 +33,7 @@ HEADLINE = (
     "comparison_matrices",
     "matrix_median",
     "gram_stats",
-    "cost_model_asset",
+    "cost_model_coefficients",
     "segment_effects",
     "lattice_effects",
     "search_columns",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetledger.functions.aggregates import row_sum
 from fleetledger.functions.text import count_token
+from fleetledger.models.regress import MAX_TERMS
 from fleetledger.operators.grouping import known_keys
 from fleetledger.operators.joins import left_join
 from fleetledger.session import written_once
@@ -22,9 +23,10 @@ FLAG_TERM = "minimumoperatinghours"
 
 
 def coefficient_values(coefs: DataFrame, marker: str = MARKER, order: int = 3) -> dict[str, float]:
-    """Coefficients of the interaction terms of one order. They belong to design columns, whose
-    number is bounded by the width of the design table."""
-    rows = coefs.where(count_token("term", marker) == order).select("term", "coef").collect()
+    """Coefficients of the interaction terms of one order; no more than a fit may have terms."""
+    rows = coefs.where(count_token("term", marker) == order).select("term", "coef").limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} interaction terms")
     return {row["term"]: row["coef"] for row in rows}
 
 

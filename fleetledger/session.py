@@ -28,6 +28,17 @@ def build_session(app_name: str = "fleetledger", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+def sizing(shuffle_bytes: int, cores: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Shuffle settings for a known data size: partitions of a bounded size, and enough of them for
+    all cores. Pass them to ``build_session``; AQE merges partitions that turn out small."""
+    partitions = max(2 * cores, -(-shuffle_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(2 * partition_bytes),
+    }
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder of the cluster.
 

@@ -11,6 +11,7 @@ from fleetledger.checks.standins import table, view
 from fleetledger.operators.joins import left_join
 from fleetledger.plans.costs import cost_actuals
 from fleetledger.plans.counters import counter_period_bounds
+from fleetledger.plans.funnel import Exemptions, FunnelSpec, contract_funnel
 
 # Build their result with jobs of their own, so there is no single plan to look at.
 SKIP = {"kpi_run", "snapshot_roundtrip", "probit_fit"}
@@ -58,3 +59,54 @@ def test_snapshot_reads_one_partition(spark, rows, tmp_path):
     latest = read_latest_snapshot(spark, str(tmp_path), rows([], "k string, v int").schema)
     assert "PartitionFilters: [isnotnull(snapshot_date" in physical(latest)
     assert latest.first()["v"] == 3
+
+
+SMALL_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    "spark.sql.shuffle.partitions": "20",
+}
+
+
+@pytest.fixture
+def small_skew(spark):
+    before = {name: spark.conf.get(name, None) for name in SMALL_SKEW}
+    for name, value in SMALL_SKEW.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_a_hot_unit_is_split_in_the_funnel_join(spark, small_skew):
+    """A third of all rows is one unit with a contract of its own each."""
+    landscape = spark.range(120_000).selectExpr(
+        "concat('contract-', id) AS contract_number",
+        "if(id % 3 = 0, 'hot', concat('unit-', id % 5000)) AS unit_serial",
+        "'A' AS contract_type", "'s' AS contract_type2", "'ACTIVE' AS contract_status", "'ACTIVE' AS unit_status",
+        "'Active' AS ib_status", "if(id % 1000 = 0, 'Blue', 'Red') AS customer_name", "'x' AS contract_name",
+        "'Spain' AS country", "date_add(DATE '2020-01-01', cast(id % 700 AS int)) AS commissioning",
+    )
+    spec = FunnelSpec(types=["A"], exemptions=Exemptions(customer_name=["blue"]))
+    found = contract_funnel(landscape, spec, [dt.date(2021, 1, 1), dt.date(2022, 12, 31)])
+    last = {(r["kpi"], r["filter"]): r["value"] for r in found.collect() if r["timestamp"].year == 2022}
+    assert "SortMergeJoin(skew=true)" in physical(found)
+    assert last["contract_number", "ib_active"] == 120_000
+    # Ids by thousands: every third one is the hot unit, the others share the units 1000, 2000, ...
+    flagged = landscape.where("customer_name = 'Blue'").select("unit_serial").distinct()
+    exempt = landscape.join(flagged, "unit_serial", "left_semi").count()
+    assert last["contract_number", "not_unit_level"] == exempt > 40_000
+    assert last["contract_number", "unit_level"] == 120_000 - exempt
+
+
+def test_copies_of_one_row_are_split_in_a_join(spark, small_skew):
+    """Rows that agree in every column cannot be spread by their content, but by map output."""
+    fact = spark.range(200_000, numPartitions=8).selectExpr(
+        "if(id % 10 < 9, 7, id) AS k", "if(id % 10 < 9, repeat('copy ', 60), cast(id AS string)) AS t"
+    )
+    side = spark.range(1000).selectExpr("id AS k", "id * 2 AS v")
+    totals = left_join(fact, side, ["k"]).groupBy("v", "t").count()
+    assert max(r["count"] for r in totals.collect()) >= 180_000
+    assert "SortMergeJoin(skew=true)" in physical(totals)

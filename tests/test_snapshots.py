@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from conftest import as_set
 
-from fleetledger.session import scratch_path, written_once
+from fleetledger.session import scratch_path, sizing, written_once
 from fleetledger.sources.snapshots import append_snapshot, read_latest_snapshot, union_history, write_results, write_snapshot
 from fleetledger.sources.tables import FINANCIALS_SCHEMA, load_financials_csv, load_table
 
@@ -95,3 +95,8 @@ def test_a_cluster_session_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(Session, "x")
+
+
+def test_sizing_bounds_partitions_and_uses_all_cores():
+    assert sizing(100 << 40, 4000)["spark.sql.shuffle.partitions"] == str((100 << 40) // (128 << 20))
+    assert sizing(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
