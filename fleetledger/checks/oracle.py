@@ -573,7 +573,7 @@ ORACLE["interaction_terms"] = "SELECT " + ", ".join(
 # --- models -----------------------------------------------------------------------------------
 
 
-def _gram(source: str, terms: dict[str, str], digits: int) -> str:
+def _gram(source: str, terms: dict[str, str]) -> str:
     """Every cell as its own sum of products; cells of two terms that never meet are left out."""
     cells = []
     names = sorted(terms)
@@ -581,7 +581,7 @@ def _gram(source: str, terms: dict[str, str], digits: int) -> str:
         for b in names[i:]:
             cells.append(
                 f"SELECT '{a}' AS row_term, '{b}' AS col_term, "
-                f"round(sum(CAST({terms[a]} AS DOUBLE) * CAST({terms[b]} AS DOUBLE)), {digits}) AS \"value\" "
+                f"sum(CAST({terms[a]} AS DOUBLE) * CAST({terms[b]} AS DOUBLE)) AS \"value\" "
                 f"FROM {source}"
             )
     return f"SELECT * FROM ({' UNION ALL '.join(cells)}) WHERE \"value\" <> 0"
@@ -598,8 +598,8 @@ WITH rows_in AS (
 {_gram('rows_in', {
     **{f'flag_{v}': _indicator('flag', v) for v in _FLAG_VALUES},
     **{f'l_linestatus_{v}': _indicator('l_linestatus', v) for v in _LINE_VALUES},
-    'const': '1', 'l_quantity': 'l_quantity', 'l_tax': 'l_tax',
-}, 3)}
+    'const': '1', 'l_quantity': 'l_quantity', 'l_linenumber': 'l_linenumber',
+})}
 """
 ORACLE["gram_stats_wide"] = _gram(
     "lineitem",
@@ -608,9 +608,8 @@ ORACLE["gram_stats_wide"] = _gram(
         "gas_N": _indicator("l_returnflag", "N"),
         "const": "1",
         "l_quantity": "l_quantity",
-        "l_extendedprice": "l_extendedprice",
+        "l_linenumber": "l_linenumber",
     },
-    0,
 )
 # One factor with k levels next to a constant: const = sum of group means / (k + 1), the rest follows.
 ORACLE["ols_factor"] = """

@@ -547,7 +547,7 @@ def list_combinations(spark, sf_dir):
 
 def _flagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("gas"), F.col("l_linestatus").alias("line"), "l_quantity", "l_extendedprice"
+        F.col("l_returnflag").alias("gas"), F.col("l_linestatus").alias("line"), "l_quantity", "l_linenumber"
     )
     return one_hot(rows, ["gas", "line"], {"gas": FLAGS, "line": LINES})
 
@@ -563,22 +563,22 @@ def interaction_sums(spark, sf_dir):
 # --- models -----------------------------------------------------------------------------------
 
 
-def _price_design(spark: SparkSession, sf_dir: str):
+def _line_design(spark: SparkSession, sf_dir: str):
     rows = table(spark, sf_dir, "lineitem").withColumn(
         "flag", F.expr("CASE WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag END")
     )
-    return build_design(rows, ["flag", "l_linestatus"], ["l_quantity"], "l_tax")
+    # Whole numbers only: every cell is an exact sum, whatever the order of the rows.
+    return build_design(rows, ["flag", "l_linestatus"], ["l_quantity"], "l_linenumber")
 
 
 @query("gram_stats")
 def gram_cells(spark, sf_dir):
-    return _rounded(gram_stats(_price_design(spark, sf_dir)), 3, "value")
+    return gram_stats(_line_design(spark, sf_dir))
 
 
 @query("gram_stats_wide")
 def gram_cells_of_wide_design(spark, sf_dir):
-    rows = _flagged_lines(spark, sf_dir)
-    return _rounded(gram_stats_wide(rows, ["gas_A", "gas_N", "l_quantity"], "l_extendedprice"), 0, "value")
+    return gram_stats_wide(_flagged_lines(spark, sf_dir), ["gas_A", "gas_N", "l_quantity"], "l_linenumber")
 
 
 def _fit_rows(fit: FitResult, digits: int = 4) -> DataFrame:
