@@ -11,7 +11,7 @@ from fleetledger.checks.standins import table, view
 from fleetledger.operators.joins import left_join
 from fleetledger.plans.costs import cost_actuals
 from fleetledger.plans.counters import counter_period_bounds
-from fleetledger.plans.funnel import Exemptions, FunnelSpec, contract_funnel
+from fleetledger.plans.funnel import Exemptions, FunnelSpec, contract_funnel, fleet_status
 
 # Build their result with jobs of their own, so there is no single plan to look at.
 SKIP = {"kpi_run", "snapshot_roundtrip", "probit_fit"}
@@ -110,3 +110,27 @@ def test_copies_of_one_row_are_split_in_a_join(spark, small_skew):
     totals = left_join(fact, side, ["k"]).groupBy("v", "t").count()
     assert max(r["count"] for r in totals.collect()) >= 180_000
     assert "SortMergeJoin(skew=true)" in physical(totals)
+
+
+def test_the_funnel_reads_two_narrow_scans_of_a_stored_landscape(spark, tmp_path):
+    path = str(tmp_path / "landscape")
+    view(spark, SF_DIR, views.LANDSCAPE).write.parquet(path)
+    spec = FunnelSpec(types=["1-URGENT", "2-HIGH"], exemptions=Exemptions(country=["atlantis"]))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = physical(contract_funnel(spark.read.parquet(path), spec, [dt.date(2001, 1, 1)]))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2
+    counted = next(s for s in scans if "commissioning" in s)
+    for pushed in ("EqualTo(contract_status,ACTIVE)", "contract_type", "LessThanOrEqual(commissioning,2001-01-01)"):
+        assert pushed in counted
+    flags = next(s for s in scans if s is not counted)
+    assert "commissioning" not in flags and "contract_status" not in flags and "unit_serial" in flags
+
+
+def test_the_fleet_status_scans_once(spark, tmp_path):
+    path = str(tmp_path / "landscape")
+    view(spark, SF_DIR, views.LANDSCAPE).write.parquet(path)
+    found = fleet_status(spark.read.parquet(path), dt.date(2001, 1, 1), ["1-URGENT"], exemptions=Exemptions(country=["x"]))
+    plan = physical(found)
+    assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
