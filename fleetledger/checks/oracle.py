@@ -352,6 +352,13 @@ FROM span s
 
 ORACLE["counter_bounds_by_day"] = _bounds(["year", "month", "day"])
 ORACLE["counter_bounds_one"] = _bounds(["year", "month"])
+ORACLE["counter_bounds_epoch"] = f"""
+{_with(counters=views.COUNTERS_IN_MILLIS)},
+timed AS (SELECT *, make_timestamp(ts_ms * 1000) AS ts FROM counters)
+SELECT asset_id, year(ts) AS year, month(ts) AS month, max(ts) AS max_timestamp, min(ts) AS min_timestamp,
+       arg_min(counter_value, ts_ms) AS counter_value_min, arg_max(counter_value, ts_ms) AS counter_value_max
+FROM timed GROUP BY asset_id, year(ts), month(ts)
+"""
 ORACLE["counter_bounds_all"] = f"""
 {_with(counters=views.COUNTERS)},
 readings AS (

@@ -359,6 +359,11 @@ def counter_bounds_by_month(spark, sf_dir):
     return counter_period_bounds(view(spark, sf_dir, views.COUNTERS), "month")
 
 
+@query("counter_bounds_epoch")
+def counter_bounds_from_millis(spark, sf_dir):
+    return counter_period_bounds(view(spark, sf_dir, views.COUNTERS_IN_MILLIS), "month", "ts_ms")
+
+
 @query("counter_bounds_all")
 def counter_bounds_with_ties(spark, sf_dir):
     return counter_bound_readings(view(spark, sf_dir, views.COUNTERS), "day")

@@ -70,6 +70,11 @@ SELECT event_id, event_id - event_id % 10 AS main_event_id, cast(event_id AS str
 FROM {events}
 """
 
+COUNTERS_IN_MILLIS = """
+SELECT event_id % 50 AS asset_id, 1577836800999 + event_id * 8640007 AS ts_ms, value AS counter_value
+FROM {events}
+"""
+
 TRANSACTIONS = """
 SELECT CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE 'SR' || cast(o_custkey % 500 AS string) END
          AS service_request_number,

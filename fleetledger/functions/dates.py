@@ -29,6 +29,16 @@ def from_epoch_millis_whole_seconds(col: Column | str) -> Column:
     return _since_epoch(seconds)
 
 
+def as_timestamp(col: Column | str, data_type: str) -> Column:
+    """A point in time from epoch milliseconds, text or a time column; unreadable text is null."""
+    value = F.col(col) if isinstance(col, str) else col
+    if data_type in ("bigint", "int"):
+        return from_epoch_millis(value)
+    if data_type == "string":
+        return value.try_cast("timestamp_ntz")
+    return value
+
+
 def year_end(year: Column) -> Column:
     """31 December of the year."""
     return F.make_date(year.cast("int"), F.lit(12), F.lit(31))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetledger.functions.dates import as_timestamp
 from fleetledger.operators.joins import key_join
 
 _PERIODS = {
@@ -15,21 +16,23 @@ _PERIODS = {
 _PARTS = {"year": F.year, "month": F.month, "day": F.day}
 
 
-def _readings(df: DataFrame, period: str) -> tuple[DataFrame, list[str]]:
+def _readings(df: DataFrame, period: str, time: str) -> tuple[DataFrame, list[str]]:
     parts = _PERIODS[period]
-    rows = df.where("asset_id IS NOT NULL AND ts IS NOT NULL").select(
-        "asset_id", *[_PARTS[p]("ts").alias(p) for p in parts], "ts", "counter_value"
+    ts = as_timestamp(time, dict(df.dtypes)[time])
+    rows = df.select("asset_id", ts.alias("ts"), "counter_value").where(
+        "asset_id IS NOT NULL AND ts IS NOT NULL"
     )
-    return rows, ["asset_id", *parts]
+    return rows.select("*", *[_PARTS[p]("ts").alias(p) for p in parts]), ["asset_id", *parts]
 
 
-def counter_period_bounds(df: DataFrame, period: str = "month") -> DataFrame:
+def counter_period_bounds(df: DataFrame, period: str = "month", time: str = "ts") -> DataFrame:
     """One row per asset and period: first and last timestamp and the counter at each.
 
+    The time column holds epoch milliseconds, timestamps or text; readings without a time are left out.
     Of several readings at the first timestamp the least counter is taken, at the last one the
     greatest. No join: timestamp and counter travel together through one aggregation.
     """
-    rows, keys = _readings(df, period)
+    rows, keys = _readings(df, period, time)
     reading = F.struct("ts", "counter_value")
     bounds = rows.groupBy(*keys).agg(F.min(reading).alias("first"), F.max(reading).alias("last"))
     return bounds.select(
@@ -41,14 +44,14 @@ def counter_period_bounds(df: DataFrame, period: str = "month") -> DataFrame:
     )
 
 
-def counter_bound_readings(df: DataFrame, period: str = "month") -> DataFrame:
+def counter_bound_readings(df: DataFrame, period: str = "month", time: str = "ts") -> DataFrame:
     """Every reading at the first or last timestamp of its asset and period, ties included.
 
     Long form: one row per distinct counter value at a bound, with the number of readings that
     share it. It holds all tied readings and grows with them, where a wide row per pair of a first
     and a last reading would grow with their product.
     """
-    rows, keys = _readings(df, period)
+    rows, keys = _readings(df, period, time)
     span = rows.groupBy(*keys).agg(F.min("ts").alias("min"), F.max("ts").alias("max"))
     bounds = span.unpivot(keys, ["min", "max"], "bound", "ts")
     # The reading time is part of the join key, so a busy asset spreads over all partitions.

@@ -47,6 +47,8 @@ def load_table(spark: SparkSession, name: str, catalog: Mapping[str, Mapping[str
     {...}}``. Give JDBC reads ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions``
     for a parallel scan.
     """
+    if name not in catalog:
+        raise KeyError(f"{name!r} is not in the catalog; the logical tables are {', '.join(LOGICAL_TABLES)}")
     entry = catalog[name]
     if "table" in entry:
         return spark.read.table(entry["table"])
@@ -56,7 +58,13 @@ def load_table(spark: SparkSession, name: str, catalog: Mapping[str, Mapping[str
     return reader.load(entry["path"]) if "path" in entry else reader.load()
 
 
-def load_counter_readings(df: DataFrame, counter_type: str = "OPH", source: str = "HISTORY") -> DataFrame:
+# The counter type and source the cost models read.
+OPERATING_HOURS, HISTORY = "OPH", "HISTORY"
+
+
+def load_counter_readings(
+    df: DataFrame, counter_type: str = OPERATING_HOURS, source: str = HISTORY
+) -> DataFrame:
     """Readings of one counter type from one source."""
     return df.where((F.col("counter_type") == counter_type) & (F.col("source") == source))
 

@@ -250,6 +250,15 @@ def test_counter_bounds_and_ties(rows):
         (1, 2023, "max", ts(9, 0), 95.0, 1), (2, 2023, "min", ts(3, 3), 7.0, 1), (2, 2023, "max", ts(3, 3), 7.0, 1)}
 
 
+def test_counter_times_in_millis_or_text(rows):
+    millis = rows([(1, 1672531200000, 5.0), (1, 1675123200500, 6.0), (1, None, 9.0)], "asset_id int, ms bigint, counter_value double")
+    want = {(1, 2023, 1, dt.datetime(2023, 1, 31, 0, 0, 0, 500000), dt.datetime(2023, 1, 1), 5.0, 6.0)}
+    assert as_set(counter_period_bounds(millis, "month", "ms")) == want
+    text = rows([(1, "2023-01-01", 5.0), (1, "2023-01-31 00:00:00.5", 6.0), (1, "soon", 9.0)],
+                "asset_id int, t string, counter_value double")
+    assert as_set(counter_period_bounds(text, "month", "t")) == want
+
+
 OPERATING = (
     "asset_id int, unit_serial string, year int, month int, engine_type string, engine_version string, gas_type string, "
     "gas_type_formatted string, industry string, subregion string, start_year int, contract_start date, "
