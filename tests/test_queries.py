@@ -5,8 +5,9 @@ from compare import connect, differences
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
+from fleetledger.checks.oracle import ORACLE
+from fleetledger.checks.registry import QUERIES
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 ROWS_ONLY = {"probit_fit", "cost_model_coefficients"}
 
 
