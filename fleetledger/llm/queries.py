@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import simhash
+from fleetledger.llm import bpe, simhash
 from fleetledger.llm.common import table
 
 
@@ -14,7 +15,12 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES = {
+    "op5_bpe_codec": op5_bpe_codec,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
 ORACLE: dict[str, str] = {}
