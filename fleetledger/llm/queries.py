@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import bpe, simhash
+from fleetledger.llm import bpe, simhash, suffixes
 from fleetledger.llm.common import table
 
 
@@ -19,7 +19,12 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=50))
+
+
 QUERIES = {
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
