@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import bpe, simhash, suffixes
+from fleetledger.llm import bpe, kneser, simhash, suffixes
 from fleetledger.llm.common import table
 
 
@@ -23,7 +23,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=50))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = kneser.held_out_fold(F.col("doc_id"), 10, 0)
+    model = kneser.fit(docs.where(~held))
+    return kneser.score(model, docs).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        "base_score", "score", "perplexity",
+    )
+
+
 QUERIES = {
+    "op8_kneser_ney": op8_kneser_ney,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_simhash_neardup": op6_simhash_neardup,
