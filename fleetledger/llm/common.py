@@ -25,6 +25,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, " "), "")
 
 
+def held_out_fold(doc_id: Column, folds: int, which: int) -> Column:
+    """Whether a document's crc32 puts it into the fold; a null id is in none."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == which, F.lit(False))
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)

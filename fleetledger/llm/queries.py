@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import bpe, kneser, simhash, suffixes
-from fleetledger.llm.common import table
+from fleetledger.llm import bpe, kneser, langid, simhash, suffixes
+from fleetledger.llm.common import held_out_fold, table
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = kneser.held_out_fold(F.col("doc_id"), 10, 0)
+    held = held_out_fold(F.col("doc_id"), 10, 0)
     model = kneser.fit(docs.where(~held))
     return kneser.score(model, docs).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
@@ -33,7 +33,15 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out_fold(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(~held))
+    return langid.identify(model, docs).select("doc_id", held.alias("held_out"), "lang_pred", "score", "share")
+
+
 QUERIES = {
+    "op7_language_id": op7_language_id,
     "op8_kneser_ney": op8_kneser_ney,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op5_bpe_codec": op5_bpe_codec,
