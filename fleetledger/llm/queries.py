@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import bpe, kneser, langid, simhash, suffixes
+from fleetledger.llm import bpe, decontaminate, kneser, langid, simhash, suffixes
 from fleetledger.llm.common import held_out_fold, table
 
 
@@ -40,7 +40,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(model, docs).select("doc_id", held.alias("held_out"), "lang_pred", "score", "share")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op7_language_id": op7_language_id,
     "op8_kneser_ney": op8_kneser_ney,
     "op10_suffix_dedup": op10_suffix_dedup,
