@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import bpe, decontaminate, kneser, langid, simhash, suffixes
+from fleetledger.llm import bpe, decontaminate, fingerprints, kneser, langid, simhash, suffixes
 from fleetledger.llm.common import held_out_fold, table
 
 
@@ -44,7 +44,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_decontamination": op3_decontamination,
     "op7_language_id": op7_language_id,
     "op8_kneser_ney": op8_kneser_ney,
