@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import bpe, decontaminate, fingerprints, kneser, langid, simhash, suffixes
+from fleetledger.llm import bpe, decontaminate, fingerprints, kneser, langid, simhash, suffixes, urlrules
 from fleetledger.llm.common import held_out_fold, table
 
 
@@ -48,7 +48,41 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the registered query: host, path, verdict.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+OP9_SQL = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), cut AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+), rules(h, p, v) AS (VALUES {_RULES}),
+best AS (
+  SELECT c.page_id, c.host, c.path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM cut c JOIN rules ON (c.host = h OR ends_with(c.host, '.' || h)) AND starts_with(c.path, p)
+  GROUP BY ALL
+)
+SELECT c.page_id, c.host, c.path, b.rule, coalesce(b.v, 'allow') AS verdict
+FROM cut c LEFT JOIN best b ON c.page_id = b.page_id AND c.host = b.host AND c.path = b.path
+"""
+
+
 QUERIES = {
+    "op9_url_rules": op9_url_rules,
     "op1_fingerprints": op1_fingerprints,
     "op3_decontamination": op3_decontamination,
     "op7_language_id": op7_language_id,
@@ -57,4 +91,6 @@ QUERIES = {
     "op5_bpe_codec": op5_bpe_codec,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_url_rules": OP9_SQL,
+}
