@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import bpe, decontaminate, fingerprints, kneser, langid, simhash, suffixes, urlrules
+from fleetledger.llm import bpe, chat, decontaminate, fingerprints, kneser, langid, simhash, suffixes, urlrules
 from fleetledger.llm.common import held_out_fold, table
 
 
@@ -81,7 +81,29 @@ FROM cut c LEFT JOIN best b ON c.page_id = b.page_id AND c.host = b.host AND c.p
 """
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(chat.maximal(table(spark, sf_dir, "conversations")))
+
+
+OP4_SQL = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+         list([role, text] ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l,
+         string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+                    ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
+  FROM turns GROUP BY conv_id
+), starts AS (
+  SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n_turns)) AS k FROM whole)
+)
+SELECT min(conv_id) AS conv_id, CAST(0 AS BIGINT) AS part, n_turns, count(*) AS n_logged, any_value(text) AS text
+FROM whole WHERE l NOT IN (SELECT l FROM starts) GROUP BY l, n_turns
+"""
+
+
 QUERIES = {
+    "op4_chat_format": op4_chat_format,
     "op9_url_rules": op9_url_rules,
     "op1_fingerprints": op1_fingerprints,
     "op3_decontamination": op3_decontamination,
@@ -92,5 +114,6 @@ QUERIES = {
     "op6_simhash_neardup": op6_simhash_neardup,
 }
 ORACLE: dict[str, str] = {
+    "op4_chat_format": OP4_SQL,
     "op9_url_rules": OP9_SQL,
 }
