@@ -78,10 +78,10 @@ def write_arrays(df: DataFrame, name: str) -> HashArrays:
 
 @lru_cache(maxsize=4096)
 def _mapped(folder: str, file: str, kind: str) -> np.ndarray | None:
-    """The array of a file; None if there is none, as no key fell into its shard."""
+    """The array of a file; None if no key fell into its shard."""
     store, root = place(folder)
     path = f"{root}/{file}"
-    if store.get_file_info(path).type == fs.FileType.NotFound:
+    if not store.get_file_info(path).size:  # no file, or an empty one, which can't be mapped
         return None
     if not isinstance(store, fs.LocalFileSystem):
         path = _fetched(store, path)

@@ -22,21 +22,29 @@ def _mark(name: str) -> int:
 
 
 START, END = _mark("start"), _mark("end")
+_COMBINED = 1 << 21  # tokens whose counts are combined before they are shuffled
+_SCORED = 1 << 18  # tokens that are looked up at a time
+_SMALL = 255  # a pair count from here on is stored apart
 _STATS = ["total", "n1", "n2", "n3", "exactly3", "exactly4", "cont"]
 
 
-def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token before, token, and where each document's tokens begin (with the number of all at the end)."""
+def _parts(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a batch in slices of about ``limit`` tokens at most, at least one document each: the slice, the token before,
+    the token, and where each document's tokens begin (with the number of all at the end)."""
     at, tokens = lists(batch.column("tokens"))
-    n = np.diff(at)
-    begin = np.append(0, np.cumsum(n + 1))
-    before, token = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int64)
-    inner = np.ones(begin[-1], bool)
-    inner[begin[1:] - 1] = False
-    token[inner], token[~inner] = tokens[at[0] : at[-1]], END
-    before[1:] = token[:-1]
-    before[begin[:-1]] = START
-    return before, token, begin
+    first, rows = 0, batch.num_rows
+    while first < rows:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
+        n = np.diff(at[first : last + 1])
+        begin = np.append(0, np.cumsum(n + 1))
+        before, token = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int64)
+        inner = np.ones(begin[-1], bool)
+        inner[begin[1:] - 1] = False
+        token[inner], token[~inner] = tokens[at[first] : at[last]], END
+        before[1:] = token[:-1]
+        before[begin[:-1]] = START
+        yield slice(first, last), before, token, begin
+        first = last
 
 
 def pair_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -51,11 +59,10 @@ def pair_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        before, token, begin = _pairs(batch)
-        word, n = np.unique(token, return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(word, START)), pa.array(np.append(n, len(begin) - 1))], ["word", "n"]
-        )
+        for _, _, token, begin in _parts(batch, _COMBINED):
+            word, n = np.unique(token, return_counts=True)
+            columns = [pa.array(np.append(word, START)), pa.array(np.append(n, len(begin) - 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
 
 def _shards(before: np.ndarray, keys: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
@@ -69,25 +76,28 @@ def _pair_counts(bits: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before, token, _ = _pairs(batch)
-            order = np.lexsort((token, before))
-            before, token = before[order], token[order]
-            cut = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (token[1:] != token[:-1])))[: len(order)]
-            n = np.diff(np.append(cut, len(order)))
-            before, token = before[cut], token[cut]
-            shard = _shards(before, pair_keys(before, token), bits, hot)
-            for i in range(0, len(cut), 200_000):
-                part = [x[i : i + 200_000] for x in (shard.astype(np.int32), before, token, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], ["shard", "before", "token", "n"])
+            for _, before, token, _ in _parts(batch, _COMBINED):
+                order = np.lexsort((token, before))
+                before, token = before[order], token[order]
+                cut = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (token[1:] != token[:-1])))
+                n = np.diff(np.append(cut, len(order)))
+                before, token = before[cut], token[cut]
+                for i in range(0, len(cut), 200_000):
+                    v, w = before[i : i + 200_000], token[i : i + 200_000]
+                    shard = _shards(v, pair_keys(v, w), bits, hot).astype(np.int32)
+                    columns = [pa.array(x) for x in (shard, v, w, n[i : i + 200_000])]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "before", "token", "n"])
 
     return run
 
 
-def _stored(folder: str):
+def _stored(folder: str, apart: str):
     """Writes the pair counts of whole shards and returns what they add to the statistics of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = place(folder)
+        _, beside = place(apart)
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
         for groups in runs(batches, ["shard"]):
             cut, shard = starts(groups, ["shard"]), groups.column("shard").to_numpy()
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -97,19 +107,31 @@ def _stored(folder: str):
                 order = np.argsort(keys)
                 keys = keys[order]
                 heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                n = np.add.reduceat(n[order], heads)
+                n, keys = np.add.reduceat(n[order], heads), keys[heads]
                 before, token = before[order[heads]], token[order[heads]]
-                put(store, f"{root}/{shard[i]}.n", n.astype("<i4"))
-                put(store, f"{root}/{shard[i]}.key", keys[heads])
+                large = n >= _SMALL
+                put(store, f"{beside}/{shard[i]}.n", n[large].astype("<i8"))
+                put(store, f"{beside}/{shard[i]}.key", keys[large])
+                put(store, f"{root}/{shard[i]}.n", np.minimum(n, _SMALL).astype("<u1"))
+                put(store, f"{root}/{shard[i]}.key", keys)
                 word, of = np.unique(before, return_inverse=True)
                 sums = [np.bincount(of, x, len(word)) for x in (n, n == 1, n == 2, n > 2, n == 3, n == 4)]
                 yield _stats(word, [*sums, np.zeros(len(word))])
-                word, cont = np.unique(token, return_counts=True)
-                yield _stats(word, [np.zeros(len(word))] * 6 + [cont])
+                seen.append(np.unique(token, return_counts=True))
+                if sum(len(w) for w, _ in seen) > _COMBINED:
+                    seen = [_merged(seen)]
+        if seen:
+            word, cont = _merged(seen)
+            yield _stats(word, [np.zeros(len(word))] * 6 + [cont])
 
     return run
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    word, of = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+    return word, np.bincount(of, np.concatenate([n for _, n in parts]), len(word)).astype(np.int64)
+
+
 def _stats(word: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     arrays = [pa.array(word), *(pa.array(c.astype(np.int64)) for c in columns)]
     return pa.RecordBatch.from_arrays(arrays, ["word", *_STATS])
@@ -136,6 +158,7 @@ class Model:
 
     words: HashArrays
     pairs: HashArrays
+    large: HashArrays
     hot: np.ndarray
     tokens: int
     vocabulary: int
@@ -152,9 +175,13 @@ class Model:
         alone = np.where(known, alone, self.unknown)
         seen, (total, gamma) = self.words.lookup(before, ["total", "gamma"])
         keys = pair_keys(before, token)
-        pair, (n,) = self.pairs.lookup(keys, ["n"], _shards(before, keys, self.pairs.bits, self.hot))
+        shard = _shards(before, keys, self.pairs.bits, self.hot)
+        pair, (n,) = self.pairs.lookup(keys, ["n"], shard)
+        n = n.astype(np.float64)
+        large = np.flatnonzero(n == _SMALL)
+        n[large] = self.large.lookup(keys[large], ["n"], shard[large])[1][0]
         seen &= total > 0
-        high = np.where(pair, _discounted(n.astype(np.float64), self.discount), 0.0) / np.where(seen, total, 1)
+        high = np.where(pair, _discounted(n, self.discount), 0.0) / np.where(seen, total, 1)
         return np.log10(np.where(seen, high + gamma * alone, alone)), count
 
 
@@ -177,10 +204,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     counts = written_once(partial.groupBy("word").agg(F.sum("n").alias("n")), "words")
     size = counts.where(F.col("word") != START).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     hot = np.array([r.word for r in counts.where(F.col("n") > max(size.n // parts, 1000)).select("word").collect()], np.int64)
-    folder = new_folder(spark, "pairs")
+    folder, apart = new_folder(spark, "pairs"), new_folder(spark, "large-pairs")
     pairs = tokens.mapInArrow(_pair_counts(bits, hot), "shard int, before bigint, token bigint, n bigint")
     pairs = pairs.repartition(parts, "shard").sortWithinPartitions("shard")
-    stats = pairs.mapInArrow(_stored(folder), ", ".join(f"{c} bigint" for c in ("word", *_STATS)))
+    stats = pairs.mapInArrow(_stored(folder, apart), ", ".join(f"{c} bigint" for c in ("word", *_STATS)))
     zero = [F.lit(0).cast("bigint").alias(c) for c in _STATS]
     every = stats.withColumn("n", F.lit(0).cast("bigint")).unionByName(counts.select("word", "n", *zero))
     merged = every.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *_STATS)])
@@ -199,8 +226,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
         F.col("word").alias("key"), n.cast("bigint").alias("n"), "total",
         gamma.cast("double").alias("gamma"), (kept + F.lit(unknown)).cast("double").alias("alone"),
     )
-    stored = HashArrays(folder, bits, {"n": "<i4"})
-    return Model(write_arrays(rows, "model-words"), stored, hot, size.n, size.v, unknown, high)
+    pairs, large = HashArrays(folder, bits, {"n": "<u1"}), HashArrays(apart, bits, {"n": "<i8"})
+    return Model(write_arrays(rows, "model-words"), pairs, large, hot, size.n, size.v, unknown, high)
 
 
 def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,22 +240,16 @@ def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.log10(model.tokens + 0.1 * (model.vocabulary + 1))
         for batch in batches:
-            before, token, begin = _pairs(batch)
-            if not len(token):
-                continue
-            logs, count = model.log10(before, token)
-            n = np.diff(begin)
-            known = np.add.reduceat((count > 0).astype(np.int64), begin[:-1])
-            base = np.add.reduceat(np.log10(count + 0.1) - whole, begin[:-1])
-            total = np.add.reduceat(logs, begin[:-1])
-            columns = [batch.column("doc_id"), *map(pa.array, (n, known, base, total, 10 ** (-total / n)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
+            for rows, before, token, begin in _parts(batch, _SCORED):
+                logs, count = model.log10(before, token)
+                n = np.diff(begin)
+                known = np.add.reduceat((count > 0).astype(np.int64), begin[:-1])
+                base = np.add.reduceat(np.log10(count + 0.1) - whole, begin[:-1])
+                total = np.add.reduceat(logs, begin[:-1])
+                ids = batch.column("doc_id")[rows.start : rows.stop]
+                columns = [ids, *map(pa.array, (n, known, base, total, 10 ** (-total / n)))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
 
     return _tokens(docs, id_col, text_col).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, perplexity double"
     )
-
-
-def held_out_fold(doc_id, folds: int, which: int):
-    """Whether a document's crc32 puts it into the fold; a null id is in none."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == which, F.lit(False))

@@ -30,6 +30,8 @@ class Plain:
         self.n, self.v = sum(self.single.values()), len(self.single)
         self.high = self.discount(self.pairs.values())
         self.low = self.discount(self.before.values())
+        self.rest = self.spare(self.before.values(), self.low) / (self.v + 1) if self.pairs else 1.0
+        self.gamma = {v: (sum(c), self.spare(c, self.high)) for v, c in self.after.items()}
 
     @staticmethod
     def discount(counts):
@@ -42,18 +44,16 @@ class Plain:
 
     def alone(self, w):
         total = len(self.pairs)
-        if not total:
-            return 1.0
         c = self.before.get(w, 0)
         kept = max(c - self.low[min(c, 3) - 1], 0) / total if c else 0.0
-        return kept + self.spare(self.before.values(), self.low) / (self.v + 1)
+        return kept + self.rest
 
     def probability(self, v, w):
         if v not in self.after:
             return self.alone(w)
-        c, counts = self.pairs.get((v, w), 0), self.after[v]
-        kept = max(c - self.high[min(c, 3) - 1], 0) / sum(counts) if c else 0.0
-        return kept + self.spare(counts, self.high) * self.alone(w)
+        c, (total, gamma) = self.pairs.get((v, w), 0), self.gamma[v]
+        kept = max(c - self.high[min(c, 3) - 1], 0) / total if c else 0.0
+        return kept + gamma * self.alone(w)
 
     def score(self, text):
         ts = tokens(text)
@@ -104,8 +104,11 @@ def test_nothing_to_learn_from(spark, rows):
     assert kneser.score(kneser.fit(docs), docs.limit(0)).collect() == []
 
 
-def test_hot_first_words_are_dealt_out(spark):
+def test_hot_first_words_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(kneser, "_COMBINED", 500)
+    monkeypatch.setattr(kneser, "_SCORED", 300)
     texts = [(i, " ".join(f"the w{i * 40 + j}" for j in range(40))) for i in range(100)]
+    texts.append((100, "the the " * 400))
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     model, plain = kneser.fit(docs), Plain([t for _, t in texts])
     assert len(model.hot)
