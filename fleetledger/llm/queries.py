@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import bpe, chat, decontaminate, fingerprints, kneser, langid, simhash, suffixes, urlrules
+from fleetledger.llm import bpe, chat, decontaminate, fingerprints, kneser, langid, quality, simhash, suffixes, urlrules
 from fleetledger.llm.common import held_out_fold, table
 
 
@@ -102,7 +102,14 @@ FROM whole WHERE l NOT IN (SELECT l FROM starts) GROUP BY l, n_turns
 """
 
 
+def op2_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.grades(table(spark, sf_dir, "labels")), top=2)
+    return quality.grade(model, docs)
+
+
 QUERIES = {
+    "op2_quality_grades": op2_quality_grades,
     "op4_chat_format": op4_chat_format,
     "op9_url_rules": op9_url_rules,
     "op1_fingerprints": op1_fingerprints,
