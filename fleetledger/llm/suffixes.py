@@ -13,8 +13,9 @@ from fleetledger.llm.common import runs
 from fleetledger.llm.hasharrays import HashArrays, write_arrays
 from fleetledger.session import written_once
 
-_GRAM = 16  # bytes of an anchor
-_CHUNK = 1 << 20  # bytes whose anchors are computed at a time
+_GRAM = 24  # bytes of an anchor
+_CHUNK = 1 << 16  # bytes whose anchors are computed at a time
+_SLICE = 4 << 20  # bytes of text that are worked on at a time where no rows are combined
 _OUTSIDE = 0xFF  # no byte of UTF-8: stands for what lies outside a document
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -49,6 +50,7 @@ class Texts:
         self.at = at - at[0]
         size = int(self.at[-1])
         self.data = np.frombuffer(data, np.uint8, size, int(at[0])) if size else np.zeros(0, np.uint8)
+        self._wide: np.ndarray | None = None
 
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and gram hashes of the anchors: in every window of ``length`` bytes within a document, the starts of
@@ -74,8 +76,11 @@ class Texts:
         n, width = last - first, length - _GRAM + 1
         piece = np.zeros(n + _GRAM, np.uint8)
         piece[:n] = self.data[first:last]
-        words = np.ndarray((n + 8,), "<u8", piece, strides=(1,))
-        grams = _mix(_mix(np.zeros(n, np.uint64), words[:n]), words[8 : n + 8]) | np.uint64(1)
+        words = np.ndarray((n + _GRAM - 8,), "<u8", piece, strides=(1,))
+        grams = np.zeros(n, np.uint64)
+        for i in range(0, _GRAM, 8):
+            grams = _mix(grams, words[i : n + i])
+        grams |= np.uint64(1)
         inside = np.ones(n, bool)
         ends = self.at[1:]
         for end in np.unique(ends[np.searchsorted(ends, first, "right") : np.searchsorted(ends, last + length, "right")]) - first:
@@ -89,12 +94,18 @@ class Texts:
 
     def contexts(self, positions: np.ndarray, length: int) -> np.ndarray:
         """Rows of the bytes that windows over each anchor can cover, those outside its document marked."""
-        doc = np.searchsorted(self.at, positions, "right") - 1
+        if self._wide is None:
+            margin = np.full(2 * length, _OUTSIDE, np.uint8)
+            self._wide = np.concatenate([margin, self.data, margin])
+        width = 2 * length - _GRAM
+        rows = np.lib.stride_tricks.sliding_window_view(self._wide, width)[positions + (length + _GRAM)]
+        doc = self.owners(positions)
+        before, after = self.at[doc] - positions, self.at[doc + 1] - positions
+        edge = np.flatnonzero((before > _GRAM - length) | (after < length))
         reach = np.arange(_GRAM - length, length)
-        index = positions[:, None] + reach
-        out = (index < self.at[doc][:, None]) | (index >= self.at[doc + 1][:, None])
-        rows = self.data[np.clip(index, 0, max(len(self.data) - 1, 0))]
-        rows[out] = _OUTSIDE
+        part = rows[edge]
+        part[(reach < before[edge, None]) | (reach >= after[edge, None])] = _OUTSIDE
+        rows[edge] = part
         return rows
 
     def owners(self, positions: np.ndarray) -> np.ndarray:
@@ -151,7 +162,7 @@ def blind_trie(strings: list[bytes]) -> list[list[int]]:
     return out
 
 
-def deep_shallow(data: np.ndarray, positions: np.ndarray, length: int, shallow: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow(data: np.ndarray, positions: np.ndarray, length: int, shallow: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes that start at ``positions``, compared on ``length`` bytes, and for each in this order
     whether it equals the one before.
 
@@ -201,6 +212,16 @@ def deep_shallow(data: np.ndarray, positions: np.ndarray, length: int, shallow:
     return order, ~fresh
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about 4 MB of text."""
+    for batch in batches:
+        at, first = Texts(batch).at, 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + _SLICE, "right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _grouped_min_max(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of the smallest document for each distinct key, and the smallest and the largest document."""
     order = np.lexsort((docs, keys))
@@ -210,33 +231,56 @@ def _grouped_min_max(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _gram_rows(length: int):
+    """The smallest and the largest document that a batch has for each gram, as a row each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = Texts(batch)
             positions, grams = texts.anchors(length)
             docs = batch.column("doc_id").to_numpy()[texts.owners(positions)]
             row, lo, hi = _grouped_min_max(grams, docs)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grams[row].view(np.int64), lo, hi)], ["key", "lo", "hi"])
+            keys, more = grams[row].view(np.int64), lo != hi
+            columns = [pa.array(np.append(keys, keys[more])), pa.array(np.append(lo, hi[more]))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id"])
 
     return run
 
 
+def _shared_anchors(batch: pa.RecordBatch, length: int, shared: HashArrays) -> tuple[Texts, np.ndarray, ...]:
+    """The texts of a batch, and of each anchor with a shared gram its position, gram, context hash and document."""
+    texts = Texts(batch)
+    positions, grams = texts.anchors(length)
+    known, _ = shared.lookup(grams.view(np.int64), [])
+    positions, grams = positions[known], grams[known].view(np.int64)
+    parts = [hash_rows(texts.contexts(positions[i : i + 50_000], length)) for i in range(0, len(positions), 50_000)]
+    hashes = np.concatenate([np.zeros(0, np.int64), *parts])
+    return texts, positions, grams, hashes, texts.owners(positions)
+
+
 def _context_rows(length: int, shared: HashArrays):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = Texts(batch)
-            positions, grams = texts.anchors(length)
-            grams = grams.view(np.int64)
-            known, _ = shared.lookup(grams, [])
-            positions, grams = positions[known], grams[known]
-            docs = batch.column("doc_id").to_numpy()[texts.owners(positions)]
-            hashes = np.concatenate([hash_rows(texts.contexts(positions[i : i + 100_000], length)) for i in range(0, len(positions), 100_000)] or [docs])
-            row, lo, hi = _grouped_min_max(hashes, docs)
-            for i in range(0, len(row), 20_000):
-                own = row[i : i + 20_000]
+        for batch in batches:  # whole batches: equal contexts become one row
+            _, _, grams, hashes, owner = _shared_anchors(batch, length, shared)
+            row, lo, hi = _grouped_min_max(hashes, batch.column("doc_id").to_numpy()[owner])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grams[row], hashes[row], lo, hi)], ["gram", "key", "lo", "hi"])
+
+    return run
+
+
+def _context_bytes(length: int, shared: HashArrays, mixed: HashArrays):
+    """Each context to compare, once, with its bytes: from the first document that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts, positions, grams, hashes, owner = _shared_anchors(batch, length, shared)
+            wanted, (lo, hi, n) = mixed.lookup(hashes, ["lo", "hi", "n"])
+            mine = np.flatnonzero(wanted & (batch.column("doc_id").to_numpy()[owner] == lo))
+            mine = mine[np.unique(hashes[mine], return_index=True)[1]]
+            for i in range(0, len(mine), 20_000):
+                own = mine[i : i + 20_000]
                 around = pa.array([r.tobytes() for r in texts.contexts(positions[own], length)], pa.binary())
-                columns = [pa.array(x) for x in (grams[own], hashes[own], lo[i : i + 20_000], hi[i : i + 20_000])]
-                yield pa.RecordBatch.from_arrays([*columns, around], ["gram", "key", "lo", "hi", "around"])
+                columns = [pa.array(x[own]) for x in (grams, hashes, lo, hi, n)]
+                yield pa.RecordBatch.from_arrays([*columns, around], ["gram", "key", "lo", "hi", "n", "around"])
 
     return run
 
@@ -296,36 +340,32 @@ def _decided(length: int):
 def _spread(contexts: DataFrame, length: int, group_limit: int) -> DataFrame:
     """Contexts with the group they are compared in. A gram with over ``group_limit`` contexts is dealt out window by window,
     by the window's hash, so equal windows still meet and no task gets the whole group."""
-    counts = contexts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > group_limit)
-    sized = contexts.join(written_once(counts, "hot-grams"), "gram", "left")
+    hot = F.col("n") > group_limit
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("around").alias("part")))
     windows = F.transform(
         F.sequence(F.lit(0), F.lit(length - _GRAM)),
         lambda i: F.struct(i.alias("first"), F.substring(F.col("around"), i + 1, F.lit(length)).alias("part")),
     )
-    parts = sized.withColumn("w", F.explode(F.when(F.col("n").isNull(), whole).otherwise(windows)))
+    parts = contexts.withColumn("w", F.explode(F.when(hot, windows).otherwise(whole)))
     slices = F.ceil(F.col("n") * (length - _GRAM + 1) / group_limit)
-    salt = F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("w.part"), slices)).cast("int")
+    salt = F.when(hot, F.pmod(F.xxhash64("w.part"), slices)).otherwise(-1).cast("int")
     return parts.select("gram", salt.alias("salt"), "key", "lo", "hi", F.col("w.first").alias("first"), F.col("w.part").alias("around"))
 
 
 def _cut(length: int, shared: HashArrays, decided: HashArrays, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = Texts(batch)
-            ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy()
-            positions, grams = texts.anchors(length)
-            known, _ = shared.lookup(grams.view(np.int64), [])
-            positions = positions[known]
-            docs = ids[texts.owners(positions)]
+        for batch in _slices(batches):
+            texts, positions, _, hashes, owner = _shared_anchors(batch, length, shared)
+            ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy()[owner]
             begins = np.zeros(len(texts.data), bool)
-            for i in range(0, len(positions), 100_000):
-                some = positions[i : i + 100_000]
-                at, (source, mask) = decided.matches(hash_rows(texts.contexts(some, length)), ["source", "mask"])
-                earlier = source < docs[i : i + 100_000][at]
-                at, mask = some[at[earlier]], mask[earlier]
+            for i in range(0, len(positions), 50_000):
+                at, (source, mask) = decided.matches(hashes[i : i + 50_000], ["source", "mask"])
+                earlier = source < ids[i + at]
+                at, mask = i + at[earlier], mask[earlier]
+                lowest, highest = texts.at[owner[at]], texts.at[owner[at] + 1] - length
                 for bit in range(length - _GRAM + 1):
-                    begins[at[mask >> bit & 1 == 1] - (length - _GRAM) + bit] = True
+                    start = positions[at] - (length - _GRAM) + bit
+                    begins[start[(mask >> bit & 1 == 1) & (start >= lowest) & (start <= highest)]] = True
             n = len(begins)
             count = np.cumsum(np.append(False, begins), dtype=np.int32)
             edge = min(length - 1, n)
@@ -368,31 +408,41 @@ def remove_repeats(
     character that is cut in two. A null text is empty. A document with a null id neither gives nor loses bytes;
     rows with equal ids do not take from each other. An empty table gives no rows.
 
-    1. Anchors: of the 16-byte grams in each window those with the smallest hash; equal windows have equal anchors. Grams
+    1. Anchors: of the 24-byte grams in each window those with the smallest hash; equal windows have equal anchors. Grams
        that two documents have are stored as sorted hash arrays.
-    2. Around each such anchor the bytes that a window over it can cover are one context. Equal contexts of a task are one row.
-       The contexts of a gram meet in a task, where their windows, as suffixes, are put in order by deep-shallow sorting: equal neighbours
-       tell the earliest document of each window.
-    3. A last pass looks up its contexts and marks the windows that an earlier document has.
+    2. Around each such anchor the bytes that a window over it can cover are one context, known by its hash. Where all documents
+       have the same context for a gram, all but the first have its windows from the first.
+    3. Otherwise the gram's different contexts meet in a task with their bytes. Their windows, as suffixes, are put in order by
+       deep-shallow sorting, and equal neighbours tell the earliest document of each window.
+    4. A last pass looks up its contexts and marks the windows that an earlier document has.
 
-    Texts are not shuffled. Contexts are identified by 64-bit hashes, windows within a group by their bytes. ``length`` may be 17 to 78.
+    Texts are not shuffled. Contexts are identified by 64-bit hashes, windows within a group by their bytes. ``length`` may be 25 to 86.
     """
     if not _GRAM < length < _GRAM + 63:
-        raise ValueError("length must be 17 to 78")
+        raise ValueError("length must be 25 to 86")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     row = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(row.alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
     named = rows.select("doc_id", "text").where("doc_id IS NOT NULL")
-    grams = named.mapInArrow(_gram_rows(length), "key bigint, lo bigint, hi bigint")
-    both = grams.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key")
-    shared = write_arrays(both, "shared-grams")
-    contexts = written_once(
-        named.mapInArrow(_context_rows(length, shared), "gram bigint, key bigint, lo bigint, hi bigint, around binary"), "contexts"
-    )
+    grams = named.mapInArrow(_gram_rows(length), "key bigint, doc_id bigint")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _spread(contexts, length, group_limit).repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt")
-    decided = write_arrays(dealt.mapInArrow(_decided(length), "key bigint, source bigint, mask bigint"), "windows")
+    # a batch's grams hardly repeat in another one of its task, so they are dealt out as they are
+    both = grams.repartition(parts, "key").groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    shared = write_arrays(both.select("key"), "shared-grams")
+    found = named.mapInArrow(_context_rows(length, shared), "gram bigint, key bigint, lo bigint, hi bigint")
+    contexts = written_once(found.groupBy("gram", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "contexts")
+    groups = contexts.groupBy("gram").agg(
+        F.count("*").alias("n"), F.min("key").alias("key"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
+    alone = groups.where("n = 1 AND lo < hi").select("key", F.col("lo").alias("source"), F.lit((1 << length - _GRAM + 1) - 1).cast("bigint").alias("mask"))
+    several = contexts.join(groups.where("n > 1").select("gram", "n"), "gram").select("key", "lo", "hi", "n")
+    mixed = write_arrays(several, "mixed-contexts")
+    schema = "gram bigint, key bigint, lo bigint, hi bigint, n bigint, around binary"
+    compared = _spread(named.mapInArrow(_context_bytes(length, shared, mixed), schema), length, group_limit)
+    dealt = compared.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt")
+    sorted_ = dealt.mapInArrow(_decided(length), "key bigint, source bigint, mask bigint")
+    decided = write_arrays(sorted_.union(alone), "windows")
     kind = rows.schema["row"].dataType.simpleString()
     schema = f"row {kind}, doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<first:bigint,last:bigint>>, kept {'string' if as_text else 'binary'}"
     return rows.mapInArrow(_cut(length, shared, decided, as_text), schema)
