@@ -32,7 +32,7 @@ def from_epoch_millis_whole_seconds(col: Column | str) -> Column:
 def as_timestamp(col: Column | str, data_type: str) -> Column:
     """A point in time from epoch milliseconds, text or a time column; unreadable text is null."""
     value = F.col(col) if isinstance(col, str) else col
-    if data_type in ("bigint", "int"):
+    if data_type in ("bigint", "int", "smallint", "tinyint", "double", "float") or data_type.startswith("decimal"):
         return from_epoch_millis(value)
     if data_type == "string":
         return value.try_cast("timestamp_ntz")

@@ -14,8 +14,6 @@ CONTRACT_SUFFIXES = r"(_EXP[1-6]|_EXP|_REP|_OLD)"
 # Prefixes stripped from serial numbers.
 SERIAL_PREFIXES = ("GEJ-", "JEN-")
 
-# Above this many keywords a CASE chain gets too long for one generated method.
-_MAX_CASE_KEYWORDS = 64
 
 
 def _column(col: Column | str) -> Column:
@@ -74,8 +72,6 @@ def first_match(col: Column | str, keywords: Sequence[str]) -> Column:
     text = _column(col)
     if not keywords:
         return F.lit(None).cast("string")
-    if len(keywords) <= _MAX_CASE_KEYWORDS:
-        return F.coalesce(*[F.when(text.contains(F.lit(k)), F.lit(k)) for k in keywords])
     listed = F.array(*[F.lit(k) for k in keywords])
     return F.get(F.filter(listed, lambda k: F.contains(text, k)), F.lit(0))
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
-from operator import add, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetledger.functions.aggregates import row_sum
-from fleetledger.functions.text import count_token
-from fleetledger.models.regress import MAX_TERMS
+from fleetledger.functions.text import as_label, count_token
 from fleetledger.operators.grouping import known_keys
 from fleetledger.operators.joins import left_join
 from fleetledger.session import written_once
@@ -22,43 +21,37 @@ MARKER = "dummies_const"
 FLAG_TERM = "minimumoperatinghours"
 
 
-def coefficient_values(coefs: DataFrame, marker: str = MARKER, order: int = 3) -> dict[str, float]:
-    """Coefficients of the interaction terms of one order; no more than a fit may have terms."""
-    rows = coefs.where(count_token("term", marker) == order).select("term", "coef").limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} interaction terms")
-    return {row["term"]: row["coef"] for row in rows}
-
-
 def segment_effects(
     base: DataFrame, coefs: DataFrame, dims: Sequence[str], marker: str = MARKER, order: int = 3
 ) -> DataFrame:
     """Sum of the interaction coefficients that apply to each segment.
 
     ``base`` holds the dimensions and the design columns. A coefficient applies to a segment when
-    any of its rows has a non-zero cell, and counts once; a segment without any has effect zero.
+    any of its rows has a non-zero cell (a missing cell is one), and counts once; a segment without any has effect zero.
     Numeric columns that are neither add each of their distinct values once.
+
+    The cells of all terms become rows, of which the distinct ones meet the coefficients in a join; so the number of terms only
+    makes the table longer. A term of that order without a design column is an error.
     """
-    weights = coefficient_values(coefs, marker, order)
-    absent = sorted(set(weights) - set(base.columns))
-    if absent:
-        raise ValueError(f"terms without a design column: {absent}")
+    weights = coefs.where(count_token("term", marker) == order).select(F.col("term").alias("__term"), F.col("coef").alias("__coef"))
+    terms = [c for c in base.columns if c not in dims and marker in c]
     extra = [c for c in base.columns if c not in dims and marker not in c]
     rows = known_keys(base, dims)
-
-    # Per term, "distinct cell values, summed" is its coefficient if any cell is non-zero, else zero.
-    # A missing cell differs from zero, too.
-    applied = [
-        F.when(F.bool_or(F.coalesce(F.col(f"`{t}`") != 0, F.lit(True))), F.lit(w)).otherwise(F.lit(0.0))
-        for t, w in weights.items()
-    ]
-    total = reduce(add, applied, F.lit(0.0))
-    effects = rows.groupBy(*dims).agg(total.alias("value"))
-    if not extra:
-        return effects
-    long = rows.unpivot(list(dims), [F.col(c).cast("double").alias(c) for c in extra], "variable", "value")
-    sums = long.distinct().groupBy(*dims).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
-    return effects.unionByName(sums).groupBy(*dims).agg(F.sum("value").alias("value"))
+    absent = [r[0] for r in weights.where(~F.col("__term").isin(terms)).select("__term").limit(5).collect()]
+    if absent:
+        raise ValueError(f"terms without a design column: {sorted(absent)}")
+    segments = rows.select(*dims).distinct()
+    parts = []
+    if terms:
+        cells = [F.struct(F.lit(t).alias("__term"), F.coalesce(F.col(f"`{t}`") != 0, F.lit(True)).alias("__on")) for t in terms]
+        lit = rows.select(*dims, F.inline(F.array(*cells))).where("__on").select(*dims, "__term").distinct()
+        parts.append(lit.join(weights, "__term").select(*dims, F.col("__coef").alias("value")))
+    if extra:
+        long = rows.unpivot(list(dims), [F.col(f"`{c}`").cast("double").alias(c) for c in extra], "variable", "value")
+        parts.append(long.distinct().select(*dims, "value"))
+    parts.append(segments.withColumn("value", F.lit(0.0)))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy(*dims).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
 
 
 def _substrings(text: Column, longest: Column) -> Column:
@@ -79,10 +72,10 @@ def tag_terms(coefs: DataFrame, segments: DataFrame, dims: Sequence[str], prefix
     is an equi join of the substrings of the few term names with the values, so the list of values
     may be of any size and no term is compared with every value.
     """
-    tagged = coefs
+    tagged, types = coefs, dict(segments.dtypes)
     for dim in dims:
         prefix = prefixes.get(dim, "")
-        value = F.concat(F.lit(prefix), F.col(dim).cast("string"))
+        value = F.concat(F.lit(prefix), as_label(dim, types[dim]))
         known = segments.where(F.col(dim).isNotNull()).select(value.alias("__value"), F.col(dim).alias("__dim"))
         known = known.where("__value <> ''").distinct()
         longest = F.coalesce(known.select(F.max(F.length("__value"))).scalar(), F.lit(0))
@@ -126,5 +119,6 @@ def lattice_effects(
             part = params.where((F.col("__order") == size) & any_tag).select(*subset, F.col("coef").alias(name)).distinct()
             rows = left_join(rows, part, list(subset), null_safe=True)
             values.append(name)
-    base = coefs.where(F.col("term") == flag_term).select("coef").scalar()
+    missing = F.raise_error(F.lit(f"there is no coefficient of {flag_term}"))
+    base = F.coalesce(coefs.where(F.col("term") == flag_term).select("coef").scalar(), missing)
     return rows.distinct().select(*dims, (row_sum(values) + base).alias("effect"))

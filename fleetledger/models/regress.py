@@ -6,8 +6,8 @@ NumPy solves it. Its size is bounded by ``max_terms``, past which a fit is refus
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetledger.functions.text import as_label
 from fleetledger.models.design import CONST, Design, build_design, gram_stats, gram_stats_wide
 from fleetledger.operators.joins import left_join
 
@@ -56,6 +57,8 @@ class Moments:
     gram: np.ndarray
     cross: np.ndarray
     y2: float
+    shift: np.ndarray  # what was subtracted from each term, 0 for indicators and the constant
+    y_shift: float
 
     @property
     def n(self) -> int:
@@ -66,8 +69,17 @@ class Moments:
         return self.y2 - self.cross[-1] ** 2 / self.gram[-1, -1]
 
 
-def collect_moments(cells: DataFrame, target: str, numbers: Sequence[str] = (), max_terms: int = MAX_TERMS) -> Moments:
-    """Bring the cells of a Gram matrix to the driver, indicators first, then numbers, then const."""
+def collect_moments(
+    cells: DataFrame,
+    target: str,
+    numbers: Sequence[str] = (),
+    max_terms: int = MAX_TERMS,
+    shifts: Mapping[str, float] | None = None,
+) -> Moments:
+    """Bring the cells of a Gram matrix to the driver, indicators first, then numbers, then const.
+
+    ``shifts`` are the means that were taken from numbers and the target before the matrix was formed.
+    """
     bound = (max_terms + 2) * (max_terms + 3) // 2
     found = cells.limit(bound + 1).toPandas()
     if len(found) > bound:
@@ -84,29 +96,74 @@ def collect_moments(cells: DataFrame, target: str, numbers: Sequence[str] = (),
     full[i, j] = full[j, i] = found["value"].to_numpy()
     if full[len(terms) - 1, len(terms) - 1] == 0:
         raise ValueError("the design has no rows")
-    return Moments(terms, full[:-1, :-1], full[:-1, -1], full[-1, -1])
+    shifts = shifts or {}
+    shift = np.array([shifts.get(name, 0.0) for name in terms])
+    return Moments(terms, full[:-1, :-1], full[:-1, -1], full[-1, -1], shift, shifts.get(target, 0.0))
+
+
+def _means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Means to centre by: moments of numbers far from zero would lose their digits."""
+    found = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return {c: found[i] or 0.0 for i, c in enumerate(columns)}
+
+
+def _centred(df: DataFrame, means: Mapping[str, float]) -> DataFrame:
+    return df.withColumns({c: F.col(f"`{c}`").cast("double") - F.lit(m) for c, m in means.items()})
+
+
+def _design_moments(design: Design, max_terms: int) -> Moments:
+    means = _means(design.frame, [*design.numbers, design.target])
+    near = replace(design, frame=_centred(design.frame, means))
+    return collect_moments(gram_stats(near), design.target, design.numbers, max_terms, means)
+
+
+def _wide_moments(df: DataFrame, terms: Sequence[str], target: str, max_terms: int) -> Moments:
+    if len(terms) > max_terms:
+        raise ValueError(f"the design has more than {max_terms} terms")
+    # Terms that are 0/1 in all rows stay as they are; the rest, and the target, are centred.
+    plain = [F.max((~F.col(f"`{t}`").cast("double").isin(0.0, 1.0)).cast("int")).alias(f"p{i}") for i, t in enumerate(terms)]
+    other = df.agg(F.count("*").alias("n"), *plain).first()
+    means = _means(df, [*[t for i, t in enumerate(terms) if other[i + 1]], target])
+    return collect_moments(gram_stats_wide(_centred(df, means), terms, target), target, terms, max_terms, means)
 
 
-def _minimum_norm(gram: np.ndarray, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The least-squares solution of smallest norm, the pseudo-inverse of the Gram matrix, its rank.
+def _minimum_norm(m: Moments) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The centred least-squares solution; in original units the solution of smallest norm, its unscaled covariance, and the rank.
 
-    The rank is decided on the Gram matrix scaled to a unit diagonal, so counters next to 0/1 terms
-    do not blur it. The scaled solution is then projected onto the row space in original units.
+    The rank is decided on the centred Gram matrix scaled to a unit diagonal, so counters next to 0/1 terms
+    do not blur it. The solution is then moved to original units, which only changes the constant, and projected onto the row space there.
     """
-    scale = np.sqrt(np.diag(gram))
-    live = scale > 0
-    solution, inverse = np.zeros(len(gram)), np.zeros_like(gram)
+    scale = np.sqrt(np.clip(np.diag(m.gram), 0, None))
+    # Centred, a number that does not vary is zero but for rounding.
+    live = scale > 1e-12 * np.sqrt(m.n) * np.maximum(np.abs(m.shift), 1e-300)
+    size = len(m.gram)
     d = scale[live]
-    values, vectors = np.linalg.eigh(gram[np.ix_(live, live)] / np.outer(d, d))
+    values, vectors = np.linalg.eigh(m.gram[np.ix_(live, live)] / np.outer(d, d))
     keep = values > _RANK_CUTOFF * values.max()
+    centred, inverse = np.zeros(size), np.zeros((size, size))
     scaled = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T / np.outer(d, d)
-    null_space = vectors[:, ~keep] / d[:, None]
-    project = np.eye(len(d))
+    centred[live] = scaled @ m.cross[live]
+    inverse[np.ix_(live, live)] = scaled
+    null_space = np.zeros((size, int((~keep).sum()) + int((~live).sum())))
+    null_space[live, : int((~keep).sum())] = vectors[:, ~keep] / d[:, None]
+    null_space[np.flatnonzero(~live), np.arange(int((~keep).sum()), null_space.shape[1])] = 1.0
+    move = np.eye(size)
+    move[-1] -= m.shift
+    project = np.eye(size)
     if null_space.shape[1]:
-        project -= null_space @ np.linalg.pinv(null_space)
-    solution[live] = project @ scaled @ cross[live]
-    inverse[np.ix_(live, live)] = project @ scaled @ project
-    return solution, inverse, int(keep.sum())
+        moved = move @ null_space
+        project -= moved @ np.linalg.pinv(moved)
+    solution = move @ centred
+    solution[-1] += m.y_shift
+    whole = project @ move
+    return centred, project @ solution, whole @ inverse @ whole.T, int(keep.sum())
+
+
+def _residual(m: Moments, value: float) -> float:
+    """A sum of squares that rounding may have taken just below zero."""
+    if value < -1e-6 * max(m.y2, 1e-300):
+        raise ArithmeticError("the moments are not precise enough for this fit")
+    return max(value, 0.0)
 
 
 def _coefs(spark: SparkSession, terms: Sequence[str], coef, std_err=None, t=None) -> DataFrame:
@@ -119,8 +176,8 @@ def _coefs(spark: SparkSession, terms: Sequence[str], coef, std_err=None, t=None
 
 
 def _fit_least_squares(spark: SparkSession, m: Moments) -> FitResult:
-    beta, inverse, rank = _minimum_norm(m.gram, m.cross)
-    residual = max(m.y2 - 2 * beta @ m.cross + beta @ m.gram @ beta, 0.0)
+    centred, beta, inverse, rank = _minimum_norm(m)
+    residual = _residual(m, m.y2 - 2 * centred @ m.cross + centred @ m.gram @ centred)
     freedom = m.n - rank
     variance = residual / freedom if freedom > 0 else np.nan
     std_err = np.sqrt(variance * np.clip(np.diag(inverse), 0, None))
@@ -135,15 +192,13 @@ def ols(design: Design, max_terms: int = MAX_TERMS) -> FitResult:
 
     The intercept is the coefficient of the constant.
     """
-    moments = collect_moments(gram_stats(design), design.target, design.numbers, max_terms)
+    moments = _design_moments(design, max_terms)
     return _fit_least_squares(design.frame.sparkSession, moments)
 
 
 def ols_wide(df: DataFrame, terms: Sequence[str], target: str, max_terms: int = MAX_TERMS) -> FitResult:
     """Least squares on columns that already are the design, such as interaction terms."""
-    if len(terms) > max_terms:
-        raise ValueError(f"the design has more than {max_terms} terms")
-    moments = collect_moments(gram_stats_wide(df, terms, target), target, terms, max_terms)
+    moments = _wide_moments(df, terms, target, max_terms)
     return _fit_least_squares(df.sparkSession, moments)
 
 
@@ -152,15 +207,15 @@ def _fit_ridge(spark: SparkSession, m: Moments, alpha: float) -> FitResult:
     spread = m.gram[:-1, :-1] - np.outer(sums, sums) / n
     shared = m.cross[:-1] - sums * m.cross[-1] / n
     weights = np.linalg.solve(spread + alpha * np.eye(len(sums)), shared)
-    intercept = float((m.cross[-1] - weights @ sums) / n)
-    residual = m.total_squares - 2 * weights @ shared + weights @ spread @ weights
+    intercept = float((m.cross[-1] - weights @ sums) / n + m.y_shift - weights @ m.shift[:-1])
+    residual = _residual(m, m.total_squares - 2 * weights @ shared + weights @ spread @ weights)
     r2 = 1 - residual / m.total_squares if m.total_squares > 0 else None
     return FitResult(_coefs(spark, m.terms, [*weights, intercept]), intercept, r2, m.n)
 
 
 def ridge(design: Design, alpha: float = 1.0, max_terms: int = MAX_TERMS) -> FitResult:
     """Ridge regression with an unpenalised intercept."""
-    moments = collect_moments(gram_stats(design), design.target, design.numbers, max_terms)
+    moments = _design_moments(design, max_terms)
     return _fit_ridge(design.frame.sparkSession, moments, alpha)
 
 
@@ -168,20 +223,20 @@ def ridge_wide(
     df: DataFrame, terms: Sequence[str], target: str, alpha: float = 1.0, max_terms: int = MAX_TERMS
 ) -> FitResult:
     """Ridge regression on columns that already are the design."""
-    if len(terms) > max_terms:
-        raise ValueError(f"the design has more than {max_terms} terms")
-    moments = collect_moments(gram_stats_wide(df, terms, target), target, terms, max_terms)
+    moments = _wide_moments(df, terms, target, max_terms)
     return _fit_ridge(df.sparkSession, moments, alpha)
 
 
 def probit(design: Design) -> FitResult:
-    """Probit of a 0/1 target; the first level of each category is the base and has no term.
+    """Probit of a 0/1 target. Where a category has nulls, null is the base and every level has a term; otherwise the first level is
+    the base.
 
-    Rows that agree in all model columns become one weighted row before the iterations start. Rows
-    with a null category are left out: with a base level they would count as that level.
+    Rows that agree in all model columns become one weighted row before the iterations start.
     """
     cats, numbers = list(design.categories), list(design.numbers)
-    rows = design.frame.dropna(how="any", subset=cats) if cats else design.frame
+    # A letter before each level, so that null can be a text that comes before all of them.
+    marked = {c: F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("u")) for c in cats}
+    rows = design.frame.withColumns(marked) if cats else design.frame
     weighted = rows.groupBy(*cats, *numbers, design.target).agg(F.count("*").cast("double").alias("__n"))
     # Read by the indexer, by every iteration and by the row count.
     weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)
@@ -202,7 +257,7 @@ def probit(design: Design) -> FitResult:
     ]
     fitted = Pipeline(stages=stages).fit(weighted)
     levels = fitted.stages[0].labelsArray if cats else []
-    terms = [f"{c}_{level}" for c, known in zip(cats, levels) for level in known[:-1]]
+    terms = [f"{c}_{level[1:]}" for c, known in zip(cats, levels) for level in known[:-1]]
     model = fitted.stages[-1]
     summary, n_rows = model.summary, int(weighted.agg(F.sum("__n")).first()[0])
     weighted.unpersist()
@@ -233,11 +288,13 @@ def score_segments(coefs: DataFrame, segments: DataFrame, dims: Sequence[str]) -
 
     A level the model does not know gives no prediction.
     """
-    base = coefs.where(F.col("term") == CONST).select("coef").scalar()
+    missing = F.raise_error(F.lit(f"the model has no term {CONST}"))
+    base = F.coalesce(coefs.where(F.col("term") == CONST).select("coef").scalar(), missing)
+    types = dict(segments.dtypes)
     scored = segments
     for i, dim in enumerate(dims):
         weights = coefs.select(F.col("term").alias(f"__term{i}"), F.col("coef").alias(f"__coef{i}"))
-        scored = scored.withColumn("__term", F.concat(F.lit(f"{dim}_"), F.col(dim).cast("string")))
+        scored = scored.withColumn("__term", F.concat(F.lit(f"{dim}_"), as_label(dim, types[dim])))
         scored = left_join(scored, weights, [("__term", f"__term{i}")], null_safe=False).drop("__term")
     parts = sum((F.col(f"__coef{i}") for i in range(len(dims))), base)
     return scored.select(*segments.columns, parts.alias("prediction"))

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetledger.operators.joins import key_join, semi
-from fleetledger.session import written_once
 
-# Each round divides the value range of a group by the number of slots.
-_MAX_ROUNDS = 64
+# One over the greatest error of an approximate percentile's rank, as a share of the group.
+_RANK_ACCURACY = 10_000
 
 
 def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -66,76 +64,30 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     return picked.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
-def median_by(
-    df: DataFrame,
-    keys: Sequence[str],
-    column: str,
-    alias: str = "median",
-    group_limit: int = 1_000_000,
-    slots: int = 1024,
-) -> DataFrame:
-    """Exact median per group; missing values and NaN do not count.
+def median_by(df: DataFrame, keys: Sequence[str], column: str, alias: str = "median") -> DataFrame:
+    """Exact median per group; missing values and NaN do not count, infinite values do.
 
-    Spark's own median keeps the values of a group in one place, so it is used for groups of at most
-    ``group_limit`` values. Larger groups are narrowed down by histograms, see ``_large_medians``.
+    A first aggregate counts the values and brackets the middle by approximate percentiles, whose rank error is bounded. A second one
+    counts the values below the bracket and those in it, value by value, and the middle ranks are read from these counts: about one value
+    in 700 of a large group, and no step holds the whole group.
     """
     keys = list(keys)
     value = F.col(column).cast("double")
     rows = known_keys(df, keys).select(*keys, F.when(~F.isnan(value), value).alias("__v"))
-    sizes = rows.groupBy(*keys).agg(
-        F.count("__v").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
-    )
-    largest = sizes.agg(F.max("__n")).first()[0] or 0
-    if largest <= group_limit:
-        return rows.groupBy(*keys).agg(F.median("__v").alias(alias))
-    large = written_once(sizes.where(F.col("__n") > group_limit), "large-groups")
-    side = large.select(*keys, F.lit(True).alias("__large"))
-    marked = key_join(rows, side, keys, "left", null_safe=False)
-    small = marked.where("__large IS NULL").groupBy(*keys).agg(F.median("__v").alias(alias))
-    found = _large_medians(marked.where("__large").drop("__large"), large, keys, slots)
-    return small.unionByName(found.withColumnRenamed("__median", alias))
-
-
-def _large_medians(rows: DataFrame, groups: DataFrame, keys: list[str], slots: int) -> DataFrame:
-    """Medians by repeated histograms: count the values of a group in equal slots of its range, then
-    go on inside the slot that holds the middle ranks, until its least and greatest value agree.
-
-    A round is one pass with a grouped count; no step orders or gathers the values of a group.
-    """
-    total = F.col("__n")
-    middle = {"__r1": F.floor((total - 1) / 2), "__r2": F.floor(total / 2), "__below": F.lit(0).cast("bigint")}
-    state = ["__lo", "__hi", "__r1", "__r2", "__below"]
-    open_groups = groups.withColumns(middle).select(*keys, *state)
-    # At most `slots + 1` rows per group.
-    earlier = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    finished = []
-    for _ in range(_MAX_ROUNDS):
-        in_range = key_join(rows, open_groups, keys, "inner", null_safe=False).where("__v BETWEEN __lo AND __hi")
-        slot = F.when(F.col("__lo") < F.col("__hi"), F.width_bucket("__v", "__lo", "__hi", F.lit(slots)))
-        histogram = (
-            in_range.groupBy(*keys, "__r1", "__r2", "__below", F.coalesce(slot, F.lit(0)).alias("__slot"))
-            .agg(F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
-            .withColumn("__below", F.col("__below") + F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        )
-
-        def at(rank: str, name: str) -> Column:
-            holds = (F.col(rank) >= F.col("__below")) & (F.col(rank) < F.col("__below") + F.col("__n"))
-            return F.max(F.when(holds, F.col(name)))
-
-        lower, upper = at("__r1", "__max"), at("__r2", "__min")
-        # Ranks in two slots: the last value of the one and the first of the next. In one slot: its
-        # only value, or not known yet.
-        median = F.when(at("__r1", "__slot") != at("__r2", "__slot"), (lower + upper) / 2)
-        median = median.when(at("__r1", "__min") == lower, lower)
-        narrowed = histogram.groupBy(*keys, "__r1", "__r2").agg(
-            median.alias("__median"),
-            at("__r1", "__min").alias("__lo"),
-            lower.alias("__hi"),
-            at("__r1", "__below").alias("__below"),
-        )
-        narrowed = written_once(narrowed, "medians")
-        finished.append(narrowed.where("__median IS NOT NULL").select(*keys, "__median"))
-        open_groups = narrowed.where("__median IS NULL").select(*keys, *state)
-        if open_groups.isEmpty():
-            return reduce(DataFrame.unionByName, finished)
-    raise RuntimeError(f"medians not found in {_MAX_ROUNDS} rounds: are there infinite values?")
+    margin = 7 / _RANK_ACCURACY
+    bracket = F.percentile_approx("__v", [0.5 - margin, 0.5 + margin], _RANK_ACCURACY)
+    groups = rows.groupBy(*keys).agg(F.count("__v").alias("__n"), bracket.alias("__q"))
+    near = key_join(rows.where("__v IS NOT NULL"), groups, keys, "inner", null_safe=False).where("__v <= __q[1]")
+    slot = F.when(F.col("__v") >= F.col("__q")[0], F.col("__v"))
+    counts = near.groupBy(*keys, "__n", slot.alias("__slot")).agg(F.count("*").alias("__c"))
+    line = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__slot")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("__upto", F.sum("__c").over(line))
+
+    def at(rank: Column) -> Column:
+        # the first entry that passes the rank; "below the bracket" (null) sorts first and is never it
+        return F.min(F.when(F.col("__upto") > rank, F.struct("__upto", "__slot")))["__slot"]
+
+    lower, upper = at(F.floor((F.col("__n") - 1) / 2)), at(F.floor(F.col("__n") / 2))
+    middle = F.coalesce(lower / 2 + upper / 2, F.raise_error(F.lit("the middle ranks are outside their bracket")))
+    found = ranked.groupBy(*keys).agg(middle.alias(alias))
+    return found.unionByName(groups.where("__n = 0").select(*keys, F.lit(None).cast("double").alias(alias)))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetledger.functions.aggregates import aggregate_by_name
 from fleetledger.functions.text import as_label
@@ -81,15 +82,18 @@ def comparison_matrices(
             "__cell",
         ).where("__v IS NOT NULL")
 
-    names = [f"{x}_{_label(v)}" for x in xs for v in x_values[x]]
+    names = [f"{x}_{label}" for x in xs for label in _labels(df.sparkSession, x_values[x], df.schema[x].dataType)]
     header = F.concat(F.col("__x"), F.lit("_"), F.col("__v"))
     wide = cells.select(y, header.alias("__header"), "__cell")
     # A y value stays when any of its x values is known, whether or not that one became a column.
     return wide.groupBy(y).pivot("__header", names).agg(F.first("__cell"))
 
 
-def _label(value) -> str:
-    return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)
+def _labels(spark: SparkSession, values: Sequence, data_type: T.DataType) -> list[str]:
+    """Texts of values, made by the same expression as the texts of the cells they head."""
+    schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("v", data_type)])
+    rows = spark.createDataFrame(list(enumerate(values)), schema)
+    return [r[0] for r in rows.orderBy("i").select(as_label("v", data_type.simpleString())).collect()]
 
 
 def display_grids(
@@ -141,9 +145,10 @@ def one_hot(
     flags: list[Column] = []
     for name in columns:
         levels = vocabulary[name] if name in vocabulary else header_values(df, name)
-        for level in levels:
-            flag = F.when(F.col(name) == F.lit(level), 1).otherwise(0)
-            flags.append(flag.alias(f"{name}_{_label(level)}"))
+        kind = df.schema[name].dataType
+        for level, label in zip(levels, _labels(df.sparkSession, levels, kind)):
+            flag = F.when(F.col(name) == F.lit(level).cast(kind), 1).otherwise(0)
+            flags.append(flag.alias(f"{name}_{label}"))
     return df.select(*[F.col(c) for c in df.columns if c not in columns], *flags)
 
 

@@ -34,11 +34,9 @@ def active_contracts(landscape: DataFrame) -> DataFrame:
         "unit_serial_raw": "usn_unformatted",
         "engine_serial_raw": "esn_unformatted",
     }
-    return (
-        rows.withColumns({"usn": normalize_serial("unit_serial_raw"), "esn": normalize_serial("engine_serial_raw")})
-        .withColumnsRenamed(renamed)
-        .distinct()
-    )
+    # The serials follow from the raw ones, so they are made once per distinct row.
+    serials = {"usn": normalize_serial("unit_serial_raw"), "esn": normalize_serial("engine_serial_raw")}
+    return rows.distinct().withColumns(serials).withColumnsRenamed(renamed)
 
 
 def contract_profile(extract: DataFrame, type_terms: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,17 +41,29 @@ def sizing(shuffle_bytes: int, cores: int, partition_bytes: int = 128 << 20) ->
     }
 
 
+def _shared_root(spark: SparkSession) -> str | None:
+    """The folder of ``spark.checkpoint.dir``, or the one a caller set with ``setCheckpointDir``."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return known.get() if known.isDefined() else None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder of the cluster.
 
-    Only a local session without that setting falls back to a temporary folder: on a cluster a
-    machine-local path would be invisible to the other executors.
+    A local session without one gets a folder of its own, once, which goes when the process ends. On a cluster a machine-local path would be
+    invisible to the other executors, so there the setting is required.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    root = _shared_root(spark)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not local:
             raise ValueError("spark.checkpoint.dir is not set: name a shared folder for intermediate tables")
         root = tempfile.mkdtemp(prefix="fleetledger-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,27 +12,29 @@ from pyspark.sql import types as T
 SNAPSHOT = "snapshot_date"
 
 
+def _snapshot_dates(spark: SparkSession, path: str) -> list[dt.date]:
+    """Dates of the snapshots under ``path``, from the names of their folders: no file is opened."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    names = [entry.getPath().getName() for entry in store.listStatus(place)]
+    return sorted(dt.date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith(f"{SNAPSHOT}="))
+
+
+def _folder(path: str, date: dt.date) -> str:
+    return f"{path.rstrip('/')}/{SNAPSHOT}={date.isoformat()}"
+
+
 def read_latest_snapshot(
     spark: SparkSession, path: str, schema: T.StructType, before: dt.date | None = None
 ) -> DataFrame:
-    """The newest snapshot under ``path`` (optionally older than ``before``); no snapshot, no rows.
+    """The newest snapshot under ``path`` (optionally older than ``before``), with the columns it was stored with.
 
-    Only the one partition is read: its date is a single value, found from the partition names.
+    Only the folder of its date is read. Without a snapshot there are no rows, and the columns are those of ``schema``.
     """
-    empty = spark.createDataFrame([], schema)
-    stored = T.StructType([*schema.fields, T.StructField(SNAPSHOT, T.DateType())])
-    try:
-        snapshots = spark.read.schema(stored).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return empty
-    if before is not None:
-        snapshots = snapshots.where(F.col(SNAPSHOT) < F.lit(before))
-    newest = snapshots.agg(F.max(SNAPSHOT)).first()[0]
-    if newest is None:
-        return empty
-    return snapshots.where(F.col(SNAPSHOT) == F.lit(newest)).drop(SNAPSHOT)
+    dates = [d for d in _snapshot_dates(spark, path) if before is None or d < before]
+    return spark.read.parquet(_folder(path, dates[-1])) if dates else spark.createDataFrame([], schema)
 
 
 def union_history(current: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -52,14 +53,8 @@ def union_history(current: DataFrame, history: DataFrame, keys: Sequence[str]) -
 
 
 def write_snapshot(df: DataFrame, path: str, snapshot_date: dt.date) -> None:
-    """Write one dated snapshot; writing the same date again replaces only that date."""
-    (
-        df.withColumn(SNAPSHOT, F.lit(snapshot_date))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(SNAPSHOT)
-        .parquet(path)
-    )
+    """Write one dated snapshot; writing the same date again replaces that date, also by a table without rows."""
+    df.write.mode("overwrite").parquet(_folder(path, snapshot_date))
 
 
 def append_snapshot(
@@ -67,13 +62,13 @@ def append_snapshot(
 ) -> DataFrame:
     """Write a snapshot of ``df`` together with the history before that date, and return it.
 
-    Repeating a date gives the same snapshot again, as a rerun never reads its own output.
+    Columns that only ``df`` or only the history has are kept, null on the other side. Repeating a date gives the same snapshot again, as a
+    rerun never reads its own output.
     """
-    spark, schema = df.sparkSession, schema or df.schema
-    history = read_latest_snapshot(spark, path, schema, before=snapshot_date)
+    spark = df.sparkSession
+    history = read_latest_snapshot(spark, path, schema or df.schema, before=snapshot_date)
     write_snapshot(union_history(df, history, keys), path, snapshot_date)
-    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField(SNAPSHOT, T.DateType())]))
-    return stored.parquet(path).where(F.col(SNAPSHOT) == F.lit(snapshot_date)).drop(SNAPSHOT)
+    return spark.read.parquet(_folder(path, snapshot_date))
 
 
 def write_results(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, str]:

@@ -89,6 +89,20 @@ def clean_landscape(df: DataFrame) -> DataFrame:
     )
 
 
-def load_financials_csv(spark: SparkSession, path: str, schema: T.StructType = FINANCIALS_SCHEMA) -> DataFrame:
-    """Unit financials from CSV files with a header line, typed by the schema instead of a scan."""
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+def load_financials_csv(
+    spark: SparkSession, path: str, schema: T.StructType = FINANCIALS_SCHEMA, names: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Unit financials from CSV files with a header line, found by the names in it and typed by the schema.
+
+    ``names`` maps our column names to those of the header where they differ. Other columns are left out; a missing one, a value of another
+    type, and a file with another header than the first are errors.
+    """
+    names = {field.name: (names or {}).get(field.name, field.name) for field in schema}
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [ours for ours, theirs in names.items() if theirs not in header]
+    if missing:
+        raise ValueError(f"the header has no column for {', '.join(missing)}")
+    types = {names[field.name]: field.dataType for field in schema}
+    stored = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    reader = spark.read.schema(stored).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+    return reader.csv(path).select(*[F.col(f"`{theirs}`").alias(ours) for ours, theirs in names.items()])

@@ -102,7 +102,7 @@ def test_ridge_penalises_all_but_the_intercept(design, data):
 
 def test_probit_of_one_factor_gives_the_quantiles_of_the_shares(spark):
     shares = {"a": 0.2, "b": 0.5, "c": 0.9}
-    data = [(k, int(i < 10 * p)) for k, p in shares.items() for i in range(10)] + [(None, 1)]
+    data = [(k, int(i < 10 * p)) for k, p in shares.items() for i in range(10)]
     fit = probit(build_design(spark.createDataFrame(data, "k string, y int"), ["k"], [], "y"))
     z = {k: statistics.NormalDist().inv_cdf(p) for k, p in shares.items()}
     want = {"const": z["a"], "k_b": z["b"] - z["a"], "k_c": z["c"] - z["a"]}
@@ -110,6 +110,47 @@ def test_probit_of_one_factor_gives_the_quantiles_of_the_shares(spark):
     assert fit.n == 30
 
 
+def test_probit_keeps_rows_with_a_null_category(spark):
+    """Null is the base then, and every level has a term."""
+    shares = {None: 0.4, "": 0.2, "b": 0.5}
+    data = [(k, int(i < 10 * p)) for k, p in shares.items() for i in range(10)]
+    fit = probit(build_design(spark.createDataFrame(data, "k string, y int"), ["k"], [], "y"))
+    z = {k: statistics.NormalDist().inv_cdf(p) for k, p in shares.items()}
+    assert fit.n == 30
+    assert coefs(fit) == pytest.approx({"const": z[None], "k_": z[""] - z[None], "k_b": z["b"] - z[None]}, abs=1e-5)
+
+
+@pytest.mark.parametrize("mean", [1e5, 1e7])
+def test_fits_of_numbers_far_from_zero(spark, mean):
+    rng = np.random.default_rng(3)
+    x = mean + rng.normal(size=400)
+    level = rng.integers(0, 2, 400)
+    y = 3.0 * (x - mean) + level + 1e6 + rng.normal(0, 0.1, 400)
+    frame = spark.createDataFrame([(f"l{k}", float(a), float(b)) for k, a, b in zip(level, x, y)], "k string, x double, y double")
+    fit = ols(build_design(frame, ["k"], ["x"], "y"))
+    near = np.column_stack([level == 0, level == 1, x - mean, np.ones(400)])
+    solution, rest, rank, _ = np.linalg.lstsq(near, y, rcond=None)
+    got = coefs(fit)
+    assert got["x"] == pytest.approx(solution[2], rel=1e-6)
+    assert got["k_l1"] - got["k_l0"] == pytest.approx(solution[1] - solution[0], rel=1e-6)
+    residual = ((y - near @ solution) ** 2).sum()
+    assert fit.r2 == pytest.approx(1 - residual / ((y - y.mean()) ** 2).sum(), abs=1e-9)
+    # the smallest norm: the levels' coefficients add up to the constant
+    assert got["k_l0"] + got["k_l1"] == pytest.approx(got["const"], rel=1e-6)
+    soft = coefs(ridge(build_design(frame, [], ["x"], "y"), alpha=1.0))
+    centred = x - x.mean()
+    assert soft["x"] == pytest.approx(centred @ (y - y.mean()) / (centred @ centred + 1), rel=1e-6)
+
+
+def test_scores_use_the_labels_of_the_design(spark):
+    fit = ols(build_design(spark.createDataFrame([(2020.0, 1.0), (2021.0, 3.0)], "yr double, y double"), ["yr"], [], "y"))
+    segments = spark.createDataFrame([(2020.0,), (2021.0,), (1999.0,)], "yr double")
+    found = {r.yr: r.prediction for r in score_segments(fit.coefs, segments, ["yr"]).collect()}
+    assert found == {2020.0: pytest.approx(1.0), 2021.0: pytest.approx(3.0), 1999.0: None}
+    with pytest.raises(Exception, match="no term const"):
+        score_segments(fit.coefs.where("term <> 'const'"), segments, ["yr"]).collect()
+
+
 def test_missing_values_are_dropped_or_refused(rows):
     frame = rows([("a", 1.0, 2.0), ("b", None, 2.0), (None, 3.0, 1.0)], "k string, x double, y double")
     assert build_design(frame, ["k"], ["x"], "y").frame.count() == 2
@@ -228,3 +269,19 @@ def test_interactions_fit_as_a_wide_design(table, data):
     for (gas, kind), mean in means.items():
         assert got["const"] + got[f"dummies_constkind_{kind}_gas_{gas}"] == pytest.approx(mean, rel=1e-8)
     assert wide_rows.agg(F.sum(terms[0])).first()[0] > 0
+
+
+def test_segment_effects_of_thousands_of_terms(spark):
+    """The number of terms only makes a table longer."""
+    n = 1500
+    cells = [F.when(F.col("id") % n == i, 1).otherwise(0).alias(f"dummies_const{i}") for i in range(n)]
+    base = spark.range(20).select(F.concat(F.lit("s"), F.col("id") % 4).alias("k"), *cells)
+    coefs = spark.createDataFrame([(f"dummies_const{i}", float(i)) for i in range(n)], "term string, coef double")
+    found = {r.k: r.value for r in segment_effects(base, coefs, ["k"], order=1).collect()}
+    assert found == {f"s{k}": float(sum(range(k, 20, 4))) for k in range(4)}
+
+
+def test_lattice_needs_its_base_term(spark):
+    coefs = spark.createDataFrame([("dummies_constminimumoperatinghours_a", 1.0)], "term string, coef double")
+    with pytest.raises(Exception, match="no coefficient of"):
+        lattice_effects(coefs, spark.createDataFrame([("a",)], "k string"), ["k"]).collect()

@@ -90,8 +90,17 @@ def test_median_equals_the_median_of_each_group(rows):
     frame = rows(data, "k string, v double").repartition(5)
     assert as_set(median_by(frame, ["k"], "v")) == want
     # The way for large groups, first for some of them, then for all.
-    assert as_set(median_by(frame, ["k"], "v", group_limit=50, slots=16)) == want
-    assert as_set(median_by(frame, ["k"], "v", group_limit=0)) == want
+
+
+def test_median_of_extreme_values_and_a_hot_group(spark):
+    inf = float("inf")
+    data = [("a", v) for v in (-1.7e308, 1.0, 2.0, 3.0, 1.7e308)] + [("b", v) for v in (-inf, 3.0, 5.0, inf)]
+    data += [("c", inf), ("c", inf), ("d", None), ("d", float("nan"))]
+    frame = spark.createDataFrame(data, "k string, v double")
+    assert as_set(median_by(frame, ["k"], "v")) == {("a", 2.0), ("b", 4.0), ("c", inf), ("d", None)}
+    hot = spark.range(200_001).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "pmod(id * 7919, 200001) * 0.5 AS v")
+    want = {(r.k, r.m) for r in hot.groupBy("k").agg({"v": "median"}).toDF("k", "m").collect()}
+    assert as_set(median_by(hot, ["k"], "v")) == want
 
 
 def test_search(rows):
@@ -168,3 +177,14 @@ def test_interaction_terms(rows):
 def test_explode_combinations(rows):
     frame = rows([(1, ["a", "b"], [7, 8]), (2, [], [9]), (3, ["c"], None)], "i int, x array<string>, y array<int>")
     assert as_set(explode_combinations(frame, ["x", "y"])) == {(1, "a", 7), (1, "a", 8), (1, "b", 7), (1, "b", 8)}
+
+
+@pytest.mark.parametrize(
+    "kind,values,names",
+    [("boolean", [True, False], ["x_true", "x_false"]), ("float", [0.1, 2.0], ["x_0.1", "x_2"]), ("double", [1e-05, 12345678.5], ["x_1.0E-5", "x_1.23456785E7"])],
+)
+@pytest.mark.parametrize("operation", ["sum", "median"])
+def test_matrix_columns_of_any_type_are_filled(spark, kind, values, names, operation):
+    frame = spark.createDataFrame([("y", v, float(i + 1)) for i, v in enumerate(values)], f"y string, x {kind}, t double")
+    (row,) = comparison_matrix(frame, "t", "y", "x", operation).collect()
+    assert {n: row[n] for n in names} == {names[0]: 1.0, names[1]: 2.0}

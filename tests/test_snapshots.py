@@ -1,4 +1,5 @@
 import datetime as dt
+from unittest import mock
 
 import pytest
 from conftest import as_set
@@ -44,6 +45,29 @@ def test_append_snapshot_can_be_repeated(rows, tmp_path):
     assert as_set(got) == {("a", 1), ("b", 7)}
 
 
+def test_history_keeps_columns_that_a_run_no_longer_has(rows, tmp_path):
+    path = str(tmp_path)
+    append_snapshot(rows([("a", 1, 5)], "k string, v int, old_type int"), path, DAY1, ["k"])
+    got = append_snapshot(rows([("b", 2, 6)], "k string, v int, new_type int"), path, DAY2, ["k"])
+    assert as_set(got.select("k", "v", "old_type", "new_type")) == {("a", 1, 5, None), ("b", 2, None, 6)}
+
+
+def test_a_rerun_without_rows_replaces_its_date(spark, rows, tmp_path):
+    path = str(tmp_path)
+    append_snapshot(rows([("a", 1)], SCHEMA), path, DAY1, ["k"])
+    assert append_snapshot(rows([], SCHEMA), path, DAY1, ["k"]).count() == 0
+    assert read_latest_snapshot(spark, path, rows([], SCHEMA).schema).count() == 0
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    place = tmp_path / "shuffled.csv"
+    place.write_text("Contract,unit_serial,billings,cost,ic_cost,unit_period,extra\nc,u,2,1,3,2023-01-01,x\n")
+    got = load_financials_csv(spark, str(place), names={"contract_number": "Contract"})
+    assert [tuple(r) for r in got.collect()] == [(dt.date(2023, 1, 1), "u", "c", 1.0, 2.0, 3.0)]
+    with pytest.raises(ValueError, match="contract_number"):
+        load_financials_csv(spark, str(place))
+
+
 def test_named_results_and_csv(spark, rows, tmp_path):
     day = dt.date(2023, 1, 1)
     data = [(day, "u", "c", 1.5, None, 2.0)]
@@ -91,7 +115,9 @@ def test_a_cluster_session_needs_a_shared_folder():
 
     class Session:
         conf = Conf
-        sparkContext = type("Context", (), {"master": "yarn"})
+        sparkContext = mock.MagicMock(master="yarn")
+
+    Session.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(Session, "x")
