@@ -300,7 +300,7 @@ SELECT day, kpi, -"value", 'old' FROM daily WHERE day < DATE '1998-01-01'
 """
 ORACLE["snapshot_roundtrip"] = f"""
 WITH {_DAILY}
-SELECT * FROM daily WHERE day >= DATE '1994-06-01' AND day < DATE '2001-01-01'
+SELECT * FROM daily
 """
 ORACLE["distinct_count"] = f"""
 {_with(landscape=views.LANDSCAPE)}
@@ -509,6 +509,22 @@ SELECT l_suppkey, max(l_quantity) FILTER (WHERE l_returnflag = 'A') AS l_returnf
        max(l_quantity) FILTER (WHERE l_returnflag = 'R') AS l_returnflag_R
 FROM ranked WHERE place = 1 GROUP BY l_suppkey
 """
+ORACLE["matrix_last"] = ORACLE["matrix_first"].replace(
+    "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity",
+    "ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC",
+)
+for _name in ("min", "max", "count"):
+    ORACLE[f"matrix_{_name}"] = _matrix("l_suppkey", f"{_name}(l_quantity) {{0}}")
+ORACLE["matrix_var"] = _matrix("l_suppkey", "round(var_samp(l_quantity) {0}, 5)")
+_SHARES = ["0.25", "0.5", "0.75", "1", "1.25", "1.5", "1.75"]
+ORACLE["matrix_of_types"] = f"""
+SELECT l_suppkey, {", ".join(
+    f'nullif(count(l_quantity) FILTER (WHERE (l_linenumber > 3) = {v}), 0) AS late_{v}' for v in ("false", "true")
+)}, {", ".join(
+    f'nullif(count(l_quantity) FILTER (WHERE l_linenumber / 4.0 = {v}), 0) AS "share_{v}"' for v in _SHARES
+)}
+FROM lineitem GROUP BY l_suppkey
+"""
 ORACLE["comparison_matrices"] = f"""
 WITH rows_in AS (
   SELECT l_suppkey, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag END AS flag, l_linenumber AS line,

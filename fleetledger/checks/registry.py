@@ -307,9 +307,13 @@ def snapshot_history(spark, sf_dir):
         .groupBy(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderstatus").alias("kpi"))
         .agg(F.count("*").alias("value"))
     )
-    ends = [dt.date(1997, 1, 1), dt.date(1999, 1, 1), dt.date(2001, 1, 1), dt.date(2001, 1, 1)]
-    for end in ends:
-        start = dt.date(end.year - 3, 6, 1)
+    spans = [
+        (dt.date(1900, 1, 1), dt.date(1997, 1, 1)),
+        (dt.date(1996, 6, 1), dt.date(1999, 1, 1)),
+        (dt.date(1998, 6, 1), dt.date(2100, 1, 1)),
+        (dt.date(1998, 6, 1), dt.date(2100, 1, 1)),
+    ]
+    for start, end in spans:
         rows = daily.where((F.col("day") >= F.lit(start)) & (F.col("day") < F.lit(end)))
         newest = append_snapshot(rows, path, end, ["day", "kpi"])
     return newest
@@ -482,6 +486,33 @@ def matrix_of_first_values(spark, sf_dir):
     return comparison_matrix(rows, "l_quantity", "l_suppkey", "l_returnflag", "first", FLAGS, order)
 
 
+def _matrix_of(operation, target, order=()):
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "lineitem")
+        return comparison_matrix(rows, target, "l_suppkey", "l_returnflag", operation, FLAGS, order)
+
+    return run
+
+
+for _operation in ("min", "max", "count"):
+    query(f"matrix_{_operation}")(_matrix_of(_operation, "l_quantity"))
+query("matrix_last")(_matrix_of("last", "l_quantity", ["l_shipdate", "l_orderkey", "l_linenumber"]))
+
+
+@query("matrix_var")
+def matrix_of_variances(spark, sf_dir):
+    return _rounded(_matrix_of("var", "l_quantity")(spark, sf_dir), 5, *[f"l_returnflag_{f}" for f in FLAGS])
+
+
+@query("matrix_of_types")
+def matrices_by_boolean_and_number(spark, sf_dir):
+    """Columns headed by values of other types; they are found in the data."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_quantity", (F.col("l_linenumber") > 3).alias("late"), (F.col("l_linenumber") / 4).alias("share")
+    )
+    return comparison_matrices(rows, "l_quantity", "l_suppkey", ["late", "share"], "count")
+
+
 @query("comparison_matrices")
 def matrices_of_sums(spark, sf_dir):
     """Two matrices in one pass; values are found in the data, one column can be null."""

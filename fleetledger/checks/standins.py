@@ -141,14 +141,14 @@ FROM {lineitem}
 ASSET_COSTS_YEAR = """
 SELECT CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_partkey END AS asset_id, year(l_shipdate) AS year,
        sum(l_extendedprice) AS amount_eur
-FROM {lineitem} WHERE l_linestatus = 'F'
+FROM {lineitem}
 GROUP BY CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_partkey END, year(l_shipdate)
 """
 
 ASSET_COSTS_MONTH = """
 SELECT CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_partkey END AS asset_id, year(l_shipdate) AS year,
        month(l_shipdate) AS month, sum(l_extendedprice) AS amount_eur
-FROM {lineitem} WHERE l_linestatus = 'F'
+FROM {lineitem}
 GROUP BY CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_partkey END, year(l_shipdate), month(l_shipdate)
 """
 
