@@ -689,6 +689,13 @@ def _level_totals(features: str, categories: list[str]) -> str:
 _ASSET_LEVELS = ["engine_type", "engine_version", "gas_type_formatted", "industry", "subregion", "year"]
 _ASSET_LEVELS += ["start_year", "category"]
 ORACLE["cost_model_asset"] = _level_totals(ORACLE["cost_features_asset"], _ASSET_LEVELS)
+_FITTED = [f"SELECT '{c}_' || {c} AS term, count(*) AS n, 1.0::DOUBLE AS explained FROM f WHERE {c} IS NOT NULL GROUP BY {c}" for c in _ASSET_LEVELS]
+_FITTED += [f"SELECT '{c}', count(*), 1.0::DOUBLE FROM f" for c in ("average_actual_hours", "actual_hours")]
+ORACLE["cost_model_scores"] = f"WITH f AS (SELECT * FROM ({ORACLE['cost_features_asset']})) {' UNION ALL '.join(_FITTED)}"
+ORACLE["probit_probabilities"] = """
+SELECT CASE WHEN lang <> 'es' THEN lang END AS lang, round(avg(quality), 5) AS probability
+FROM labels JOIN documents USING (doc_id) GROUP BY 1
+"""
 ORACLE["cost_model_month"] = _level_totals(ORACLE["cost_features_month"], [*_ASSET_LEVELS, "month"])
 ORACLE["cost_model_unit"] = _level_totals(
     ORACLE["cost_features_unit"], ["engine_type", "gas_type", "start_year", "category", "year"]

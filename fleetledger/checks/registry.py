@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from itertools import combinations
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -653,6 +654,37 @@ def probit_fit(spark, sf_dir):
     return _rounded(probit(design).coefs.select("term", "coef"), 4, "coef")
 
 
+@query("probit_probabilities")
+def probit_probabilities(spark, sf_dir):
+    """With one factor the fitted probability of a level is the share of the target in it."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    rows = rows.withColumn("lang", F.expr("CASE WHEN lang <> 'es' THEN lang END"))
+    coefs = {r.term: r.coef for r in probit(build_design(rows, ["lang"], [], "quality")).coefs.collect()}
+    base = coefs.pop("const")
+    levels = [(None, base), *[(term.removeprefix("lang_"), base + coef) for term, coef in coefs.items()]]
+    fitted = [(level, NormalDist().cdf(value)) for level, value in levels]
+    return _rounded(spark.createDataFrame(fitted, "lang string, probability double"), 5, "probability")
+
+
+@query("cost_model_scores")
+def cost_model_scores(spark, sf_dir):
+    """The feature rows scored by the coefficients: per level and number, the share of the target that the scores explain."""
+    features = _features(spark, sf_dir, monthly=False)
+    fit = cost_model(features, ASSET_CATEGORIES, ASSET_NUMBERS, "amount_eur")
+    rows = build_design(features, ASSET_CATEGORIES, ASSET_NUMBERS, "amount_eur").frame.fillna("none", list(ASSET_CATEGORIES))
+    none = spark.createDataFrame([(f"{c}_none", 0.0) for c in ASSET_CATEGORIES], "term string, coef double")
+    weights = {r.term: r.coef for r in fit.coefs.where(F.col("term").isin(*ASSET_NUMBERS)).collect()}
+    scored = score_segments(fit.coefs.select("term", "coef").unionByName(none), rows, ASSET_CATEGORIES)
+    score = sum((F.col(c) * F.lit(w) for c, w in weights.items()), F.col("prediction"))
+    terms = [F.struct(F.concat(F.lit(f"{c}_"), F.col(c)).alias("term"), F.lit(1.0).alias("x")) for c in ASSET_CATEGORIES]
+    terms += [F.struct(F.lit(c).alias("term"), F.col(c).alias("x")) for c in ASSET_NUMBERS]
+    long = scored.select("amount_eur", score.alias("score"), F.inline(F.array(*terms)))
+    found = long.groupBy("term").agg(
+        F.count("*").alias("n"), F.round(F.sum(F.expr("x * score")) / F.sum(F.expr("x * amount_eur")), 5).alias("explained")
+    )
+    return found.where(~F.col("term").endswith("_none"))
+
+
 @query("cost_model_coefficients")
 def cost_model_coefficients(spark, sf_dir):
     features = _features(spark, sf_dir, monthly=False)
