@@ -35,6 +35,28 @@ def test_held_out_grades(spark):
     assert junk.expected_grade.mean() < 1.2 < clean.expected_grade.mean()
 
 
+def test_rare_telling_words_count():
+    """Eight texts of 4,000 have a word that only low grades go with, beside words that tell nothing."""
+    rng = np.random.default_rng(3)
+    texts = [np.append(rng.choice(400, 30, replace=False), 500 if i < 8 else 501) for i in range(4000)]
+    grades = np.where(np.arange(4000) < 8, 0, (rng.random(4000) > 0.05).astype(int))
+    model = quality.train(np.append(0, np.cumsum([len(t) for t in texts])), np.concatenate(texts), grades, 1)
+    new = [np.append(rng.choice(400, 30, replace=False), w) for w in [500] * 50 + [501] * 50]
+    keep = model.tails(np.append(0, np.cumsum([len(t) for t in new])), np.concatenate(new))[:, 0] >= 0.5
+    assert not keep[:50].any() and keep[50:].all()
+
+
+def test_held_out_toxic_recall_by_language(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = held_out_fold(F.col("doc_id"), 4, 0)
+    model = quality.fit(docs, quality.grades(labels.where(~held)), top=2)
+    rated = docs.select("doc_id", "text", "lang").join(labels.where("quality = 1 AND toxic = 1"), "doc_id")
+    found = quality.grade(model, rated.where(held)).join(rated.select("doc_id", "lang"), "doc_id").toPandas()
+    recall = 1 - found.groupby("lang").keep.mean()
+    assert recall["en"] > 0.8 and (recall[["de", "fr", "es"]] >= 0.45).all() and 1 - found.keep.mean() > 0.7
+
+
 def test_query_covers_all_documents(spark, sf_small):
     found = queries.QUERIES["op2_quality_grades"](spark, sf_small)
     ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id").collect())
