@@ -31,7 +31,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         at, values = lists(batch.column("hashes"))
         prints = [majority(values[i:j]) for i, j in zip(at[:-1], at[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64()), batch.column("hash")], ["doc_id", "fp", "hash"])
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -41,10 +41,15 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     words than a shingle is one shingle. Rows are kept one to one: repeated rows and null ids stay; other columns
     are ignored.
     """
+    return _hashed_prints(docs, id_col, text_col, shingle, F.lit(None)).select("doc_id", "fp")
+
+
+def _hashed_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, mark: Column) -> DataFrame:
+    """``simhash`` with ``mark`` of each row as column ``hash``."""
     hashed = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), shingle_hashes(words(F.col(text_col)), shingle).alias("hashes")
+        F.col(id_col).cast("bigint").alias("doc_id"), shingle_hashes(words(F.col(text_col)), shingle).alias("hashes"), mark.cast("string").alias("hash")
     )
-    return hashed.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    return hashed.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, hash string")
 
 
 class BKTree:
@@ -171,12 +176,17 @@ def near_duplicates(
     Repeated rows come back repeated. An empty table gives no rows.
     """
     prints = written_once(simhash(docs, id_col, text_col, shingle), "simhash")
+    return _labelled(prints, radius).select("doc_id", "fp", "component_id")
+
+
+def _labelled(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints`` with the smallest fingerprint and the smallest doc_id of the component: columns ``root`` and ``component_id``."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(labels, "fp")
 
 
 def hex_print(fp: Column) -> Column:
@@ -190,12 +200,17 @@ def distance(a: Column, b: Column) -> Column:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The documents that stay, with all their columns: of each component the document with the smallest id.
 
-    Of repeated rows with that id one stays.
+    Of repeated rows with that id, or of all rows of a component of null ids only, one stays: that with the smallest fingerprint and text.
     """
-    labels = near_duplicates(docs, id_col, text_col, shingle, radius)
-    kept = labels.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).count()
-    kept = written_once(kept, "kept")
-    rows = docs.join(kept.select("__id"), docs[id_col].cast("bigint").eqNullSafe(F.col("__id")), "left_semi")
-    if kept.where("count > 1").isEmpty():
-        return rows
-    return rows.dropDuplicates([id_col])
+    text = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
+    rows = docs.withColumns({"__id": F.col(id_col).cast("bigint"), "__text": text})
+    prints = written_once(_hashed_prints(docs, id_col, text_col, shingle, text), "simhash")
+    firsts = _labelled(prints, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # the component is told by its root fingerprint: those of null ids only have the same component_id
+    kept = firsts.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "hash")).alias("k"), F.count("*").alias("count"))
+    kept = written_once(kept.select(F.col("k.doc_id").alias("__i"), F.col("k.hash").alias("__h"), "count"), "kept")
+    same = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__text").eqNullSafe(F.col("__h"))
+    stay = rows.join(kept.select("__i", "__h"), same, "left_semi")
+    if not kept.where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["__id", "__text"])
+    return stay.drop("__id", "__text")

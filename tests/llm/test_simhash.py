@@ -57,6 +57,19 @@ def test_odd_rows(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 9]
 
 
+def test_ids_that_tell_no_rows_apart(spark, rows):
+    """Null and repeated ids: every component keeps exactly one document, and no copy of a numbered one comes back."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    data = [(None, a, 1), (None, b, 1), (None, b, 1), (None, c, 1), (5, c, 1), (7, a + " a", 1), (8, d, 1), (8, "other text", 1), (8, d, 1), (None, None, 1), (None, "", 1)]
+    docs = rows(data, "doc_id bigint, text string, fp int")
+    parts = plain_components(list(range(len(data))), [plain_print(t) for _, t, _ in data], 4)
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == len(set(parts)) == len({plain_print(t) for _, t in got})
+    assert (None, b) in got and (5, c) in got and (None, c) not in got and (8, d) in got and (8, "other text") in got
+
+
 def simhash_hex(fp):
     return f"{fp & (1 << 64) - 1:016x}"
 
