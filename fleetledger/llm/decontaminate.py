@@ -52,21 +52,45 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return items.withColumn("fp", F.expr(_SIMHASH))
 
 
-def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, spans): item-sized windows [first, first + size) of each document that lie as a shared shingle suggests.
+def _mark(text_col: str) -> Column:
+    """Tells the texts of rows with equal ids apart."""
+    return F.xxhash64(F.col(text_col))
 
-    A window without any shingle of an item has similarity 0 with all of them, so none of interest is left out. Benchmark shingles
-    are broadcast when a count shows that they are few; otherwise the join is a shuffled one.
+
+def _windows(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, mark, spans): all item-sized windows [first, first + size) of each document that can be like an item of that size.
+
+    For ``similarity`` s a window of m shingles must share s / (1 + s) * (m + those of the item) places with items of its size, at one
+    shingle at least; wherever these places lie, in whatever order, each start from which all of them are inside is a window. Fewer
+    places can't reach s, so none of interest is left out. Benchmark shingles are broadcast when a count shows that they are few;
+    otherwise the join is a shuffled one.
     """
-    places = items.select("size", F.posexplode("hashes").alias("offset", "h")).distinct()
+    places = items.select("size", F.explode("hashes").alias("h")).distinct()
     places = written_once(places, "benchmark-shingles")
     small = places.count() <= _BROADCAST_ROWS
-    spread = docs.select("doc_id", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h"))
+    spread = docs.select("doc_id", "mark", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h"))
     hits = spread.join(F.broadcast(places) if small else places, "h")
-    last = F.greatest(F.col("n") + (SHINGLE - 1) - F.col("size"), F.lit(0))
-    first = F.least(F.greatest(F.col("pos") - F.col("offset"), F.lit(0)), last)
-    distinct = hits.select("doc_id", "size", first.alias("first")).distinct()
-    return distinct.groupBy("doc_id").agg(F.collect_list(F.struct("first", "size")).alias("spans"))
+    held = hits.groupBy("doc_id", "mark", "n", "size").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    whole = F.col("size") - (SHINGLE - 1)
+    share = similarity / (1 + similarity)
+    least = F.greatest(F.ceil(F.lit(share) * (F.least("n", whole) + whole) - F.lit(1e-9)), F.lit(1)).cast("int")
+    held = held.withColumn("least", least).where(F.size("at") >= F.col("least")).withColumn("last", F.greatest(F.col("n") - whole, F.lit(0)))
+
+    def runs(at: Column) -> Column:
+        """Ranges of starts from which ``least`` places in a row are inside; both ends ascend."""
+        every = F.sequence(F.lit(0), F.size(at) - F.col("least"))
+        low = lambda i: F.greatest(F.get(at, i + F.col("least") - 1) - whole + 1, F.lit(0))
+        return F.filter(F.transform(every, lambda i: F.struct(low(i).alias("low"), F.least(F.get(at, i), F.col("last")).alias("high"))), lambda x: x["low"] <= x["high"])
+
+    def spreads(r: Column) -> Column:
+        """All starts in the ranges, each once."""
+        new = lambda x, i: F.greatest(x["low"], F.coalesce(F.get(r, i - 1)["high"] + 1, F.lit(0)))
+        fresh = F.transform(r, lambda x, i: F.struct(new(x, i).alias("low"), x["high"].alias("high")))
+        return F.flatten(F.transform(F.filter(fresh, lambda x: x["low"] <= x["high"]), lambda x: F.sequence(x["low"], x["high"])))
+
+    firsts = bind(bind(F.col("at"), runs), spreads)
+    distinct = held.select("doc_id", "mark", "size", F.explode(firsts).alias("first"))
+    return distinct.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "size")).alias("spans"))
 
 
 def contamination(
@@ -89,17 +113,20 @@ def contamination(
     that id; rows with equal ids count as one document. Other columns are ignored.
     """
     items = written_once(_items(benchmark, item_col, item_text_col), "items")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    hashed = texts.select("doc_id", _hashes(plain_words(F.col("text"))).alias("hashes"))
-    spans = written_once(_windows(hashed, items).withColumnRenamed("doc_id", "id"), "windows")
-    found = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "spans", plain_words(F.col("text")).alias("all"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _mark(text_col).alias("mark"), F.col(text_col).alias("text"))
+    hashed = texts.select("doc_id", "mark", _hashes(plain_words(F.col("text"))).alias("hashes"))
+    spans = _windows(hashed, items, similarity).withColumnsRenamed({"doc_id": "id", "mark": "text_mark"})
+    spans = written_once(spans, "windows")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("text_mark"))
+    found = texts.join(spans, same).select("doc_id", "mark", "spans", plain_words(F.col("text")).alias("all"))
     found = found.select(
         "doc_id",
+        "mark",
         F.explode(
             bind(F.col("all"), lambda w: F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["size"].alias("size"), F.slice(w, s["first"] + 1, s["size"]).alias("words"))))
         ).alias("s"),
     )
-    found = found.select("doc_id", "s.first", "s.size", "s.words").where(F.size("words") >= SHINGLE)
+    found = found.select("doc_id", "mark", "s.first", "s.size", "s.words").where(F.size("words") >= SHINGLE)
     found = written_once(found.withColumn("hashes", _hashes(F.col("words"))).withColumn("fp", F.expr(_SIMHASH)), "fingerprints")
 
     masks = [0, *(sum(1 << b for b in c) for k in range(1, _FLIPS + 1) for c in combinations(range(8), k))]
@@ -107,12 +134,12 @@ def contamination(
     index = items.select("item_id", "size", F.col("fp").alias("item_fp"), F.explode(F.array(*keys)).alias("k"))
     index = index.select("item_id", "size", "item_fp", "k.block", "k.value")
     blocks = F.array(*[F.struct(F.lit(i).alias("block"), _byte(i).alias("value")) for i in range(_BLOCKS)])
-    probes = found.select("doc_id", "first", "size", "fp", F.explode(blocks).alias("k"))
-    pairs = probes.select("doc_id", "first", "size", "fp", "k.block", "k.value").join(index, ["size", "block", "value"])
+    probes = found.select("doc_id", "mark", "first", "size", "fp", F.explode(blocks).alias("k"))
+    pairs = probes.select("doc_id", "mark", "first", "size", "fp", "k.block", "k.value").join(index, ["size", "block", "value"])
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-    pairs = pairs.where(near).select("doc_id", "first", "size", "fp", "item_id").distinct()
+    pairs = pairs.where(near).select("doc_id", "mark", "first", "size", "fp", "item_id").distinct()
 
-    window = ["doc_id", "first", "size", "fp"]
+    window = ["doc_id", "mark", "first", "size", "fp"]
     on = [F.col(f"w.{c}").eqNullSafe(F.col(f"p.{c}")) for c in window]
     named = pairs.alias("p").join(found.distinct().alias("w"), on).select("p.*", "w.words")
     counted = named.select(*window, "item_id", F.explode(_shingles(F.col("words"))).alias("shingle"))

@@ -65,6 +65,21 @@ def test_edited_and_odd_passages(spark, rows):
     assert decontaminate.contamination(docs, bench.limit(0)).collect() == []
 
 
+def test_swapped_parts_in_a_long_document(spark, rows):
+    """The like window starts at no place that a shared shingle's offset in the item names."""
+    ws = [f"w{i}" for i in range(60)]
+    before, after = ([f"{c}{i}" for i in range(90)] for c in "yz")
+    data = [
+        (1, " ".join(before + ws[50:] + ws[:50] + after)), (2, " ".join(before + ws[55:] + ws[:55] + after)), (3, " ".join(before + ws[30:] + ws[:20] + after)),
+        (4, " ".join(before + ws[:20] + ws[40:] + ws[20:40] + after)), (5, " ".join(ws[50:] + ws[:50])), (6, " ".join(before + ws[54:] + ["v"] + ws[:54] + after + ws)),
+    ]
+    items = [(1, " ".join(ws)), (2, " ".join(ws[:57]))]
+    docs, bench = rows(data, "doc_id bigint, text string"), rows(items, "item_id bigint, text string")
+    want = plain(data, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination(docs, bench).collect()}
+    assert (1, 1) in want and (2, 1) in want and (3, 1) not in want and got == pytest.approx(want)
+
+
 def test_no_python_in_the_plan(spark, sf_small):
     plan = queries.QUERIES["op3_decontamination"](spark, sf_small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
