@@ -10,7 +10,7 @@ sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from fleetledger import build_session  # noqa: E402
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+from helpers import SF_DIR, as_list, as_set  # noqa: E402,F401
 
 
 @pytest.fixture(scope="session")
@@ -33,12 +33,3 @@ def rows(spark):
     """Build a table from tuples and a DDL schema."""
     return lambda data, schema: spark.createDataFrame(data, schema)
 
-
-def as_set(df):
-    found = [tuple(r) for r in df.collect()]
-    assert len(found) == len(set(found)), "duplicate rows"
-    return set(found)
-
-
-def as_list(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -3,7 +3,7 @@ import statistics
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import as_set
+from helpers import as_set
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@ import random
 import statistics
 
 import pytest
-from conftest import as_list, as_set
+from helpers import as_list, as_set
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import SF_DIR
+from helpers import SF_DIR
 from test_queries import QUERIES
 
 from fleetledger.checks import standins as views

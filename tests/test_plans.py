@@ -3,7 +3,7 @@ import itertools
 import random
 
 import pytest
-from conftest import as_list, as_set
+from helpers import as_list, as_set
 from pyspark.sql import functions as F
 
 from fleetledger.functions.dates import as_of_dates

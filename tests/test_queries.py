@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, differences
-from conftest import SF_DIR
+from helpers import SF_DIR
 
 import __spark_entry__ as entry
 from fleetledger.checks.oracle import ORACLE

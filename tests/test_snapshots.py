@@ -2,7 +2,7 @@ import datetime as dt
 from unittest import mock
 
 import pytest
-from conftest import as_set
+from helpers import as_set
 
 from fleetledger.session import scratch_path, sizing, written_once
 from fleetledger.sources.snapshots import append_snapshot, read_latest_snapshot, union_history, write_results, write_snapshot
