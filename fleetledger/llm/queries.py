@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetledger.llm import bpe, chat, decontaminate, fingerprints, kneser, langid, quality, simhash, suffixes, urlrules
+from fleetledger.llm import bpe, chat, collocations, decontaminate, fim, fingerprints, kneser, langid, quality, simhash, suffixes, topk, urlrules
 from fleetledger.llm.common import held_out_fold, table
 
 
@@ -124,3 +124,109 @@ ORACLE: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op9_url_rules": OP9_SQL,
 }
+
+
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arranged = fim.transform(table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80)
+    return arranged.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS toks
+  FROM documents
+), d AS (
+  SELECT doc_id, text, toks, len(toks) AS n,
+         ('0x' || substr(h, 1, 8))::UBIGINT % (len(toks) + 1) AS k1, ('0x' || substr(h, 9, 8))::UBIGINT % (len(toks) + 1) AS k2,
+         ('0x' || substr(h, 17, 8))::UBIGINT % 100 AS d3, ('0x' || substr(h, 25, 8))::UBIGINT % 100 AS d4
+  FROM t
+), f AS (
+  SELECT doc_id, text, n,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d3 >= 50 THEN 'plain'
+              WHEN d4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(toks[1:least(k1, k2)], '') AS p, array_to_string(toks[least(k1, k2) + 1:greatest(k1, k2)], '') AS m,
+         array_to_string(toks[greatest(k1, k2) + 1:], '') AS s
+  FROM d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form = 'plain' THEN NULL ELSE CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form = 'plain' THEN NULL ELSE CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+         AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM f
+"""
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, id_col="vec_id", vec_col="embedding", k=5, scale=256)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE))))
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS score
+  FROM v a JOIN v b ON len(a.q) = len(b.q) AND a.vec_id IS DISTINCT FROM b.vec_id
+  WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id ASC NULLS LAST) AS rank FROM s
+) WHERE rank <= 5
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return collocations.collocations(docs, min_words=2, max_words=3, threshold=10, keep_share=50, top=2000)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), totals AS (
+  SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, o, unnest(list_transform(range(1, len(ws) - o + 2), lambda i: array_to_string(ws[i:i + o - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) v(o) WHERE len(ws) >= o
+), f AS (
+  SELECT lang, phrase, any_value(o) AS o, count(*) AS f FROM g GROUP BY lang, phrase
+), c AS (
+  SELECT lang, phrase, o, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE o >= 2 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.phrase, c.o, c.a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp
+  FROM c, (VALUES (1), (2)) v(k) WHERE k < c.o
+), scored AS (
+  SELECT cuts.*, fl.f AS l, fr.f AS r,
+         CAST((CAST(a AS HUGEINT) * a * 1000000) // (CAST(fl.f AS HUGEINT) * fr.f) AS BIGINT) AS score
+  FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.phrase = lp JOIN f fr ON fr.lang = cuts.lang AND fr.phrase = rp
+), best AS (
+  SELECT lang, phrase, o, a, arg_min(l, score * 10 + k) AS l, arg_min(r, score * 10 + k) AS r, min(score) AS score FROM scored GROUP BY ALL
+), inner_ AS (
+  SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a AS fl FROM c WHERE o = 3
+  UNION ALL SELECT lang, array_to_string(ws[2:3], ' ') AS phrase, a AS fl FROM c WHERE o = 3
+), kept AS (
+  SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.fl >= 50 * b.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase ASC) AS rank FROM kept
+)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, t.n,
+       CAST(score AS BIGINT) AS score
+FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= 2000
+"""
+
+
+QUERIES |= {"op11_fim": op11_fim, "op12_topk": op12_topk, "op13_collocations": op13_collocations}
+ORACLE |= {"op11_fim": OP11_SQL, "op12_topk": OP12_SQL, "op13_collocations": OP13_SQL}
