@@ -101,9 +101,13 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     similarity: float = 0.8,
+    by_text: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): documents with a window like a benchmark item, and the best such window.
 
+    With ``by_text`` a ``mark`` column (xxhash64 of the text) follows the id, and rows with equal ids but different texts are reported
+    apart; a stage that removes leaks anti-joins on both, so that a clean document never goes because it shares an id with a leak.
+
     A window has as many words as the item, or is the whole document if that is shorter. Its SimHash over five-word shingles is
     compared with the items of that size: each byte of a fingerprint is looked up with up to two bits flipped, which finds every pair
     at most 23 bits apart, as one of eight bytes then differs in two bits at most. Candidates are checked on their shingles'
@@ -158,14 +162,20 @@ def contamination(
     alike = F.col("common") / (F.col("n") + F.col("size") - (SHINGLE - 1) - F.col("common"))
     kept = totals.withColumn("similarity", alike).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("first", "size"), F.struct("similarity", -F.col("first"))).alias("best")
-    result = kept.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best)
+    key = ["doc_id", "mark"] if by_text else ["doc_id"]
+    result = kept.groupBy(*key, "item_id").agg(F.max("similarity").alias("similarity"), best)
     return result.select(
-        "doc_id", "item_id", "similarity", F.col("best.first").cast("bigint").alias("first_word"), F.col("best.size").cast("bigint").alias("n_words")
+        *key, "item_id", "similarity", F.col("best.first").cast("bigint").alias("first_word"), F.col("best.size").cast("bigint").alias("n_words")
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """The documents, with their columns, that hold no window like a benchmark item."""
-    found = contamination(docs, benchmark, id_col, text_col, similarity=similarity)
-    leaks = written_once(found.select(F.col("doc_id").alias("__id")).distinct(), "leaks")
-    return docs.join(leaks, docs[id_col].cast("bigint").eqNullSafe(F.col("__id")), "left_anti")
+    """The documents, with their columns, that hold no window like a benchmark item.
+
+    A row goes only if its own text leaks: leaks are matched on the id (null-safe) and the hash of the text, so rows that share an id,
+    a null one included, with a leak but hold another text stay.
+    """
+    found = contamination(docs, benchmark, id_col, text_col, similarity=similarity, by_text=True)
+    leaks = written_once(found.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "leaks")
+    same = docs[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (_mark(text_col) == F.col("__mark"))
+    return docs.join(leaks, same, "left_anti")

@@ -234,8 +234,9 @@ def identify(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"row {kind}, doc_id bigint, lang_pred string, score double, share double")
 
 
-def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.4) -> DataFrame:
-    """The documents, with their columns, whose language is known with a score of at least ``least``."""
+def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with their columns, that the operator does not reject: every one whose prediction is not ``und`` (a null text or
+    one without a letter). Short, mixed or unsure texts stay, whatever their score."""
     found = identify(model, docs, id_col, text_col, docs.columns)
-    known = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    known = found.where(F.col("lang_pred") != UNKNOWN)
     return known.select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
