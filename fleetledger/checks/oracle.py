@@ -593,6 +593,11 @@ ORACLE["interaction_terms"] = "SELECT " + ", ".join(
     for s in _LINE_VALUES
 ) + " FROM lineitem"
 
+ORACLE["interaction_terms_long"] = """
+SELECT 'dummies_constline_' || l_linestatus || '_gas_' || l_returnflag AS term, count(*) AS total
+FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY ALL
+"""
+
 # --- models -----------------------------------------------------------------------------------
 
 
@@ -716,6 +721,7 @@ JOIN r ON r.region = s.region JOIN g ON g.gas = s.gas LEFT JOIN i ON i.industry
 ORACLE["segment_effects"] = f"""
 {_SEGMENTS} SELECT region, gas, industry, {_PRICE} AS "value" FROM cells GROUP BY region, gas, industry
 """
+ORACLE["segment_effects_long"] = ORACLE["segment_effects"]
 
 
 def _lattice() -> str:

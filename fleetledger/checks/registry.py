@@ -35,8 +35,10 @@ from fleetledger.models.regress import (
 from fleetledger.operators.grouping import count_by, keep_top_values, range_profile, top_values
 from fleetledger.operators.joins import anti, left_join, semi
 from fleetledger.operators.reshape import (
+    active_cells,
     comparison_matrices,
     comparison_matrix,
+    cross_cells,
     display_grids,
     explode_combinations,
     interaction_terms,
@@ -770,6 +772,30 @@ def effects_by_segment(spark, sf_dir):
     return _rounded(segment_effects(cubes.select(*DIMS, *terms), coefs, DIMS, order=2), 2, "value")
 
 
+@query("segment_effects_long")
+def effects_by_segment_long(spark, sf_dir):
+    """``segment_effects`` on sparse cells: each row's active levels crossed in arrays, one row a non-zero three-way cell."""
+    rows = view(spark, sf_dir, views.SEGMENT_ROWS)
+    copies = rows.select(*DIMS, *[F.col(d).alias(f"{d}_level") for d in DIMS])
+    levels = {"region_level": LINES, "gas_level": FLAGS, "industry_level": ["I0", "I1", "I2"]}
+    flags = one_hot(copies, list(levels), levels)
+    region, gas, industry = (active_cells([c for c in flags.columns if c.startswith(p)]) for p in ("region_", "gas_", "industry_level_"))
+    cubes = cross_cells(cross_cells(region, gas), industry)
+    cells = flags.select(*DIMS, F.inline_outer(cubes))
+    name = F.format_string(
+        "dummies_constindustry_level_%s_dummies_constgas_level_%s_region_level_%s", "industry", "gas", "region"
+    )
+    coefs = rows.groupBy(name.alias("term")).agg(F.round(F.avg("price"), 2).alias("coef"))
+    return _rounded(segment_effects(cells, coefs, DIMS, order=2, long=True), 2, "value")
+
+
+@query("interaction_terms_long")
+def interaction_sums_long(spark, sf_dir):
+    """Sums of the products of two indicator groups from the sparse form: one row a term that occurs."""
+    cells = interaction_terms(_flagged_lines(spark, sf_dir), ["gas_", "line_"], long=True)
+    return cells.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("value").cast("bigint").alias("total"))
+
+
 def _lattice_coefs(rows: DataFrame) -> DataFrame:
     """Coefficients of the flag term and of its interactions with every subset of the dimensions."""
     subsets = [list(s) for size in range(len(DIMS) + 1) for s in combinations(DIMS, size)]

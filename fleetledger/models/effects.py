@@ -22,7 +22,7 @@ FLAG_TERM = "minimumoperatinghours"
 
 
 def segment_effects(
-    base: DataFrame, coefs: DataFrame, dims: Sequence[str], marker: str = MARKER, order: int = 3
+    base: DataFrame, coefs: DataFrame, dims: Sequence[str], marker: str = MARKER, order: int = 3, long: bool = False
 ) -> DataFrame:
     """Sum of the interaction coefficients that apply to each segment.
 
@@ -34,6 +34,8 @@ def segment_effects(
     makes the table longer. A term of that order without a design column is an error.
     """
     weights = coefs.where(count_token("term", marker) == order).select(F.col("term").alias("__term"), F.col("coef").alias("__coef"))
+    if long:
+        return _long_effects(base, weights, dims)
     terms = [c for c in base.columns if c not in dims and marker in c]
     extra = [c for c in base.columns if c not in dims and marker not in c]
     rows = known_keys(base, dims)
@@ -54,6 +56,20 @@ def segment_effects(
     return every.groupBy(*dims).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
 
 
+def _long_effects(cells: DataFrame, weights: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """``segment_effects`` on sparse cells (dims, term, value) such as ``interaction_terms(..., long=True)`` makes.
+
+    Only non-zero cells exist, so a (segment, term) pair applies when it is there at all; the pairs are made distinct with a map-side
+    partial distinct before one shuffle, meet the coefficients in a left join and are summed per segment: one pass over the cells, in
+    which every segment with a known key appears (rows without a cell carry a null term). Segments whose cells meet no
+    coefficient have effect zero. A coefficient whose term no row holds adds nothing (the wide form's missing-column error has no
+    counterpart: a term absent from every row is a term whose cells are all zero).
+    """
+    cells = known_keys(cells, dims).select(*dims, F.col("term").alias("__term")).distinct()
+    applied = cells.join(weights, "__term", "left").groupBy(*dims).agg(F.sum("__coef").alias("__value"))
+    return applied.select(*dims, F.coalesce(F.col("__value"), F.lit(0.0)).alias("value"))
+
+
 def _substrings(text: Column, longest: Column) -> Column:
     """All distinct substrings of a term name up to a length."""
     starts = F.sequence(F.lit(1), F.length(text))

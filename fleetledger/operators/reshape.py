@@ -152,13 +152,24 @@ def one_hot(
     return df.select(*[F.col(c) for c in df.columns if c not in columns], *flags)
 
 
-def interaction_terms(df: DataFrame, prefixes: Sequence[str], marker: str = "dummies_const") -> DataFrame:
+def interaction_terms(
+    df: DataFrame, prefixes: Sequence[str], marker: str = "dummies_const", long: bool = False, keep: Sequence[str] | None = None
+) -> DataFrame:
     """Add the products of every two indicator columns from different groups.
 
     A group is all columns that start with one of the prefixes; a product column is named
     ``<marker><second>_<first>``, so the marker count of a name tells the order of the interaction.
+
+    With ``long`` the result is sparse instead: one row (``keep`` columns, term, value) for every product of a row that is not zero
+    (a null cell counts as not zero, its product is null), built from the row's active levels; no zero cell is ever written, so
+    thousands of terms make no wide row. A row without any such product gives one row with a null term, so that it stays known.
     """
     groups = [[c for c in df.columns if c.startswith(p)] for p in prefixes]
+    if long:
+        actives = [active_cells(g) for g in groups]
+        pairs = [cross_cells(a, b, marker) for a, b in combinations(actives, 2)]
+        cells = F.flatten(F.array(*pairs)) if pairs else F.array().cast(CELLS)
+        return df.select(*[F.col(f"`{c}`") for c in keep or []], F.inline_outer(cells))
     products = {
         f"{marker}{b}_{a}": F.col(f"`{a}`") * F.col(f"`{b}`")
         for left, right in combinations(groups, 2)
@@ -168,6 +179,30 @@ def interaction_terms(df: DataFrame, prefixes: Sequence[str], marker: str = "dum
     return df.withColumns(products) if products else df
 
 
+#: Type of the sparse cells of a row.
+CELLS = "array<struct<term:string,value:double>>"
+
+
+def active_cells(columns: Sequence[str]) -> Column:
+    """The row's cells of these indicator columns that are not zero, as (term, value); a null cell counts as not zero."""
+    if not columns:
+        return F.array().cast(CELLS)
+    every = F.array(*[F.struct(F.lit(c).alias("term"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
+    return F.filter(every, lambda x: F.coalesce(x["value"] != 0, F.lit(True)))
+
+
+def cross_cells(left: Column, right: Column, marker: str = "dummies_const") -> Column:
+    """Products of every cell of ``left`` with every cell of ``right``, named ``<marker><right>_<left>`` like the wide columns."""
+    return F.flatten(
+        F.transform(
+            left,
+            lambda a: F.transform(
+                right, lambda b: F.struct(F.concat(F.lit(marker), b["term"], F.lit("_"), a["term"]).alias("term"), (a["value"] * b["value"]).alias("value"))
+            ),
+        )
+    )
+
+
 def explode_combinations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per combination of the elements of the list columns; an empty or null list gives none."""
     for name in columns:

@@ -285,3 +285,34 @@ def test_lattice_needs_its_base_term(spark):
     coefs = spark.createDataFrame([("dummies_constminimumoperatinghours_a", 1.0)], "term string, coef double")
     with pytest.raises(Exception, match="no coefficient of"):
         lattice_effects(coefs, spark.createDataFrame([("a",)], "k string"), ["k"]).collect()
+
+
+def test_long_interactions_equal_the_wide_columns(spark, rows):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": rng.choice(["p", "q", None], 60), "a_x": rng.choice([0, 1, 2], 60), "a_y": rng.choice([0, 1], 60),
+                        "b_u": rng.choice([0.0, 1.0, 2.5], 60), "b_v": rng.choice([0, 3], 60), "c_w": rng.choice([0, 1], 60)})
+    frame = spark.createDataFrame(pdf).withColumn("row", F.monotonically_increasing_id())
+    wide = interaction_terms(frame, ["a_", "b_", "c_"])
+    products = [c for c in wide.columns if c.startswith("dummies_const")]
+    want = {(r.row, t, r[t]) for r in wide.collect() for t in products if r[t] is None or r[t] != 0}
+    long = interaction_terms(frame, ["a_", "b_", "c_"], long=True, keep=["row"])
+    got = {(r.row, r.term, r.value) for r in long.collect() if r.term is not None}
+    assert got == {(i, t, None if v is None else float(v)) for i, t, v in want}
+    # A row without any product keeps one row with a null term.
+    bare = {r.row for r in long.where(F.col("term").isNull()).collect()}
+    assert bare == {r.row for r in wide.collect() if all(r[t] == 0 for t in products)}
+
+
+def test_long_segment_effects_equal_the_wide_form_at_5000_terms(spark):
+    n = 5000
+    base = spark.range(400).select(
+        F.concat(F.lit("s"), F.col("id") % 7).alias("k"), F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 3).alias("g"),
+        (F.col("id") % 100).alias("a"), (F.col("id") % 50).alias("b"),
+    )
+    wide_cells = [F.when((F.col("a") * 50 + F.col("b")) % n == i, 1).otherwise(0).alias(f"dummies_const{i}") for i in range(n)]
+    wide = base.select("k", "g", *wide_cells)
+    long = base.select("k", "g", F.concat(F.lit("dummies_const"), ((F.col("a") * 50 + F.col("b")) % n).cast("string")).alias("term"), F.lit(1.0).alias("value"))
+    coefs = spark.createDataFrame([(f"dummies_const{i}", float(i % 97)) for i in range(0, n, 3)], "term string, coef double")
+    got = {(r.k, r.g): r.value for r in segment_effects(long, coefs, ["k", "g"], order=1, long=True).collect()}
+    want = {(r.k, r.g): r.value for r in segment_effects(wide, coefs, ["k", "g"], order=1).collect()}
+    assert got == pytest.approx(want) and len(got) == 21
