@@ -77,7 +77,48 @@ def gram_stats(design: Design) -> DataFrame:
     profile = design.frame.groupBy(*cats).agg(
         F.count("*").alias("n"), *[F.sum(v).alias(name) for name, v in sums.items()]
     )
+    return _profile_cells(profile, cats, values, products)
 
+
+def level_moments(design: Design) -> DataFrame:
+    """One row per combination of levels with its count ``n``, the means ``m{i}`` of the numbers and the target, and their central
+    co-moments ``c{k}`` (sum of products of deviations from the combination's means) for every pair, in one scan of the rows.
+
+    Spark's mean and covariance aggregates merge partial results by the parallel update rule, so the partial aggregation before the
+    shuffle keeps its digits for numbers far from zero.
+    """
+    cats, values = list(design.categories), [*design.numbers, design.target]
+    products = [(a, b) for i, a in enumerate(values) for b in values[i:]]
+    return design.frame.groupBy(*cats).agg(
+        F.count("*").alias("n"),
+        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)],
+        *[(F.covar_pop(a, b) * F.count("*")).alias(f"c{k}") for k, (a, b) in enumerate(products)],
+    )
+
+
+def centred_gram_stats(design: Design, moments: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """The cells of ``gram_stats`` with the numbers and the target centred at their overall means, from ``level_moments``.
+
+    The overall means come from the (small) moments table; a combination's centred sums follow from its own moments:
+    sum(a - mu_a) = n (m_a - mu_a) and sum((a - mu_a)(b - mu_b)) = c_ab + n (m_a - mu_a)(m_b - mu_b). The rows are read once.
+    """
+    cats, values = list(design.categories), [*design.numbers, design.target]
+    products = [(a, b) for i, a in enumerate(values) for b in values[i:]]
+    found = moments.agg(
+        F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"m{i}")).alias(f"t{i}") for i in range(len(values))]
+    ).first()
+    total = found["n"] or 0
+    means = {v: (found[f"t{i}"] / total if total else 0.0) for i, v in enumerate(values)}
+    off = {v: F.col(f"m{i}") - F.lit(means[v]) for i, v in enumerate(values)}
+    sums = {f"s{i}": F.col("n") * off[v] for i, v in enumerate(values)}
+    sums |= {f"p{k}": F.col(f"c{k}") + F.col("n") * off[a] * off[b] for k, (a, b) in enumerate(products)}
+    profile = moments.select(*cats, "n", *[v.alias(name) for name, v in sums.items()])
+    return _profile_cells(profile, cats, values, products), means
+
+
+def _profile_cells(profile: DataFrame, cats: list[str], values: list[str], products: list[tuple[str, str]]) -> DataFrame:
+    """Gram cells from a table of level combinations with counts ``n``, sums ``s{i}`` and sums of products ``p{k}``."""
+    sums = [f"s{i}" for i in range(len(values))] + [f"p{k}" for k in range(len(products))]
     # grouping() tells a column outside the set from a null level; both give no term name.
     terms = [F.when(F.grouping(c) == 0, F.concat(F.lit(f"{c}_"), F.col(c))) for c in cats]
     used = sum((1 - F.grouping(c).cast("int") for c in cats), F.lit(0))

@@ -7,7 +7,7 @@ NumPy solves it. Its size is bounded by ``max_terms``, past which a fit is refus
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetledger.functions.text import as_label
-from fleetledger.models.design import CONST, Design, build_design, gram_stats, gram_stats_wide
+from fleetledger.models.design import CONST, Design, build_design, centred_gram_stats, gram_stats_wide, level_moments
 from fleetledger.operators.joins import left_join
+from fleetledger.session import written_once
 
 MAX_TERMS = 2000
 
@@ -112,9 +113,11 @@ def _centred(df: DataFrame, means: Mapping[str, float]) -> DataFrame:
 
 
 def _design_moments(design: Design, max_terms: int) -> Moments:
-    means = _means(design.frame, [*design.numbers, design.target])
-    near = replace(design, frame=_centred(design.frame, means))
-    return collect_moments(gram_stats(near), design.target, design.numbers, max_terms, means)
+    """Moments of a design centred at the means of its numbers and target, from one scan of the rows: per combination of levels,
+    counts, means and central co-moments (``level_moments``, written once), then the overall means and centred cells from that table."""
+    moments = written_once(level_moments(design), "level-moments")
+    cells, means = centred_gram_stats(design, moments)
+    return collect_moments(cells, design.target, design.numbers, max_terms, means)
 
 
 def _wide_moments(df: DataFrame, terms: Sequence[str], target: str, max_terms: int) -> Moments:

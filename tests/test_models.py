@@ -316,3 +316,24 @@ def test_long_segment_effects_equal_the_wide_form_at_5000_terms(spark):
     got = {(r.k, r.g): r.value for r in segment_effects(long, coefs, ["k", "g"], order=1, long=True).collect()}
     want = {(r.k, r.g): r.value for r in segment_effects(wide, coefs, ["k", "g"], order=1).collect()}
     assert got == pytest.approx(want) and len(got) == 21
+
+
+def test_centred_cells_from_one_scan_equal_numpy(spark):
+    from fleetledger.models.design import centred_gram_stats, level_moments
+
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"c": rng.choice(["a", "b", None], 300), "x": 1e9 + rng.normal(0, 3, 300), "y": rng.normal(5e8, 1, 300)})
+    design = build_design(spark.createDataFrame(pdf), ["c"], ["x"], "y")
+    moments = level_moments(design)
+    cells, means = centred_gram_stats(design, moments)
+    got = {(r.row_term, r.col_term): r.value for r in cells.collect()}
+    x, y = pdf["x"] - pdf["x"].mean(), pdf["y"] - pdf["y"].mean()
+    assert means == pytest.approx({"x": pdf["x"].mean(), "y": pdf["y"].mean()}, rel=1e-15)
+    assert got[("x", "x")] == pytest.approx(float((x * x).sum()), rel=1e-6)
+    assert got[("x", "y")] == pytest.approx(float((x * y).sum()), rel=1e-7, abs=1e-6)
+    for level in ("a", "b"):
+        on = pdf["c"] == level
+        assert got[("c_" + level, "x")] == pytest.approx(float(x[on].sum()), rel=1e-6, abs=1e-3)  # means near 1e9 hold 1e-7 absolute
+        assert got[("c_" + level, "c_" + level)] == on.sum()
+    # The rows are aggregated once: the moments table has one row per level, null included.
+    assert moments.count() == 3
