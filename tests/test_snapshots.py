@@ -126,3 +126,20 @@ def test_a_cluster_session_needs_a_shared_folder():
 def test_sizing_bounds_partitions_and_uses_all_cores():
     assert sizing(100 << 40, 4000)["spark.sql.shuffle.partitions"] == str((100 << 40) // (128 << 20))
     assert sizing(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_a_write_that_dies_before_publishing_leaves_the_old_snapshot(spark, rows, tmp_path):
+    from fleetledger.sources.snapshots import publish_snapshot, stage_snapshot
+
+    path = str(tmp_path / "safe")
+    schema = "k string, v int"
+    write_snapshot(rows([("a", 1)], schema), path, DAY1)
+    # The job dies after staging the same date and a later one, before publishing either.
+    stage_snapshot(rows([("a", 2)], schema), path)
+    stage_snapshot(rows([("b", 3)], schema), path)
+    latest = read_latest_snapshot(spark, path, rows([], schema).schema)
+    assert as_set(latest) == {("a", 1)}
+    # A run that completes replaces the date.
+    attempt = stage_snapshot(rows([("a", 4)], schema), path)
+    publish_snapshot(spark, path, DAY1, attempt)
+    assert as_set(read_latest_snapshot(spark, path, rows([], schema).schema)) == {("a", 4)}
