@@ -1,88 +1,177 @@
 """Phrase collocations: frequent n-grams found by mergeable Misra-Gries summaries, then counted exactly.
 
-Pass one hashes every 1- to 3-word n-gram (with its language) in Spark SQL, counts the hashes of each input partition in a pandas step and
-writes these local counts once to the shared folder. The local counts are dealt by hash into partitions; for each hash bucket, the mass m
-(all its n-gram occurrences) is known, and a Misra-Gries summary of capacity k = floor(m / threshold) + 1 > m / threshold absorbs the
-bucket's batches one by one by the mergeable rule (add the counters, subtract the (k+1)-th largest, keep what stays positive). Its
-undercount is below m / (k+1) < threshold, so every n-gram with at least ``threshold`` occurrences keeps a positive counter.
-
-Pass two counts exactly: the local counts of the surviving hashes are summed, and the texts of the hashes that reach the threshold are
-counted by text (a hash collision can add a phrase, never lose one). The parts of a frequent phrase are frequent themselves, so the
-counts of all cuts come from the same pass. Scores, containment and ranks are SQL over these counts.
+Every input partition is cut into pieces and words in a pandas step, and each n-gram of 1 to 3 words gets two 64-bit keys: word hashes
+chained by a mixing function, with the language and the order mixed in. Pass one counts the first key per partition and sums the counts
+of each hash bucket: the bucket's mass m. Pass two deals the local counts by bucket; a Misra-Gries summary of capacity
+k = floor(m / threshold) + 1 > m / threshold absorbs the bucket's batches one by one by the mergeable rule (add the counters, subtract the
+(k+1)-th largest, keep what stays positive). A key's true count lies between its counter and the counter plus everything the bucket
+subtracted, which is below m / (k+1) < threshold; keys whose upper bound reaches the threshold survive, so no frequent n-gram is lost.
+
+Pass three counts exactly: the documents are read again, the occurrences of surviving keys are counted per partition by both keys and
+named by their text, and Spark sums them by (language, phrase). The parts of a frequent phrase are frequent themselves, so the counts of
+all cuts come from the same pass. Scores, containment and ranks are SQL over these counts.
 """
 
 from __future__ import annotations
 
+import re
 import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetledger.llm.common import bind, lists
 from fleetledger.session import written_once
 
 #: Fixed values of the method: piece breaks and word separators.
-PIECE_BREAKS = r"[.,;:!?\x0A-\x0D]"
-WORD_BREAKS = r"[\x20\x09]+"
-#: Hashes a local count holds before it is merged again, and survivors that may be sent to every task whole.
-_COMPACT = 4_000_000
+PIECE_BREAKS = ".,;:!?\x0a\x0b\x0c\x0d"
+_BREAKS = set(".,;:!?\n\x0b\x0c\r")
+_TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+#: Survivors that may be sent to every task whole; beyond, the text pass meets them by a shuffle join.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of text tokenised at once: bounds a task's Python memory whatever the batch size (a longer single text is one slice).
+SLICE_BYTES = 4 << 20
+_M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of an ordered pair (a splitmix finaliser over a combination of both)."""
+    with np.errstate(over="ignore"):
+        x = a ^ (b + _GOLD + (a << np.uint64(6)) + (a >> np.uint64(2)))
+        x = (x ^ (x >> np.uint64(30))) * _M1
+        x = (x ^ (x >> np.uint64(27))) * _M2
+        return x ^ (x >> np.uint64(31))
+
+
+class Grams:
+    """The words of a batch of documents and the two keys of each of their n-grams."""
 
+    def __init__(self, texts: list, langs: list, max_words: int):
+        words, piece, doc, at = [], array("q"), array("q"), 0
+        for i, text in enumerate(texts):
+            at += 1
+            for token in _TOKEN.findall((text or "").translate(_LOWER)):
+                if token in _BREAKS:
+                    at += 1
+                else:
+                    words.append(token)
+                    piece.append(at)
+                    doc.append(i)
+        self.words, self.doc = words, np.asarray(doc, dtype=np.int64)
+        self.langs = ["und" if lang is None else lang for lang in langs]
+        piece = np.asarray(piece, dtype=np.int64)
+        codes: dict[str, int] = {}
+        code = np.array([codes.setdefault(w, len(codes)) for w in words], np.int64)
+        names = [w.encode() for w in codes]
+        lang_keys = {name: i for i, name in enumerate(sorted(set(self.langs)))}
+        lang_code = np.array([lang_keys[x] for x in self.langs], np.int64)
+        self.keys, self.starts, self.orders = [], [], []
+        for seed in (1, 2):
+            word = np.array([xxhash.xxh64_intdigest(n, seed) for n in names], np.uint64)[code] if names else np.zeros(0, np.uint64)
+            lang = np.array([xxhash.xxh64_intdigest(x.encode(), seed + 2) for x in sorted(lang_keys)], np.uint64)[lang_code[self.doc]] if len(code) else np.zeros(0, np.uint64)
+            chain, keys = word, []
+            for order in range(1, max_words + 1):
+                if order > 1:
+                    chain = _mix(chain[:-1], word[order - 1 :])
+                n = len(chain)
+                inside = piece[:n] == piece[order - 1 : order - 1 + n]
+                keys.append(_mix(chain[inside], lang[:n][inside] ^ np.uint64(order)))
+                if seed == 1:
+                    self.starts.append(np.flatnonzero(inside))
+                    self.orders.append(order)
+            self.keys.append(keys)
 
-def pieces(text: Column) -> Column:
-    """Word arrays of the pieces of a text: A-Z lower-cased, cut at ``PIECE_BREAKS``, words between spaces and tabs (null: empty)."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.transform(F.split(lowered, PIECE_BREAKS, -1), lambda p: F.array_remove(F.split(p, WORD_BREAKS, -1), ""))
+    def first(self) -> np.ndarray:
+        return np.concatenate(self.keys[0]).view(np.int64) if self.keys[0] else np.zeros(0, np.int64)
 
+    def phrases(self, wanted: np.ndarray | None) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+        """(lang, phrase, count, first key) of the n-grams whose first key is in ``wanted`` (all for None), one row per distinct pair of keys."""
+        langs, texts, counts, firsts = [], [], [], []
+        for ka, kb, starts, order in zip(self.keys[0], self.keys[1], self.starts, self.orders):
+            hit = np.ones(len(ka), bool) if wanted is None else np.isin(ka.view(np.int64), wanted)
+            if not hit.any():
+                continue
+            a, b, at = ka[hit], kb[hit], starts[hit]
+            order_ = np.lexsort((b, a))
+            a, b, at = a[order_], b[order_], at[order_]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            first = np.flatnonzero(new)
+            many = np.diff(np.append(first, len(a)))
+            for i, c in zip(at[first], many):
+                langs.append(self.langs[self.doc[i]])
+                texts.append(" ".join(self.words[i : i + order]))
+                counts.append(int(c))
+            firsts.append(a[first].view(np.int64))
+        return langs, texts, np.array(counts, np.int64), np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
 
-def _grams(words: Column, order: int) -> Column:
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - order + 1), lambda i: F.array_join(F.slice(words, i, order), " "))
-    return F.when(F.size(words) >= order, runs).otherwise(F.array().cast("array<string>"))
 
+def _grams(max_words: int):
+    """Grams of the slices of a batch, each holding at most ``SLICE_BYTES`` of text (or one longer text)."""
 
-def phrases(text: Column, max_words: int) -> Column:
-    """Every contiguous run of 1 to ``max_words`` words inside a piece, space-joined, overlaps included."""
-    return F.flatten(F.transform(pieces(text), lambda w: bind(w, lambda ws: F.concat(*[_grams(ws, o) for o in range(1, max_words + 1)]))))
+    def of(batch: pa.RecordBatch) -> Iterator[Grams]:
+        sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, size in enumerate(sizes):
+            if held and held + size > SLICE_BYTES:
+                part = batch.slice(start, i - start)
+                yield Grams(part.column("_text").to_pylist(), part.column("_lang").to_pylist(), max_words)
+                start, held = i, 0
+            held += int(size)
+        if start < batch.num_rows:
+            part = batch.slice(start)
+            yield Grams(part.column("_text").to_pylist(), part.column("_lang").to_pylist(), max_words)
 
+    return of
 
-def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct hashes of one input partition with their counts, merged whenever the pending hashes pass ``_COMPACT``."""
-    keys, counts, pending = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    size = 0
-    for batch in batches:
-        _, flat = lists(batch.column("_hs"))
-        pending.append(flat.astype(np.int64))
-        size += len(flat)
-        if size > _COMPACT:
-            keys, counts = _merge(keys, counts, np.concatenate(pending))
-            pending, size = [], 0
-    keys, counts = _merge(keys, counts, np.concatenate(pending) if pending else np.zeros(0, np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["h", "cnt"])
 
+def _counted(keys: np.ndarray, parts: int) -> pa.RecordBatch:
+    unique, counts = np.unique(keys, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(counts.astype(np.int64)), pa.array(np.mod(unique, parts).astype(np.int32))], ["h", "cnt", "bucket"])
 
-def _merge(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    added = np.ones(len(more), np.int64) if weights is None else weights
+
+def _merge(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
-    return unique, np.bincount(where, weights=np.concatenate([counts, added]), minlength=len(unique)).astype(np.int64)
+    return unique, np.bincount(where, weights=np.concatenate([counts, weights]), minlength=len(unique)).astype(np.int64)
+
 
+def misra_gries(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Merge a weighted batch into a summary of at most ``capacity`` counters: add, subtract the (capacity+1)-th largest, keep positives.
 
-def misra_gries(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge a weighted batch into a summary of at most ``capacity`` counters: add, subtract the (capacity+1)-th largest, keep positives."""
+    Returns the keys, their counters and the amount subtracted from each (0 if nothing was).
+    """
     keys, counts = _merge(keys, counts, more, weights)
-    if len(counts) > capacity:
-        cut = np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
-        counts = counts - cut
-        keep = counts > 0
-        keys, counts = keys[keep], counts[keep]
-    return keys, counts
+    if len(counts) <= capacity:
+        return keys, counts, 0
+    cut = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
+    counts = counts - cut
+    keep = counts > 0
+    return keys[keep], counts[keep], cut
+
 
+def _summaries(capacity: dict[int, int], threshold: int, buffer_rows: int = 1 << 20):
+    """Misra-Gries summaries of the buckets of a partition. Batches are buffered per bucket and merged once the buffer holds as many
+    rows as the summary may (at least ``buffer_rows``), so a merge's sort is paid once per capacity's worth of input."""
 
-def _summaries(capacity: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        sizes: dict[int, int] = {}
+
+        def absorb(key: int) -> None:
+            keys, counts, lost = held.get(key, (np.zeros(0, np.int64), np.zeros(0, np.int64), 0))
+            more = waiting.pop(key, [])
+            sizes.pop(key, None)
+            if more:
+                keys, counts, cut = misra_gries(keys, counts, np.concatenate([m[0] for m in more]), np.concatenate([m[1] for m in more]), capacity[key])
+                held[key] = (keys, counts, lost + cut)
+
         for batch in batches:
             bucket = batch.column("bucket").to_numpy()
             h, cnt = batch.column("h").to_numpy(), batch.column("cnt").to_numpy()
@@ -90,13 +179,16 @@ def _summaries(capacity: dict[int, int]):
             bucket, h, cnt = bucket[order], h[order], cnt[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])):
-                if a == b:
-                    continue
                 key = int(bucket[a])
-                keys, counts = held.get(key, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                held[key] = misra_gries(keys, counts, h[a:b], cnt[a:b], capacity[key])
-        for keys, counts in held.values():
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["h", "estimate"])
+                waiting.setdefault(key, []).append((h[a:b], cnt[a:b]))
+                sizes[key] = sizes.get(key, 0) + int(b - a)
+                if sizes[key] >= max(capacity[key], buffer_rows):
+                    absorb(key)
+        for key in list(waiting):
+            absorb(key)
+        for keys, counts, lost in held.values():
+            # The true count is at most the counter plus all that was subtracted.
+            yield pa.RecordBatch.from_arrays([pa.array(keys[counts + lost >= threshold])], ["h"])
 
     return run
 
@@ -104,25 +196,41 @@ def _summaries(capacity: dict[int, int]):
 def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_words: int = 3, threshold: int = 10) -> DataFrame:
     """Exact counts (lang, phrase, words, f) of every phrase of 1 to ``max_words`` words with f >= ``threshold`` in its language.
 
-    A null language is ``und``, a null text empty. Every occurrence counts, repeated rows and overlaps included.
+    A null language is ``und``, a null text empty. Every occurrence counts, repeated rows and overlaps included. Phrases are told apart
+    by their text within the rows of a partition that share a pair of 64-bit keys (a 128-bit key).
     """
     spark = docs.sparkSession
-    lang = F.coalesce(F.col(lang_col), F.lit("und"))
-    hashed = docs.select(F.transform(phrases(F.col(text_col), max_words), lambda p: F.xxhash64(lang, p)).alias("_hs"))
-    local = written_once(hashed.mapInArrow(_local_counts, "h bigint, cnt bigint"), "gram-counts")
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    local = local.withColumn("bucket", F.pmod(F.col("h"), F.lit(parts)).cast("int"))
-    mass = {r["bucket"]: r["m"] for r in local.groupBy("bucket").agg(F.sum("cnt").alias("m")).collect()}
+    grams = _grams(max_words)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in grams(batch):
+                yield _counted(g.first(), parts)
+
+    counted = rows.mapInArrow(local, "h bigint, cnt bigint, bucket int")
+    mass = {r["bucket"]: r["m"] for r in counted.groupBy("bucket").agg(F.sum("cnt").alias("m")).collect()}
     capacity = {b: m // threshold + 1 for b, m in mass.items()}
-    survivors = local.repartition(parts, "bucket").mapInArrow(_summaries(capacity), "h bigint, estimate bigint").select("h")
-    exact = local.join(survivors, "h", "left_semi").groupBy("h").agg(F.sum("cnt").alias("f_hash")).where(F.col("f_hash") >= threshold)
-    keys = written_once(exact.select("h"), "frequent-hashes")
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    grams = docs.select(lang.alias("lang"), F.explode(phrases(F.col(text_col), max_words)).alias("phrase"))
-    grams = grams.withColumn("h", F.xxhash64("lang", "phrase")).join(keys, "h", "left_semi")
-    counted = grams.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= threshold)
-    return counted.withColumn("words", F.size(F.split("phrase", " ")))
+    survivors = counted.repartition(parts, "bucket").mapInArrow(_summaries(capacity, threshold), "h bigint")
+    keys = written_once(survivors, "frequent-keys")
+    n_keys = keys.count()
+    wanted = None
+    if n_keys <= BROADCAST_ROWS:
+        wanted = spark.sparkContext.broadcast(np.sort(keys.toArrow().column("h").to_numpy()))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in grams(batch):
+                langs, texts, counts, firsts = g.phrases(None if wanted is None else wanted.value)
+                columns = [pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(counts), pa.array(firsts)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "cnt", "h"])
+
+    found = rows.mapInArrow(named, "lang string, phrase string, cnt bigint, h bigint")
+    if wanted is None:  # too many survivors to send whole: every distinct n-gram of a partition meets them by a shuffle join
+        found = found.join(keys, "h", "left_semi")
+    total = found.groupBy("lang", "phrase").agg(F.sum("cnt").alias("f")).where(F.col("f") >= threshold)
+    return total.withColumn("words", F.size(F.split("phrase", " ")))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, min_words: int = 2, max_words: int = 3,
@@ -136,7 +244,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     lang = F.coalesce(F.col(lang_col), F.lit("und"))
     counts = written_once(frequent(docs, text_col, lang_col, max_words=max_words, threshold=threshold), "phrase-counts")
-    totals = docs.select(lang.alias("lang"), F.aggregate(pieces(F.col(text_col)), F.lit(0).cast("bigint"), lambda acc, w: acc + F.size(w)).alias("w"))
+    words = F.array_remove(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09.,;:!?\x0A-\x0D]+", -1), "")
+    totals = docs.select(lang.alias("lang"), F.size(words).cast("bigint").alias("w"))
     totals = totals.groupBy("lang").agg(F.sum("w").alias("n"))
     cands = counts.where(F.col("words").between(min_words, max_words)).select("lang", "phrase", F.col("f").alias("a"), "words")
     ws = F.split("phrase", " ")
