@@ -167,9 +167,11 @@ def _reached_at(column: str, dates: Sequence[dt.date]) -> Column:
 def contract_funnel(landscape: DataFrame, spec: FunnelSpec, as_of_dates: Sequence[dt.date]) -> DataFrame:
     """Distinct entities per as-of date, category, KPI key and stage; null counts as one entity.
 
-    Combinations without any entity are reported as zero.
+    Combinations without any entity are reported as zero. Without any as-of date there is nothing to count at: a ValueError says so.
     """
     dates = sorted(set(as_of_dates))
+    if not dates:
+        raise ValueError("contract_funnel needs at least one as-of date")
     stages = _stage_rows(first_dates(landscape, spec, dates[-1]))
     # The first as-of date an entity is counted at; dates[-1] bounds them all.
     entered = stages.groupBy("category", "kpi", "filter", _reached_at("since", dates).alias("timestamp")).agg(

@@ -296,3 +296,8 @@ def test_cost_features_asset(rows):
     by_month = cost_features_asset(frame, monthly, monthly=True, top_n=1, period_end="month")
     assert {r["average_actual_hours"] for r in by_month.collect()} == {730.0 / 89 * 365}
     assert {r["month"] for r in by_month.collect()} == {"3"}
+
+
+def test_funnel_without_dates_says_so(landscape):
+    with pytest.raises(ValueError, match="at least one as-of date"):
+        contract_funnel(landscape, FunnelSpec(types=["A"], types2=(), exemptions=EXEMPT), [])
