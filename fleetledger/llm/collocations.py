@@ -1,6 +1,6 @@
 """Phrase collocations: frequent n-grams found by mergeable Misra-Gries summaries, then counted exactly.
 
-Every input partition is cut into pieces and words in a pandas step, and each n-gram of 1 to 3 words gets two 64-bit keys: word hashes
+Every input partition is cut into pieces and words by numpy on its UTF-8 bytes, and each n-gram of 1 to 3 words gets two 64-bit keys: word hashes
 chained by a mixing function, with the language and the order mixed in. Pass one counts the first key per partition and sums the counts
 of each hash bucket: the bucket's mass m. Pass two deals the local counts by bucket; a Misra-Gries summary of capacity
 k = floor(m / threshold) + 1 > m / threshold absorbs the bucket's batches one by one by the mergeable rule (add the counters, subtract the
@@ -14,9 +14,7 @@ all cuts come from the same pass. Scores, containment and ranks are SQL over the
 
 from __future__ import annotations
 
-import re
 import string
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +28,10 @@ from fleetledger.session import written_once
 
 #: Fixed values of the method: piece breaks and word separators.
 PIECE_BREAKS = ".,;:!?\x0a\x0b\x0c\x0d"
-_BREAKS = set(".,;:!?\n\x0b\x0c\r")
-_TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: Survivors that may be sent to every task whole; beyond, the text pass meets them by a shuffle join.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text tokenised at once: bounds a task's Python memory whatever the batch size (a longer single text is one slice).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,36 +44,66 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _byte_classes() -> np.ndarray:
+    """0 for a byte of a word, 1 for a separator (space, tab), 2 for a piece break."""
+    classes = np.zeros(256, np.int8)
+    classes[[0x20, 0x09]] = 1
+    classes[[ord(c) for c in PIECE_BREAKS]] = 2
+    return classes
+
+
+_CLASSES = _byte_classes()
+_LOWER_BYTES = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+#: Per seed, a random 64-bit value for every byte, drawn from a fixed generator: the tables of the word hash.
+_TABLES = {seed: np.random.default_rng(seed).integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) << np.uint64(1) for seed in (1, 2)}
+
+
 class Grams:
-    """The words of a batch of documents and the two keys of each of their n-grams."""
+    """The words of a batch of documents and the two keys of each of their n-grams, computed on the UTF-8 bytes with numpy.
+
+    Pieces end at a break byte and at the end of a document; words are runs of other bytes than separators and breaks, all of them
+    ASCII, so a word never splits a multi-byte character. A word's key sums a table value of each byte mixed with its place in the word.
+    """
 
     def __init__(self, texts: list, langs: list, max_words: int):
-        words, piece, doc, at = [], array("q"), array("q"), 0
-        for i, text in enumerate(texts):
-            at += 1
-            for token in _TOKEN.findall((text or "").translate(_LOWER)):
-                if token in _BREAKS:
-                    at += 1
-                else:
-                    words.append(token)
-                    piece.append(at)
-                    doc.append(i)
-        self.words, self.doc = words, np.asarray(doc, dtype=np.int64)
+        raw = [(t or "").encode() for t in texts]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        self.data = b"".join(raw).translate(_LOWER_BYTES)
+        buf = np.frombuffer(self.data, np.uint8)
+        doc_of = np.repeat(np.arange(len(raw)), sizes)
+        kind = _CLASSES[buf]
+        word = kind == 0
+        same = np.ones(len(buf), bool)
+        if len(buf):
+            same[0] = False
+            same[1:] = doc_of[1:] == doc_of[:-1]
+        begins = word & ~(np.concatenate([[False], word[:-1]]) & same)
+        finishes = word & ~(np.concatenate([word[1:], [False]]) & np.concatenate([same[1:], [False]]))
+        self.starts_at, self.ends_at = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+        self.doc = doc_of[self.starts_at]
+        breaks = np.cumsum(kind == 2)
+        piece = breaks[self.starts_at] + self.doc
         self.langs = ["und" if lang is None else lang for lang in langs]
-        piece = np.asarray(piece, dtype=np.int64)
-        codes: dict[str, int] = {}
-        code = np.array([codes.setdefault(w, len(codes)) for w in words], np.int64)
-        names = [w.encode() for w in codes]
-        lang_keys = {name: i for i, name in enumerate(sorted(set(self.langs)))}
-        lang_code = np.array([lang_keys[x] for x in self.langs], np.int64)
+        names = sorted(set(self.langs))
+        lang_code = np.array([names.index(x) for x in self.langs], np.int64) if self.langs else np.zeros(0, np.int64)
+        inside_word = np.flatnonzero(word)
+        number = np.cumsum(begins)[inside_word] - 1
+        place = (inside_word - self.starts_at[number]).astype(np.uint64)
+        firsts = np.flatnonzero(begins[inside_word])
+        length = (self.ends_at - self.starts_at).astype(np.uint64)
         self.keys, self.starts, self.orders = [], [], []
         for seed in (1, 2):
-            word = np.array([xxhash.xxh64_intdigest(n, seed) for n in names], np.uint64)[code] if names else np.zeros(0, np.uint64)
-            lang = np.array([xxhash.xxh64_intdigest(x.encode(), seed + 2) for x in sorted(lang_keys)], np.uint64)[lang_code[self.doc]] if len(code) else np.zeros(0, np.uint64)
-            chain, keys = word, []
+            if len(firsts):
+                parts = _mix(_TABLES[seed][buf[inside_word]], place)
+                words = _mix(np.add.reduceat(parts, firsts), length)
+            else:
+                words = np.zeros(0, np.uint64)
+            table = np.array([xxhash.xxh64_intdigest(x.encode(), seed + 2) for x in names], np.uint64)
+            lang = table[lang_code[self.doc]] if len(self.doc) else np.zeros(0, np.uint64)
+            chain, keys = words, []
             for order in range(1, max_words + 1):
                 if order > 1:
-                    chain = _mix(chain[:-1], word[order - 1 :])
+                    chain = _mix(chain[:-1], words[order - 1 :])
                 n = len(chain)
                 inside = piece[:n] == piece[order - 1 : order - 1 + n]
                 keys.append(_mix(chain[inside], lang[:n][inside] ^ np.uint64(order)))
@@ -87,6 +112,10 @@ class Grams:
                     self.orders.append(order)
             self.keys.append(keys)
 
+    def text(self, i: int, order: int) -> str:
+        """Words i to i + order - 1, joined by single spaces."""
+        return b" ".join(self.data[self.starts_at[j] : self.ends_at[j]] for j in range(i, i + order)).decode()
+
     def first(self) -> np.ndarray:
         return np.concatenate(self.keys[0]).view(np.int64) if self.keys[0] else np.zeros(0, np.int64)
 
@@ -94,7 +123,12 @@ class Grams:
         """(lang, phrase, count, first key) of the n-grams whose first key is in ``wanted`` (all for None), one row per distinct pair of keys."""
         langs, texts, counts, firsts = [], [], [], []
         for ka, kb, starts, order in zip(self.keys[0], self.keys[1], self.starts, self.orders):
-            hit = np.ones(len(ka), bool) if wanted is None else np.isin(ka.view(np.int64), wanted)
+            if wanted is None:
+                hit = np.ones(len(ka), bool)
+            else:
+                signed = ka.view(np.int64)
+                at_ = np.minimum(np.searchsorted(wanted, signed), max(len(wanted) - 1, 0))
+                hit = wanted[at_] == signed if len(wanted) else np.zeros(len(ka), bool)
             if not hit.any():
                 continue
             a, b, at = ka[hit], kb[hit], starts[hit]
@@ -106,7 +140,7 @@ class Grams:
             many = np.diff(np.append(first, len(a)))
             for i, c in zip(at[first], many):
                 langs.append(self.langs[self.doc[i]])
-                texts.append(" ".join(self.words[i : i + order]))
+                texts.append(self.text(int(i), order))
                 counts.append(int(c))
             firsts.append(a[first].view(np.int64))
         return langs, texts, np.array(counts, np.int64), np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
