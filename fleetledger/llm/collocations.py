@@ -32,6 +32,8 @@ PIECE_BREAKS = ".,;:!?\x0a\x0b\x0c\x0d"
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text tokenised at once: bounds a task's Python memory whatever the batch size (a longer single text is one slice).
 SLICE_BYTES = 1 << 20
+#: n-gram keys counted together before a task sends them on: bounds that buffer (32 MB of keys) whatever the partition's size.
+LOCAL_KEYS = 4 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,9 +85,11 @@ class Grams:
         self.doc = doc_of[self.starts_at]
         breaks = np.cumsum(kind == 2)
         piece = breaks[self.starts_at] + self.doc
+        self.buf = buf
         self.langs = ["und" if lang is None else lang for lang in langs]
         names = sorted(set(self.langs))
         lang_code = np.array([names.index(x) for x in self.langs], np.int64) if self.langs else np.zeros(0, np.int64)
+        self.names, self.lang_code = pa.array(names, pa.string()), lang_code
         inside_word = np.flatnonzero(word)
         number = np.cumsum(begins)[inside_word] - 1
         place = (inside_word - self.starts_at[number]).astype(np.uint64)
@@ -112,14 +116,29 @@ class Grams:
                     self.orders.append(order)
             self.keys.append(keys)
 
-    def text(self, i: int, order: int) -> str:
-        """Words i to i + order - 1, joined by single spaces."""
-        return b" ".join(self.data[self.starts_at[j] : self.ends_at[j]] for j in range(i, i + order)).decode()
+    def texts(self, firsts: np.ndarray, order: int) -> pa.Array:
+        """The phrases of ``order`` words beginning at each word of ``firsts``, as one string array built from the bytes.
+
+        A phrase's bytes run from its first word's start to its last word's end; inside, only separators lie between the words
+        (a break would end the piece), so each run of them becomes one space. A phrase never begins with a separator.
+        """
+        begin, end = self.starts_at[firsts], self.ends_at[firsts + order - 1]
+        size = end - begin
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        raw = self.buf[np.arange(bounds[-1]) - np.repeat(bounds[:-1] - begin, size)]
+        sep = _CLASSES[raw] == 1
+        again = np.zeros(len(raw), bool)
+        again[1:] = sep[1:] & sep[:-1]
+        owner = np.repeat(np.arange(len(firsts)), size)
+        raw = np.where(sep, np.uint8(0x20), raw)[~again]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[~again], minlength=len(firsts)))]).astype(np.int64)
+        out = pa.Array.from_buffers(pa.large_string(), len(firsts), [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())])
+        return out.cast(pa.string())
 
     def first(self) -> np.ndarray:
         return np.concatenate(self.keys[0]).view(np.int64) if self.keys[0] else np.zeros(0, np.int64)
 
-    def phrases(self, wanted: np.ndarray | None) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    def phrases(self, wanted: np.ndarray | None) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
         """(lang, phrase, count, first key) of the n-grams whose first key is in ``wanted`` (all for None), one row per distinct pair of keys."""
         langs, texts, counts, firsts = [], [], [], []
         for ka, kb, starts, order in zip(self.keys[0], self.keys[1], self.starts, self.orders):
@@ -137,13 +156,13 @@ class Grams:
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             first = np.flatnonzero(new)
-            many = np.diff(np.append(first, len(a)))
-            for i, c in zip(at[first], many):
-                langs.append(self.langs[self.doc[i]])
-                texts.append(self.text(int(i), order))
-                counts.append(int(c))
+            langs.append(self.names.take(pa.array(self.lang_code[self.doc[at[first]]])))
+            texts.append(self.texts(at[first], order))
+            counts.append(np.diff(np.append(first, len(a))).astype(np.int64))
             firsts.append(a[first].view(np.int64))
-        return langs, texts, np.array(counts, np.int64), np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+        if not firsts:
+            return pa.array([], pa.string()), pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return pa.concat_arrays(langs), pa.concat_arrays(texts), np.concatenate(counts), np.concatenate(firsts)
 
 
 def _grams(max_words: int):
@@ -239,9 +258,17 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     grams = _grams(max_words)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Keys of several slices are counted together, up to LOCAL_KEYS at once: repeats across a task's slices leave as one row.
+        held, size = [], 0
         for batch in batches:
             for g in grams(batch):
-                yield _counted(g.first(), parts)
+                held.append(g.first())
+                size += len(held[-1])
+                if size >= LOCAL_KEYS:
+                    yield _counted(np.concatenate(held), parts)
+                    held, size = [], 0
+        if held:
+            yield _counted(np.concatenate(held), parts)
 
     counted = rows.mapInArrow(local, "h bigint, cnt bigint, bucket int")
     mass = {r["bucket"]: r["m"] for r in counted.groupBy("bucket").agg(F.sum("cnt").alias("m")).collect()}
@@ -257,7 +284,7 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
         for batch in batches:
             for g in grams(batch):
                 langs, texts, counts, firsts = g.phrases(None if wanted is None else wanted.value)
-                columns = [pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(counts), pa.array(firsts)]
+                columns = [langs, texts, pa.array(counts), pa.array(firsts)]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "cnt", "h"])
 
     found = rows.mapInArrow(named, "lang string, phrase string, cnt bigint, h bigint")

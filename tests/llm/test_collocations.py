@@ -77,3 +77,14 @@ def test_small_corpus_equals_brute_force(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert collocations.collocations(empty).count() == 0
+
+
+def test_phrase_texts_collapse_separator_runs_and_keep_utf8():
+    g = collocations.Grams(["Ärger  \t im   Büro. x", "ÄRGER im büro", None], ["de", None, "de"], 3)
+    langs, texts, counts, _ = g.phrases(None)
+    got = collections.Counter()
+    for lang, text, c in zip(langs.to_pylist(), texts.to_pylist(), counts.tolist()):
+        got[(lang, text)] += c
+    assert got[("de", "Ärger im büro")] == 1 and got[("und", "Ärger im büro")] == 1
+    assert got[("de", "x")] == 1 and got[("de", "Ärger im")] == 1 and got[("und", "im büro")] == 1
+    assert sum(got.values()) == 6 + 1 + 6
