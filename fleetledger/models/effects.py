@@ -10,7 +10,6 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetledger.functions.aggregates import row_sum
 from fleetledger.functions.text import as_label, count_token
 from fleetledger.operators.grouping import known_keys
 from fleetledger.operators.joins import left_join
@@ -117,24 +116,49 @@ def lattice_effects(
     A term with k markers is an interaction of k dimensions; it applies to a segment when the values
     tagged in its name agree with the segment on a subset of k dimensions (null agrees with null),
     whatever it is tagged with elsewhere. Several terms for one subset give several rows.
+
+    One equi join does the matching: each segment is dealt to every subset of the dimensions (2^d - 1 rows, keyed by the subset's
+    mask and its values with the rest null), each term to every subset of its order, and null-safe keys meet once; the matches are
+    gathered per segment and summed in one aggregation.
     """
     segments = written_once(segments.select(*dims).distinct(), "segments")
     coefs = written_once(coefs.select("term", "coef"), "coefficients")
     flagged = coefs.where(F.col("term").contains(flag_term) & (F.col("term") != flag_term))
     tagged = tag_terms(flagged, segments, dims, prefixes or {}).withColumn("__order", count_token("term", marker))
-    # Read once per subset below.
+    # Written once: the tagging joins are not run again by the plan below.
     params = written_once(tagged.where("__order > 0"), "tagged-terms")
 
     any_tag = reduce(or_, [F.col(d).isNotNull() for d in dims])
-
-    rows, values = segments, []
-    for size in range(1, len(dims) + 1):
-        for subset in combinations(dims, size):
-            name = f"value_{len(values)}"
-            # Equal coefficients of one subset give equal rows, which count once.
-            part = params.where((F.col("__order") == size) & any_tag).select(*subset, F.col("coef").alias(name)).distinct()
-            rows = left_join(rows, part, list(subset), null_safe=True)
-            values.append(name)
+    # Subsets of the dimensions as bit masks, by size and then in the order of combinations: the order in which effects add up.
+    masks = [sum(1 << i for i in subset) for size in range(1, len(dims) + 1) for subset in combinations(range(len(dims)), size)]
+
+    def keys(mask: Column, prefix: str) -> list[Column]:
+        """The dimensions inside the subset, null outside it: a segment and a term of one subset meet on these."""
+        return [F.when(mask.bitwiseAND(1 << i) != 0, F.col(dim)).alias(f"{prefix}{i}") for i, dim in enumerate(dims)]
+
+    every = F.array(*[F.lit(m) for m in masks])
+    # Each segment stands once for each subset; each term for each subset of as many dimensions as it has markers.
+    seg = segments.select(*dims, F.explode(every).alias("__mask"))
+    seg = seg.select(*dims, "__mask", *keys(F.col("__mask"), "__k"))
+    sized = F.filter(every, lambda m: F.bit_count(m) == F.col("__order"))
+    term = params.where(any_tag).select(*dims, F.col("coef").cast("double").alias("__coef"), F.explode(sized).alias("__tmask"))
+    # Equal coefficients of one subset give equal rows, which count once.
+    term = term.select("__tmask", *keys(F.col("__tmask"), "__t"), "__coef").distinct()
+    on = [F.col("__mask") == F.col("__tmask")] + [F.col(f"__k{i}").eqNullSafe(F.col(f"__t{i}")) for i in range(len(dims))]
+    met = seg.join(term, on, "left").groupBy(*dims).agg(F.collect_list(F.struct("__mask", "__coef")).alias("__met"))
+
+    def applying(mask: int) -> Column:
+        """The distinct coefficients of one subset that apply to the segment; none is one null (adding nothing)."""
+        found = F.array_distinct(F.transform(F.filter("__met", lambda p: (p["__mask"] == mask) & p["__coef"].isNotNull()), lambda p: p["__coef"]))
+        return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None).cast("double")))
+
+    # Several coefficients of one subset give several rows: every choice of one coefficient a subset, as the stacked joins gave.
+    def extend(choices: Column, options: Column) -> Column:
+        return F.flatten(F.transform(choices, lambda chosen: F.transform(options, lambda c: F.concat(chosen, F.array(c)))))
+
+    choices = reduce(extend, [applying(mask) for mask in masks], F.array(F.array().cast("array<double>")))
+    rows = met.select(*dims, F.explode(choices).alias("__chosen")).distinct()
+    total = F.aggregate("__chosen", F.lit(0.0), lambda acc, c: acc + F.coalesce(c, F.lit(0.0)))
     missing = F.raise_error(F.lit(f"there is no coefficient of {flag_term}"))
     base = F.coalesce(coefs.where(F.col("term") == flag_term).select("coef").scalar(), missing)
-    return rows.distinct().select(*dims, (row_sum(values) + base).alias("effect"))
+    return rows.select(*dims, (total + base).alias("effect"))
