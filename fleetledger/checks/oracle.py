@@ -660,6 +660,17 @@ fit AS (
 )
 SELECT term, round(coef, 3) AS coef, round(std_err, 3) AS std_err, round(coef / std_err, 3) AS t, n FROM fit
 """
+ORACLE["ols_cg_customers"] = """
+WITH g AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS level, avg(o_totalprice) AS m FROM orders
+  WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL GROUP BY o_custkey
+),
+s AS (SELECT sum(m) / (count(*) + 1) AS const FROM g),
+c AS (SELECT count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL)
+SELECT 'const' AS term, round(const, 0) AS coef, c.n FROM s, c
+UNION ALL
+SELECT 'o_custkey_' || level, round(m - const, 0), c.n FROM g, s, c
+"""
 _LINE_FIT = """
 SELECT 'const' AS term, round(regr_intercept(l_extendedprice, {0}), 4) AS coef,
        round(regr_r2(l_extendedprice, {0}), 8) AS r2 FROM lineitem

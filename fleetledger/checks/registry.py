@@ -23,6 +23,7 @@ from fleetledger.functions.text import (
 )
 from fleetledger.models.design import build_design, gram_stats, gram_stats_wide
 from fleetledger.models.effects import lattice_effects, segment_effects
+from fleetledger.models.iterative import ols_cg
 from fleetledger.models.regress import (
     FitResult,
     cost_model,
@@ -631,6 +632,13 @@ def ols_one_factor(spark, sf_dir):
     return _fit_rows(ols(design), 3)
 
 
+@query("ols_cg_customers")
+def ols_cg_by_customer(spark, sf_dir):
+    """Order value on one indicator a customer (thousands of terms at sf0.1, past what a Gram matrix fit takes) by CGLS."""
+    fit = ols_cg(build_design(table(spark, sf_dir, "orders"), ["o_custkey"], [], "o_totalprice"), tol=1e-14, max_iter=400)
+    return _rounded(fit.coefs.select("term", "coef"), 0, "coef").withColumn("n", F.lit(fit.n).cast("bigint"))
+
+
 @query("ols_simple")
 def ols_one_number(spark, sf_dir):
     fit = ols(build_design(table(spark, sf_dir, "lineitem"), [], ["l_quantity"], "l_extendedprice"))
