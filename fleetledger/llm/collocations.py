@@ -67,7 +67,7 @@ class Grams:
     ASCII, so a word never splits a multi-byte character. A word's key sums a table value of each byte mixed with its place in the word.
     """
 
-    def __init__(self, texts: list, langs: list, max_words: int):
+    def __init__(self, texts: list, langs: list, max_words: int, seeds: tuple[int, ...] = (1, 2)):
         raw = [(t or "").encode() for t in texts]
         sizes = np.array([len(r) for r in raw], np.int64)
         self.data = b"".join(raw).translate(_LOWER_BYTES)
@@ -96,7 +96,7 @@ class Grams:
         firsts = np.flatnonzero(begins[inside_word])
         length = (self.ends_at - self.starts_at).astype(np.uint64)
         self.keys, self.starts, self.orders = [], [], []
-        for seed in (1, 2):
+        for seed in seeds:
             if len(firsts):
                 parts = _mix(_TABLES[seed][buf[inside_word]], place)
                 words = _mix(np.add.reduceat(parts, firsts), length)
@@ -165,7 +165,7 @@ class Grams:
         return pa.concat_arrays(langs), pa.concat_arrays(texts), np.concatenate(counts), np.concatenate(firsts)
 
 
-def _grams(max_words: int):
+def _grams(max_words: int, seeds: tuple[int, ...] = (1, 2)):
     """Grams of the slices of a batch, each holding at most ``SLICE_BYTES`` of text (or one longer text)."""
 
     def of(batch: pa.RecordBatch) -> Iterator[Grams]:
@@ -174,19 +174,19 @@ def _grams(max_words: int):
         for i, size in enumerate(sizes):
             if held and held + size > SLICE_BYTES:
                 part = batch.slice(start, i - start)
-                yield Grams(part.column("_text").to_pylist(), part.column("_lang").to_pylist(), max_words)
+                yield Grams(part.column("_text").to_pylist(), part.column("_lang").to_pylist(), max_words, seeds)
                 start, held = i, 0
             held += int(size)
         if start < batch.num_rows:
             part = batch.slice(start)
-            yield Grams(part.column("_text").to_pylist(), part.column("_lang").to_pylist(), max_words)
+            yield Grams(part.column("_text").to_pylist(), part.column("_lang").to_pylist(), max_words, seeds)
 
     return of
 
 
 def _counted(keys: np.ndarray, parts: int) -> pa.RecordBatch:
     unique, counts = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(counts.astype(np.int64)), pa.array(np.mod(unique, parts).astype(np.int32))], ["h", "cnt", "bucket"])
+    return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(counts.astype(np.int64))], ["h", "cnt"])
 
 
 def _merge(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def misra_gries(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, weights:
     return keys[keep], counts[keep], cut
 
 
-def _summaries(capacity: dict[int, int], threshold: int, buffer_rows: int = 1 << 20):
+def _summaries(capacity: dict[int, int], threshold: int, parts: int, buffer_rows: int = 1 << 20):
     """Misra-Gries summaries of the buckets of a partition. Batches are buffered per bucket and merged once the buffer holds as many
     rows as the summary may (at least ``buffer_rows``), so a merge's sort is paid once per capacity's worth of input."""
 
@@ -226,8 +226,8 @@ def _summaries(capacity: dict[int, int], threshold: int, buffer_rows: int = 1 <<
                 held[key] = (keys, counts, lost + cut)
 
         for batch in batches:
-            bucket = batch.column("bucket").to_numpy()
             h, cnt = batch.column("h").to_numpy(), batch.column("cnt").to_numpy()
+            bucket = np.mod(h, parts)
             order = np.argsort(bucket, kind="stable")
             bucket, h, cnt = bucket[order], h[order], cnt[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -255,13 +255,21 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grams = _grams(max_words)
+    grams, first_keys = _grams(max_words), _grams(max_words, (1,))
+
+    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pass one needs only how many keys fall in each bucket.
+        held = np.zeros(parts, np.int64)
+        for batch in batches:
+            for g in first_keys(batch):
+                held += np.bincount(np.mod(g.first(), parts), minlength=parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(held)], ["bucket", "m"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Keys of several slices are counted together, up to LOCAL_KEYS at once: repeats across a task's slices leave as one row.
         held, size = [], 0
         for batch in batches:
-            for g in grams(batch):
+            for g in first_keys(batch):
                 held.append(g.first())
                 size += len(held[-1])
                 if size >= LOCAL_KEYS:
@@ -270,10 +278,11 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
         if held:
             yield _counted(np.concatenate(held), parts)
 
-    counted = rows.mapInArrow(local, "h bigint, cnt bigint, bucket int")
-    mass = {r["bucket"]: r["m"] for r in counted.groupBy("bucket").agg(F.sum("cnt").alias("m")).collect()}
-    capacity = {b: m // threshold + 1 for b, m in mass.items()}
-    survivors = counted.repartition(parts, "bucket").mapInArrow(_summaries(capacity, threshold), "h bigint")
+    masses_of = rows.mapInArrow(masses, "bucket int, m bigint").groupBy("bucket").agg(F.sum("m").alias("m"))
+    capacity = {r["bucket"]: r["m"] // threshold + 1 for r in masses_of.collect()}
+    # A bucket is the key modulo ``parts``; all of a bucket's rows meet in one task, where its summary is built.
+    counted = rows.mapInArrow(local, "h bigint, cnt bigint")
+    survivors = counted.repartition(parts, F.pmod("h", F.lit(parts))).mapInArrow(_summaries(capacity, threshold, parts), "h bigint")
     keys = written_once(survivors, "frequent-keys")
     n_keys = keys.count()
     wanted = None
