@@ -671,6 +671,19 @@ SELECT 'const' AS term, round(const, 0) AS coef, c.n FROM s, c
 UNION ALL
 SELECT 'o_custkey_' || level, round(m - const, 0), c.n FROM g, s, c
 """
+ORACLE["ols_predict"] = """
+WITH g AS (
+  SELECT l_returnflag, avg(l_discount) AS mx, avg(l_quantity) AS my FROM lineitem
+  WHERE l_discount IS NOT NULL AND l_quantity IS NOT NULL GROUP BY l_returnflag
+),
+b AS (
+  SELECT sum((l.l_discount - g.mx) * (l.l_quantity - g.my)) / sum((l.l_discount - g.mx) * (l.l_discount - g.mx)) AS b
+  FROM lineitem l JOIN g ON l.l_returnflag = g.l_returnflag
+  WHERE l.l_discount IS NOT NULL AND l.l_quantity IS NOT NULL
+)
+SELECT l.l_orderkey, l.l_linenumber, round(g.my + b.b * (l.l_discount - g.mx), 3) AS prediction
+FROM lineitem l JOIN g ON l.l_returnflag = g.l_returnflag CROSS JOIN b
+"""
 _LINE_FIT = """
 SELECT 'const' AS term, round(regr_intercept(l_extendedprice, {0}), 4) AS coef,
        round(regr_r2(l_extendedprice, {0}), 8) AS r2 FROM lineitem

@@ -29,6 +29,7 @@ from fleetledger.models.regress import (
     cost_model,
     ols,
     ols_wide,
+    predict,
     probit,
     ridge,
     score_segments,
@@ -639,6 +640,15 @@ def ols_cg_by_customer(spark, sf_dir):
     return _rounded(fit.coefs.select("term", "coef"), 0, "coef").withColumn("n", F.lit(fit.n).cast("bigint"))
 
 
+@query("ols_predict")
+def ols_line_predictions(spark, sf_dir):
+    """Fitted quantity of every line from its return flag and discount: a fit, then ``predict`` on the whole table."""
+    lines = table(spark, sf_dir, "lineitem")
+    fit = ols(build_design(lines, ["l_returnflag"], ["l_discount"], "l_quantity"))
+    found = predict(fit, lines.select("l_orderkey", "l_linenumber", "l_returnflag", "l_discount"), ["l_returnflag"], ["l_discount"])
+    return _rounded(found.select("l_orderkey", "l_linenumber", "prediction"), 3, "prediction")
+
+
 @query("ols_simple")
 def ols_one_number(spark, sf_dir):
     fit = ols(build_design(table(spark, sf_dir, "lineitem"), [], ["l_quantity"], "l_extendedprice"))

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -301,3 +301,32 @@ def score_segments(coefs: DataFrame, segments: DataFrame, dims: Sequence[str]) -
         scored = left_join(scored, weights, [("__term", f"__term{i}")], null_safe=False).drop("__term")
     parts = sum((F.col(f"__coef{i}") for i in range(len(dims))), base)
     return scored.select(*segments.columns, parts.alias("prediction"))
+
+
+def predict(fit: FitResult, rows: DataFrame, categories: Sequence[str], numbers: Sequence[str] = (), name: str = "prediction") -> DataFrame:
+    """Every row of ``rows`` with its fitted value: const, plus the coefficient of each of its levels, plus coefficient times value
+    of each number, as ``name``.
+
+    Terms are named as in ``build_design`` (category, ``_``, level label). A null level, or one the fit has no term for, adds nothing,
+    as a null level does in the design; a null number makes the prediction null; a number the fit has no term for is an error. The
+    coefficients stay a table: each category meets it in one left join on the term name (Spark picks broadcast or shuffle by size),
+    numbers and const are scalar subqueries, so a design of any number of levels predicts without collecting it.
+    """
+    coefs = fit.coefs.select("term", "coef")
+
+    def scalar(term: str) -> Column:
+        missing = F.raise_error(F.lit(f"the fit has no term {term}"))
+        return F.coalesce(coefs.where(F.col("term") == term).select("coef").scalar(), missing)
+
+    types = dict(rows.dtypes)
+    scored, parts = rows, [scalar(CONST)]
+    for i, c in enumerate(categories):
+        weights = coefs.select(F.col("term").alias(f"__term{i}"), F.col("coef").alias(f"__coef{i}"))
+        scored = scored.withColumn(f"__key{i}", F.concat(F.lit(f"{c}_"), as_label(c, types[c])))
+        scored = scored.join(weights, F.col(f"__key{i}") == F.col(f"__term{i}"), "left")
+        parts.append(F.coalesce(F.col(f"__coef{i}"), F.lit(0.0)))
+    parts += [F.col(f"`{n}`").cast("double") * scalar(n) for n in numbers]
+    value = parts[0]
+    for part in parts[1:]:
+        value = value + part
+    return scored.select(*[F.col(f"`{c}`") for c in rows.columns], value.alias(name))

@@ -337,3 +337,23 @@ def test_centred_cells_from_one_scan_equal_numpy(spark):
         assert got[("c_" + level, "c_" + level)] == on.sum()
     # The rows are aggregated once: the moments table has one row per level, null included.
     assert moments.count() == 3
+
+
+def test_predict_whole_rows(spark, design, data):
+    from fleetledger.models.regress import predict
+
+    fit = ols(design)
+    beta = coefs(fit)
+    rows = spark.createDataFrame(
+        [("a", "x", 20000.0, 3.0), ("zz", "y", 1.0, 2.0), (None, "x", 0.0, 0.0), ("b", None, None, 1.0)], "gas string, kind string, hours double, rate double"
+    )
+    got = [r["prediction"] for r in predict(fit, rows, ["gas", "kind"], ["hours", "rate"]).collect()]
+    base = beta["const"]
+    want = [
+        base + beta["gas_a"] + beta["kind_x"] + 20000 * beta["hours"] + 3 * beta["rate"],
+        base + beta["kind_y"] + beta["hours"] + 2 * beta["rate"],  # an unseen level adds nothing
+        base + beta["kind_x"],  # a null level adds nothing
+    ]
+    assert got[:3] == pytest.approx(want, rel=1e-9) and got[3] is None
+    with pytest.raises(PySparkException, match="no term"):
+        predict(fit, rows.withColumn("extra", F.lit(1.0)), ["gas"], ["hours", "extra"]).collect()
