@@ -266,6 +266,8 @@ SELECT *,
        WHEN contains(p_name, 'red') THEN 'red' END AS size_word
 FROM part
 """
+# The same lists as a table give the same columns.
+ORACLE["first_keyword_table"] = ORACLE["first_keyword"]
 ORACLE["any_term"] = """
 SELECT p_partkey, p_name, p_type FROM part
 WHERE regexp_matches(lower(p_name), 'ring|bolt') OR regexp_matches(upper(p_type), 'PROMO')

@@ -47,7 +47,7 @@ from fleetledger.operators.reshape import (
     one_hot,
     unpivot_metrics,
 )
-from fleetledger.operators.search import first_keyword, matching_rows, search_columns
+from fleetledger.operators.search import first_keyword, first_keyword_table, matching_rows, search_columns
 from fleetledger.plans.contracts import active_contracts, contract_profile
 from fleetledger.plans.costs import (
     case_event_timeline,
@@ -248,6 +248,14 @@ def keyword_columns(spark, sf_dir):
     return first_keyword(table(spark, sf_dir, "part"), "p_name", KEYWORDS)
 
 
+@query("first_keyword_table")
+def keyword_columns_from_table(spark, sf_dir):
+    """``first_keyword`` with the same lists given as a table (name, keyword, priority = place in the list)."""
+    rows = [(name, word, i) for name, words in KEYWORDS.items() for i, word in enumerate(words)]
+    lists = spark.createDataFrame(rows, "name string, keyword string, priority int")
+    return first_keyword_table(table(spark, sf_dir, "part"), "p_name", lists, list(KEYWORDS))
+
+
 @query("any_term")
 def any_term_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "part")

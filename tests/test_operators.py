@@ -188,3 +188,23 @@ def test_matrix_columns_of_any_type_are_filled(spark, kind, values, names, opera
     frame = spark.createDataFrame([("y", v, float(i + 1)) for i, v in enumerate(values)], f"y string, x {kind}, t double")
     (row,) = comparison_matrix(frame, "t", "y", "x", operation).collect()
     assert {n: row[n] for n in names} == {names[0]: 1.0, names[1]: 2.0}
+
+
+def test_first_keyword_table_equals_the_literal_form(spark):
+    from fleetledger.operators.search import first_keyword, first_keyword_table
+
+    texts = [("red ring bolt",), ("large widget",), (None,), ("",), ("ri",), ("a bolt, a ring",), ("a bolt, a ring",)]
+    df = spark.createDataFrame(texts, "t string")
+    lists = {"shape": ["ring", "bolt", "ri"], "size": ["large", "red"]}
+    # 100,000 keywords that no text holds, and rows with a null name or keyword, only make the table longer.
+    rows = [(n, w, i) for n, ws in lists.items() for i, w in enumerate(ws)]
+    rows += [("shape", f"#{i}#", 10 + i) for i in range(100_000)] + [(None, "ring", 0), ("size", None, 0)]
+    table = spark.createDataFrame(rows, "name string, keyword string, priority int")
+    got = sorted(map(tuple, first_keyword_table(df, "t", table, list(lists)).collect()), key=str)
+    want = sorted(map(tuple, first_keyword(df, "t", lists).collect()), key=str)
+    assert got == want
+    assert ("ri", "ri", None) in got and (None, None, None) in got
+    empty = spark.createDataFrame([("shape", "", 0)], "name string, keyword string, priority int")
+    assert sorted(map(tuple, first_keyword_table(df, "t", empty).collect()), key=str) == sorted(
+        [(t, None if t is None else "") for (t,) in texts], key=str
+    )
