@@ -139,7 +139,11 @@ class Grams:
         return np.concatenate(self.keys[0]).view(np.int64) if self.keys[0] else np.zeros(0, np.int64)
 
     def phrases(self, wanted: np.ndarray | None) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
-        """(lang, phrase, count, first key) of the n-grams whose first key is in ``wanted`` (all for None), one row per distinct pair of keys."""
+        """(lang, phrase, count, first key) of the n-grams whose first key is in ``wanted`` (all for None).
+
+        Hits are sorted by the first key alone; a row ends where either key changes. Two phrases sharing a first key thus never share a
+        row, and if their hits interleave one phrase gives several rows, which the grouping by text afterwards adds up.
+        """
         langs, texts, counts, firsts = [], [], [], []
         for ka, kb, starts, order in zip(self.keys[0], self.keys[1], self.starts, self.orders):
             if wanted is None:
@@ -151,7 +155,7 @@ class Grams:
             if not hit.any():
                 continue
             a, b, at = ka[hit], kb[hit], starts[hit]
-            order_ = np.lexsort((b, a))
+            order_ = np.argsort(a)
             a, b, at = a[order_], b[order_], at[order_]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
