@@ -32,8 +32,8 @@ PIECE_BREAKS = ".,;:!?\x0a\x0b\x0c\x0d"
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text tokenised at once: bounds a task's Python memory whatever the batch size (a longer single text is one slice).
 SLICE_BYTES = 1 << 20
-#: n-gram keys counted together before a task sends them on: bounds that buffer (32 MB of keys) whatever the partition's size.
-LOCAL_KEYS = 4 << 20
+#: n-gram keys counted together before a task sends them on: bounds that buffer (64 MB of keys) whatever the partition's size.
+LOCAL_KEYS = 8 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
