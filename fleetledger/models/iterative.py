@@ -1,9 +1,11 @@
 """Least squares past the Gram matrix: conjugate gradients on the normal equations (CGLS), every product computed in Spark.
 
 ``ols`` brings the square Gram matrix to the driver and stops at ``MAX_TERMS``. Here the driver holds only vectors over the terms:
-the coefficients, the gradient and the search direction. Each iteration is one pass over the rows, written once, that computes
-X'X p and |X p|^2 for the broadcast direction p: a task turns its rows into sparse vectors (one indicator per non-null level, the
-numbers, the constant), adds its share of X'X p into one dense vector and sends the non-zero entries on; a grouping by term sums them.
+the coefficients, the gradient and the search direction. Rows that agree in all levels and numbers have the same row of X, so they
+are first merged to one row with their count and sums of the target, levels become term numbers by a join, and the result is written
+once. Each iteration is one pass over it that computes X'X p and |X p|^2 for the broadcast direction p: a task looks up the terms of
+its rows (one indicator per non-null level, the numbers, the constant), adds its share of X'X p into one dense vector and sends the
+non-zero entries on; a grouping by term sums them.
 """
 
 from __future__ import annotations
@@ -12,73 +14,99 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetledger.models.design import CONST, Design
-from fleetledger.models.regress import FitResult, _coefs
+from fleetledger.models.regress import _COEFS, FitResult
 from fleetledger.session import written_once
 
 #: Terms a fit may have: every vector over them is broadcast to the tasks and held whole by the driver (8 bytes a term).
 MAX_VECTOR = 4_000_000
 
 
-def _vocabulary(design: Design, max_vector: int) -> tuple[list[list[str]], list[str]]:
-    """Sorted levels of each category and all term names: indicators (sorted by name), numbers, const."""
+def _vocabulary(design: Design, max_vector: int) -> tuple[DataFrame | None, list[str]]:
+    """The levels as a table (category number ``c``, level ``v``, ``term`` number), and all term names: indicators (sorted by name),
+    numbers, const."""
     cats = list(design.categories)
-    if cats:
-        levels = design.frame.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(cats)])).alias("l"))
-        levels = levels.select("l.*").where(F.col("v").isNotNull()).distinct()
-        found = levels.count()
-        if found + len(design.numbers) + 1 > max_vector:
-            raise ValueError(f"the design has {found + len(design.numbers) + 1} terms, more than {max_vector}")
-        rows = levels.collect()
-    else:
-        rows = []
-    per = [sorted(r["v"] for r in rows if r["c"] == i) for i in range(len(cats))]
-    names = sorted(f"{c}_{v}" for c, vs in zip(cats, per) for v in vs)
-    return per, [*names, *design.numbers, CONST]
-
-
-def _products(design: Design, per: list[list[str]], index: dict[str, int], size: int, vector):
+    tail = [*design.numbers, CONST]
+    if not cats:
+        return None, tail
+    levels = design.frame.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(cats)])).alias("l"))
+    levels = written_once(levels.select("l.*").where(F.col("v").isNotNull()).distinct(), "cgls-levels")
+    found = levels.count()
+    if found + len(tail) > max_vector:
+        raise ValueError(f"the design has {found + len(tail)} terms, more than {max_vector}")
+    known = levels.toArrow()
+    of_level = [f"{cats[c]}_{v}" for c, v in zip(known["c"].to_pylist(), known["v"].to_pylist())]
+    names = [*sorted(of_level), *tail]
+    index = {name: i for i, name in enumerate(names)}
+    numbered = known.append_column("term", pa.array([index[name] for name in of_level], pa.int32()))
+    return design.frame.sparkSession.createDataFrame(numbered, "c int, v string, term int"), names
+
+
+def _merged(design: Design, levels: DataFrame | None, size: int) -> DataFrame:
+    """The distinct rows of X: terms ``c{i}`` (``size`` for a null level), numbers ``x{i}``, the count ``n`` of the rows merged, and
+    the sums ``y`` of their target and ``y2`` of its square."""
+    cats, numbers, target = list(design.categories), list(design.numbers), F.col(design.target)
+    keys = [*[F.col(c).alias(f"v{i}") for i, c in enumerate(cats)], *[F.col(c).alias(f"x{i}") for i, c in enumerate(numbers)]]
+    rows = design.frame.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(target).alias("y"), F.sum(target * target).alias("y2")
+    )
+    for i in range(len(cats)):
+        terms = levels.where(F.col("c") == i).select(F.col("v").alias(f"v{i}"), F.col("term").alias(f"t{i}"))
+        rows = rows.join(terms, f"v{i}", "left")
+    coded = [F.coalesce(F.col(f"t{i}"), F.lit(size)).alias(f"c{i}") for i in range(len(cats))]
+    return rows.where("n > 0").select(*coded, *[f"x{i}" for i in range(len(numbers))], "n", "y", "y2")
+
+
+def _products(n_cats: int, number_at: list[int], const_at: int, size: int, vector):
     """Per task: the entries of X'X p over its rows and |X p|^2 (term -1), for the broadcast p (None: X'y and sums of y)."""
-    cats, numbers, target = list(design.categories), list(design.numbers), design.target
-    # One place more than the levels: a null level points there and is not valid.
-    where = [np.array([*[index[f"{c}_{v}"] for v in vs], 0], np.int64) for c, vs in zip(cats, per)]
-    sets = [pa.array(vs, pa.string()) for vs in per]
-    number_at = np.array([index[n] for n in numbers], np.int64)
-    const_at = index[CONST]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = None if vector is None else vector.value
-        total, extra = np.zeros(size), np.zeros(3)
+        # One place more than the terms: a null level points there.
+        p = None if vector is None else np.append(vector.value, 0.0)
+        total, extra = np.zeros(size + 1), np.zeros(3)
+        terms: list[np.ndarray] = []
+        values: list[np.ndarray] = []
+        held = 0
+
+        def add() -> None:
+            if terms:
+                total[:] += np.bincount(np.concatenate(terms), weights=np.concatenate(values), minlength=size + 1)
+            terms.clear()
+            values.clear()
+
         for batch in batches:
-            n = batch.num_rows
-            y = batch.column(target).to_numpy(zero_copy_only=False).astype(float)
-            xs = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in numbers]
-            hits = []
-            for c, levels, at in zip(cats, sets, where):
-                codes = pc.index_in(batch.column(c), value_set=levels).fill_null(len(levels)).to_numpy(zero_copy_only=False)
-                hits.append((codes < len(levels), at[codes]))
-            # The row's value of X p, or of y for the first pass.
+            n = batch.column("n").to_numpy()
+            hits = [batch.column(f"c{i}").to_numpy() for i in range(n_cats)]
+            xs = [batch.column(f"x{i}").to_numpy() for i in range(len(number_at))]
+            # The value of X p (or, in the first pass, of y) summed over the merged rows.
             if p is None:
-                q = y
-                extra += (n, y.sum(), y @ y)
+                q = batch.column("y").to_numpy()
+                extra += (n.sum(), q.sum(), batch.column("y2").to_numpy().sum())
             else:
-                q = np.full(n, p[const_at])
-                for valid, term in hits:
-                    q += np.where(valid, p[term], 0.0)
-                for j, x in enumerate(xs):
-                    q += x * p[number_at[j]]
-                extra[0] += q @ q
-            for valid, term in hits:
-                total += np.bincount(term[valid], weights=q[valid], minlength=size)
-            for j, x in enumerate(xs):
-                total[number_at[j]] += x @ q
+                one = np.full(len(n), p[const_at])
+                for term in hits:
+                    one += p[term]
+                for at, x in zip(number_at, xs):
+                    one += x * p[at]
+                q = n * one
+                extra[0] += q @ one
+            for at, x in zip(number_at, xs):
+                total[at] += x @ q
             total[const_at] += q.sum()
-        terms = np.flatnonzero(total)
+            terms += hits
+            values += [q] * n_cats
+            held += len(n) * n_cats
+            # A sum over all terms costs their number: it waits for as many rows.
+            if held >= max(size, 1 << 16):
+                add()
+                held = 0
+        add()
+        found = np.flatnonzero(total[:size])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([terms, [-1, -2, -3]])), pa.array(np.concatenate([total[terms], extra]))], ["term", "value"]
+            [pa.array(np.concatenate([found, [-1, -2, -3]])), pa.array(np.concatenate([total[found], extra]))], ["term", "value"]
         )
 
     return run
@@ -94,25 +122,25 @@ def ols_cg(design: Design, tol: float = 1e-10, max_iter: int | None = None, max_
     those of ``build_design`` (rows with a missing number or target were dropped there; a null level has no indicator).
     """
     spark = design.frame.sparkSession
-    per, names = _vocabulary(design, max_vector)
+    levels, names = _vocabulary(design, max_vector)
     index = {name: i for i, name in enumerate(names)}
     size = len(names)
-    rows = written_once(design.frame.select(*design.categories, *design.numbers, design.target), "cgls-rows")
+    number_at, const_at = [index[c] for c in design.numbers], index[CONST]
+    rows = written_once(_merged(design, levels, size), "cgls-rows")
 
     def pass_over(p: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         vector = None if p is None else spark.sparkContext.broadcast(p)
         try:
-            parts = rows.mapInArrow(_products(design, per, index, size, vector), "term bigint, value double")
-            found = parts.groupBy("term").agg(F.sum("value").alias("value")).collect()
+            run = _products(len(design.categories), number_at, const_at, size, vector)
+            parts = rows.mapInArrow(run, "term bigint, value double")
+            found = parts.groupBy("term").agg(F.sum("value").alias("value")).toArrow()
         finally:
             if vector is not None:
-                vector.unpersist()
+                vector.destroy()
+        terms, values = found["term"].to_numpy(), found["value"].to_numpy()
         out, extra = np.zeros(size), np.zeros(3)
-        for r in found:
-            if r["term"] >= 0:
-                out[r["term"]] = r["value"]
-            else:
-                extra[-1 - r["term"]] = r["value"]
+        out[terms[terms >= 0]] = values[terms >= 0]
+        extra[-1 - terms[terms < 0]] = values[terms < 0]
         return out, extra
 
     s, (n, y_sum, y2) = pass_over(None)
@@ -141,4 +169,6 @@ def ols_cg(design: Design, tol: float = 1e-10, max_iter: int | None = None, max_
     residual = max(y2 - 2 * x @ xty + x @ xtx, 0.0)
     total = y2 - y_sum * y_sum / n
     r2 = 1 - residual / total if total > 0 else None
-    return FitResult(_coefs(spark, names, x), float(x[-1]), r2, int(n), None)
+    none = pa.nulls(size, pa.float64())
+    coefs = spark.createDataFrame(pa.table({"term": pa.array(names, pa.string()), "coef": x, "std_err": none, "t": none}), _COEFS)
+    return FitResult(coefs, float(x[-1]), r2, int(n), None)

@@ -4,9 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from fleetledger.models import iterative
 from fleetledger.models.design import build_design
 from fleetledger.models.iterative import ols_cg
 from fleetledger.models.regress import MAX_TERMS, ols
+from fleetledger.session import written_once
 
 
 def _coefs(fit):
@@ -58,3 +60,26 @@ def test_odd_designs(spark):
     assert _coefs(ols_cg(only_null)) == pytest.approx({"const": 2.0})
     with pytest.raises(ValueError, match="2 terms, more than 1"):
         ols_cg(build_design(spark.createDataFrame([("a", 1.0)], "g string, y double"), ["g"], [], "y"), max_vector=1)
+
+
+def test_passes_read_merged_rows_of_term_numbers(spark, monkeypatch):
+    written = {}
+
+    def keep(df, name):
+        written[name] = written_once(df, name)
+        return written[name]
+
+    monkeypatch.setattr(iterative, "written_once", keep)
+    data = [(f"s{i % 40}" if i % 7 else None, float(i % 2), float(i % 11)) for i in range(4000)]
+    design = build_design(spark.createDataFrame(data, "shop string, open double, y double"), ["shop"], ["open"], "y")
+    fit = ols_cg(design)
+    # 4,000 rows hold 280 rows of X at most; every pass reads these, without the level texts.
+    rows = written["cgls-rows"]
+    assert rows.count() == len({row[:2] for row in data}) and "string" not in dict(rows.dtypes).values()
+    assert _coefs(fit) == pytest.approx(_coefs(ols(design)), rel=1e-6, abs=1e-8) and fit.n == 4000
+    assert fit.r2 == pytest.approx(ols(design).r2, rel=1e-9)
+
+
+def test_numbers_without_categories(spark):
+    frame = spark.createDataFrame([(1.0, 3.0), (2.0, 5.0), (2.0, 5.0), (4.0, 9.0)], "x double, y double")
+    assert _coefs(ols_cg(build_design(frame, [], ["x"], "y"))) == pytest.approx({"x": 2.0, "const": 1.0})
