@@ -21,7 +21,7 @@ from fleetledger.functions.text import (
     strip_literals,
     text_class,
 )
-from fleetledger.models.design import build_design, gram_stats, gram_stats_wide
+from fleetledger.models.design import build_design, gram_stats, gram_stats_wide, profiled
 from fleetledger.models.effects import lattice_effects, segment_effects
 from fleetledger.models.iterative import ols_cg
 from fleetledger.models.regress import (
@@ -697,7 +697,7 @@ def probit_probabilities(spark, sf_dir):
 @query("cost_model_scores")
 def cost_model_scores(spark, sf_dir):
     """The feature rows scored by the coefficients: per level and number, the share of the target that the scores explain."""
-    features = _features(spark, sf_dir, monthly=False)
+    features = written_once(_features(spark, sf_dir, monthly=False), "features")
     fit = cost_model(features, ASSET_CATEGORIES, ASSET_NUMBERS, "amount_eur")
     rows = build_design(features, ASSET_CATEGORIES, ASSET_NUMBERS, "amount_eur").frame.fillna("none", list(ASSET_CATEGORIES))
     none = spark.createDataFrame([(f"{c}_none", 0.0) for c in ASSET_CATEGORIES], "term string, coef double")
@@ -726,7 +726,7 @@ def _fitted_totals(features: DataFrame, categories, numbers, target: str) -> Dat
     Least squares with a term for every level leaves no residual sum on any of them, so the share
     is one wherever the fit is right.
     """
-    design = build_design(features, categories, numbers, target)
+    design = profiled(build_design(features, categories, numbers, target))
     cells = written_once(gram_stats(design), "gram")
     coefs = ols(design).coefs.select(F.col("term").alias("col_term"), "coef")
     swapped = cells.where("row_term <> col_term").select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetledger.functions.text import as_label
+from fleetledger.session import written_once
 
 CONST = "const"
 
@@ -20,13 +21,14 @@ CONST = "const"
 class Design:
     """Complete rows of categories (one 0/1 term per level), numbers and a target.
 
-    A null category is allowed: it has no term, so all indicators of that column are zero.
+    A null category is allowed: it has no term, so all indicators of that column are zero. ``profile`` is the table of ``profiled``.
     """
 
     frame: DataFrame
     categories: tuple[str, ...]
     numbers: tuple[str, ...]
     target: str
+    profile: DataFrame | None = None
 
 
 def build_design(
@@ -72,12 +74,33 @@ def gram_stats(design: Design) -> DataFrame:
     """
     cats, values = list(design.categories), [*design.numbers, design.target]
     products = [(a, b) for i, a in enumerate(values) for b in values[i:]]
+    profile = design.profile
+    if profile is None:
+        profile = design.frame.groupBy(*cats).agg(F.count("*").alias("n"), *_sums(values, products))
+    return _profile_cells(profile, cats, values, products)
+
+
+def _sums(values: list[str], products: list[tuple[str, str]]) -> list[Column]:
     sums = {f"s{i}": F.col(v) for i, v in enumerate(values)}
     sums |= {f"p{i}": F.col(a) * F.col(b) for i, (a, b) in enumerate(products)}
-    profile = design.frame.groupBy(*cats).agg(
-        F.count("*").alias("n"), *[F.sum(v).alias(name) for name, v in sums.items()]
-    )
-    return _profile_cells(profile, cats, values, products)
+    return [F.sum(v).alias(name) for name, v in sums.items()]
+
+
+def _moments(values: list[str], products: list[tuple[str, str]]) -> list[Column]:
+    means = [F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]
+    return means + [(F.covar_pop(a, b) * F.count("*")).alias(f"c{k}") for k, (a, b) in enumerate(products)]
+
+
+def profiled(design: Design) -> Design:
+    """The design with its table of level combinations, which serves ``gram_stats`` and the fits: counts, sums and sums of products,
+    means and central co-moments of ``level_moments``, from one scan of the rows, written once.
+
+    For rows that are costly to build and read by more than one of them.
+    """
+    cats, values = list(design.categories), [*design.numbers, design.target]
+    products = [(a, b) for i, a in enumerate(values) for b in values[i:]]
+    profile = design.frame.groupBy(*cats).agg(F.count("*").alias("n"), *_sums(values, products), *_moments(values, products))
+    return replace(design, profile=written_once(profile, "level-profile"))
 
 
 def level_moments(design: Design) -> DataFrame:
@@ -89,11 +112,7 @@ def level_moments(design: Design) -> DataFrame:
     """
     cats, values = list(design.categories), [*design.numbers, design.target]
     products = [(a, b) for i, a in enumerate(values) for b in values[i:]]
-    return design.frame.groupBy(*cats).agg(
-        F.count("*").alias("n"),
-        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)],
-        *[(F.covar_pop(a, b) * F.count("*")).alias(f"c{k}") for k, (a, b) in enumerate(products)],
-    )
+    return design.frame.groupBy(*cats).agg(F.count("*").alias("n"), *_moments(values, products))
 
 
 def centred_gram_stats(design: Design, moments: DataFrame) -> tuple[DataFrame, dict[str, float]]:

@@ -357,3 +357,27 @@ def test_predict_whole_rows(spark, design, data):
     assert got[:3] == pytest.approx(want, rel=1e-9) and got[3] is None
     with pytest.raises(PySparkException, match="no term"):
         predict(fit, rows.withColumn("extra", F.lit(1.0)), ["gas"], ["hours", "extra"]).collect()
+
+
+def test_fitted_totals_read_the_features_once(spark):
+    from fleetledger.checks.registry import _fitted_totals
+    from fleetledger.models.design import profiled
+
+    data = [(f"k{i % 3}" if i % 5 else None, float(i % 4), float(i % 7)) for i in range(500)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def tally(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "kind string, size double, cost double"
+    plain = spark.createDataFrame(data, schema)
+    found = _fitted_totals(plain.mapInArrow(tally, schema), ["kind"], ["size"], "cost").collect()
+    assert seen.value == len(data)
+    totals = {f"kind_k{k}": sum(c for kind, _, c in data if kind == f"k{k}") for k in range(3)} | {"const": sum(c for *_, c in data)}
+    assert {r["term"]: r["target_total"] for r in found} == totals and {r["explained"] for r in found} == {1.0}
+    design = build_design(plain, ["kind"], ["size"], "cost")
+    shared = profiled(design)
+    assert sorted(gram_stats(shared).collect()) == sorted(gram_stats(design).collect())
+    assert ols(shared).coefs.collect() == ols(design).coefs.collect()
