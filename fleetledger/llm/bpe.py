@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 _BLOCK = 256  # symbols that are merged at a time, besides the lookahead
 _CACHED = 200_000  # pieces whose tokens a worker keeps
+_SHORT = 64  # symbols up to which merges are made one at a time
 _NEVER = 1 << 60
 _MAX_FILE = 64 << 20
 SCHEMA = "doc_id bigint, ids binary, decoded string"
@@ -74,9 +76,13 @@ class Codec:
         byte_of = {c: b for b, c in enumerate(letters)}
         self.raw = {i: bytes(byte_of[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END) for t, i in vocab.items()}
         self.raw |= {i: t.encode() for t, i in special.items()}
+        self.texts = pa.array(map(self.token.get, range(max(self.token) + 1)), pa.string())
         self._cache: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _merge(self, ids: list[int]) -> list[int]:
+        if len(ids) <= _SHORT:
+            return self._merge_short(ids)
         while len(ids) > 1:
             best = min(map(self.rank.get, zip(ids, ids[1:]), repeat(_NEVER)))
             if best == _NEVER:
@@ -93,6 +99,20 @@ class Codec:
             ids = out
         return ids
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The first pair of the least rank at a time; only the ranks beside it change."""
+        rank, rules, ids = self.rank.get, self.rules, ids[:]
+        ranks = list(map(rank, zip(ids, ids[1:]), repeat(_NEVER)))
+        while ranks and (best := min(ranks)) != _NEVER:
+            i = ranks.index(best)
+            ids[i] = rules[best][2]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), _NEVER)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), _NEVER)
+        return ids
+
     def transduce(self, symbols: Iterable[int]) -> Iterator[int]:
         """Tokens of one piece, given its symbols one by one; a token goes out as soon as it is stable.
 
@@ -115,15 +135,23 @@ class Codec:
     def _piece(self, piece: str) -> bytes:
         found = self._cache.get(piece)
         if found is None:
+            found = self._older.get(piece)
+            if found is not None:
+                self._keep(piece, found)
+                return found
             raw = piece.encode()
             symbols = chain(map(self.inner.__getitem__, raw[:-1]), (self.last[raw[-1]],))
             found = np.fromiter(self.transduce(symbols), "<u4").tobytes()
             if len(raw) <= 64:
-                if len(self._cache) >= _CACHED:
-                    self._cache.clear()
-                self._cache[piece] = found
+                self._keep(piece, found)
         return found
 
+    def _keep(self, piece: str, found: bytes) -> None:
+        # Two halves: what the younger one did not use again goes when it is full, frequent pieces stay.
+        if len(self._cache) >= _CACHED // 2:
+            self._cache, self._older = {}, self._cache
+        self._cache[piece] = found
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         parts = self.split_special(text) if self.split_special else [text]
@@ -138,7 +166,15 @@ class Codec:
 
     def decode(self, ids: bytes) -> str:
         """The token texts with a space between, as a decoder without rules of its own gives them."""
-        return " ".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_all([ids])[0].as_py()
+
+    def decode_all(self, ids: list[bytes]) -> pa.Array:
+        """``decode`` of every entry, as an Arrow array: one look-up of all tokens, one join of each list."""
+        ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
+        tokens = self.texts.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        if tokens.null_count:
+            raise KeyError("an id has no token")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
 
     def stream_text(self, ids: Iterable[int]) -> Iterator[str]:
         """Readable text piece by piece: word ends become spaces, bytes become characters as soon as they are complete.
@@ -184,15 +220,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.codec()
         for batch in batches:
-            size, ids, texts, first = 0, [], [], 0
+            size, ids, first = 0, [], 0
             for row, text in enumerate(batch.column("text")):
                 ids.append(codec.encode(text.as_py() or ""))
-                texts.append(codec.decode(ids[-1]))
-                size += len(texts[-1]) + len(ids[-1])
-                if size > 4 << 20 or row == batch.num_rows - 1:
-                    columns = [batch.column("doc_id")[first : row + 1], pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
+                size += len(ids[-1])
+                if size > 2 << 20 or row == batch.num_rows - 1:
+                    columns = [batch.column("doc_id")[first : row + 1], pa.array(ids, pa.binary()), codec.decode_all(ids)]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
-                    size, ids, texts, first = 0, [], [], row + 1
+                    size, ids, first = 0, [], row + 1
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

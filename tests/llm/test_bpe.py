@@ -107,3 +107,18 @@ def test_odd_rows(spark, rows):
     got = sorted((r.doc_id or 0, len(r.ids), r.decoded) for r in bpe.encode_decode(docs, PATH).collect())
     assert got == [(0, 4, "a</w>"), (1, 0, ""), (1, 0, ""), (2, 0, "")]
     assert bpe.digests(bpe.encode_decode(docs.limit(0), PATH)).collect() == []
+
+
+def test_frequent_pieces_stay_cached_and_short_merges_equal_long_ones(monkeypatch):
+    codec = bpe.Codec(open(PATH, encoding="utf-8").read())
+    made = []
+    transduce = codec.transduce
+    monkeypatch.setattr(bpe, "_CACHED", 10)
+    monkeypatch.setattr(codec, "transduce", lambda symbols: (made.append(symbols), transduce(symbols))[1])
+    words = ["".join(chr(97 + (i * k) % 26) for k in range(1, 12)) + chr(97 + i // 26) for i in range(100)]
+    ids = [codec.encode(f"hello {word}") for word in words]
+    assert len(made) == len({*words}) + 1
+    monkeypatch.setattr(bpe, "_SHORT", 0)
+    fresh = bpe.Codec(open(PATH, encoding="utf-8").read())
+    assert [fresh.encode(f"hello {word}") for word in words] == ids
+    assert codec.decode_all([*ids, b""]).to_pylist() == [*map(codec.decode, ids), ""]
