@@ -32,8 +32,14 @@ PIECE_BREAKS = ".,;:!?\x0a\x0b\x0c\x0d"
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text tokenised at once: bounds a task's Python memory whatever the batch size (a longer single text is one slice).
 SLICE_BYTES = 1 << 20
+#: The same for the text pass: a phrase repeated in a slice is written out once, so larger slices mean fewer rows.
+TEXT_SLICE_BYTES = 4 << 20
 #: n-gram keys counted together before a task sends them on: bounds that buffer (64 MB of keys) whatever the partition's size.
 LOCAL_KEYS = 8 << 20
+#: Keys of one bucket that travel in one row of the shuffle: 10,000 such rows, an Arrow batch, hold 80 MB at most.
+ROW_KEYS = 512
+#: Words of up to this many bytes are hashed in vectors, eight bytes a step; longer ones one by one.
+LONG_WORD = 64
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,66 +61,68 @@ def _byte_classes() -> np.ndarray:
 
 
 _CLASSES = _byte_classes()
+_CLASS_BYTES = _CLASSES.tobytes()
 _LOWER_BYTES = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
-#: Per seed, a random 64-bit value for every byte, drawn from a fixed generator: the tables of the word hash.
-_TABLES = {seed: np.random.default_rng(seed).integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) << np.uint64(1) for seed in (1, 2)}
+#: Per seed, a random 64-bit value for every word length, drawn from a fixed generator: where a word's hash begins.
+_LENGTHS = {seed: np.random.default_rng(seed).integers(0, 2**64, LONG_WORD + 1, dtype=np.uint64) for seed in (1, 2)}
+#: Masks of the first n of eight bytes.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Grams:
     """The words of a batch of documents and the two keys of each of their n-grams, computed on the UTF-8 bytes with numpy.
 
     Pieces end at a break byte and at the end of a document; words are runs of other bytes than separators and breaks, all of them
-    ASCII, so a word never splits a multi-byte character. A word's key sums a table value of each byte mixed with its place in the word.
+    ASCII, so a word never splits a multi-byte character. A word's key starts from its length and absorbs its bytes eight at a time;
+    for a given start each step is one to one in those eight bytes. The second keys are computed only for the n-grams asked for.
     """
 
-    def __init__(self, texts: list, langs: list, max_words: int, seeds: tuple[int, ...] = (1, 2)):
-        raw = [(t or "").encode() for t in texts]
-        sizes = np.array([len(r) for r in raw], np.int64)
-        self.data = b"".join(raw).translate(_LOWER_BYTES)
-        buf = np.frombuffer(self.data, np.uint8)
-        doc_of = np.repeat(np.arange(len(raw)), sizes)
-        kind = _CLASSES[buf]
+    def __init__(self, texts: list, langs: list, max_words: int):
+        raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
+        # a break before and after every text, and so many at the end that eight bytes can be read at any word's last byte
+        self.data = b"\n".join([b"", *raw, b"\n" * 8]).translate(_LOWER_BYTES)
+        self.buf = np.frombuffer(self.data, np.uint8)
+        kind = np.frombuffer(self.data.translate(_CLASS_BYTES), np.int8)
         word = kind == 0
-        same = np.ones(len(buf), bool)
-        if len(buf):
-            same[0] = False
-            same[1:] = doc_of[1:] == doc_of[:-1]
-        begins = word & ~(np.concatenate([[False], word[:-1]]) & same)
-        finishes = word & ~(np.concatenate([word[1:], [False]]) & np.concatenate([same[1:], [False]]))
-        self.starts_at, self.ends_at = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-        self.doc = doc_of[self.starts_at]
-        breaks = np.cumsum(kind == 2)
-        piece = breaks[self.starts_at] + self.doc
-        self.buf = buf
+        edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+        self.starts_at, self.ends_at = edges[::2], edges[1::2]
+        bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
+        self.doc = np.repeat(np.arange(len(raw)), np.diff(np.searchsorted(self.starts_at, bounds)))
+        piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts_at]
         self.langs = ["und" if lang is None else lang for lang in langs]
         names = sorted(set(self.langs))
-        lang_code = np.array([names.index(x) for x in self.langs], np.int64) if self.langs else np.zeros(0, np.int64)
-        self.names, self.lang_code = pa.array(names, pa.string()), lang_code
-        inside_word = np.flatnonzero(word)
-        number = np.cumsum(begins)[inside_word] - 1
-        place = (inside_word - self.starts_at[number]).astype(np.uint64)
-        firsts = np.flatnonzero(begins[inside_word])
-        length = (self.ends_at - self.starts_at).astype(np.uint64)
-        self.keys, self.starts, self.orders = [], [], []
-        for seed in seeds:
-            if len(firsts):
-                parts = _mix(_TABLES[seed][buf[inside_word]], place)
-                words = _mix(np.add.reduceat(parts, firsts), length)
-            else:
-                words = np.zeros(0, np.uint64)
-            table = np.array([xxhash.xxh64_intdigest(x.encode(), seed + 2) for x in names], np.uint64)
-            lang = table[lang_code[self.doc]] if len(self.doc) else np.zeros(0, np.uint64)
-            chain, keys = words, []
-            for order in range(1, max_words + 1):
-                if order > 1:
-                    chain = _mix(chain[:-1], words[order - 1 :])
-                n = len(chain)
-                inside = piece[:n] == piece[order - 1 : order - 1 + n]
-                keys.append(_mix(chain[inside], lang[:n][inside] ^ np.uint64(order)))
-                if seed == 1:
-                    self.starts.append(np.flatnonzero(inside))
-                    self.orders.append(order)
-            self.keys.append(keys)
+        code = {x: i for i, x in enumerate(names)}
+        self.names, self.lang_code = pa.array(names, pa.string()), np.array([code[x] for x in self.langs], np.int64)
+        self.orders = list(range(1, max_words + 1))
+        words, lang = self._words(1), self._lang_keys(1)
+        self.keys, self.starts = [], []
+        chain = words
+        for order in self.orders:
+            if order > 1:
+                chain = _mix(chain[:-1], words[order - 1 :])
+            at = np.flatnonzero(piece[: len(chain)] == piece[order - 1 :])
+            self.keys.append(_mix(chain[at], lang[at] ^ np.uint64(order)))
+            self.starts.append(at)
+
+    def _words(self, seed: int) -> np.ndarray:
+        """A key of every word."""
+        size = self.ends_at - self.starts_at
+        eight = np.ndarray(max(len(self.data) - 7, 0), "<u8", self.data, strides=(1,))  # the eight bytes at every place
+        keys = _mix(_LENGTHS[seed][np.minimum(size, LONG_WORD)], eight[self.starts_at] & _FIRST_BYTES[np.minimum(size, 8)])
+        rest = np.flatnonzero(size > 8)
+        for k in range(8, LONG_WORD, 8):
+            rest = rest[size[rest] > k]
+            if not len(rest):
+                break
+            keys[rest] = _mix(keys[rest], eight[self.starts_at[rest] + k] & _FIRST_BYTES[np.minimum(size[rest] - k, 8)])
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            keys[i] = xxhash.xxh64_intdigest(self.data[self.starts_at[i] : self.ends_at[i]], seed)
+        return keys
+
+    def _lang_keys(self, seed: int) -> np.ndarray:
+        """A key of the language of every word."""
+        table = np.array([xxhash.xxh64_intdigest(x.encode(), seed + 2) for x in self.names.to_pylist()], np.uint64)
+        return table[self.lang_code[self.doc]]
 
     def texts(self, firsts: np.ndarray, order: int) -> pa.Array:
         """The phrases of ``order`` words beginning at each word of ``firsts``, as one string array built from the bytes.
@@ -136,61 +144,112 @@ class Grams:
         return out.cast(pa.string())
 
     def first(self) -> np.ndarray:
-        return np.concatenate(self.keys[0]).view(np.int64) if self.keys[0] else np.zeros(0, np.int64)
+        return np.concatenate(self.keys).view(np.int64)
 
-    def phrases(self, wanted: np.ndarray | None) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    def phrases(self, wanted: Wanted | None) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
         """(lang, phrase, count, first key) of the n-grams whose first key is in ``wanted`` (all for None).
 
         Hits are sorted by the first key alone; a row ends where either key changes. Two phrases sharing a first key thus never share a
         row, and if their hits interleave one phrase gives several rows, which the grouping by text afterwards adds up.
         """
         langs, texts, counts, firsts = [], [], [], []
-        for ka, kb, starts, order in zip(self.keys[0], self.keys[1], self.starts, self.orders):
-            if wanted is None:
-                hit = np.ones(len(ka), bool)
-            else:
-                signed = ka.view(np.int64)
-                at_ = np.minimum(np.searchsorted(wanted, signed), max(len(wanted) - 1, 0))
-                hit = wanted[at_] == signed if len(wanted) else np.zeros(len(ka), bool)
-            if not hit.any():
-                continue
-            a, b, at = ka[hit], kb[hit], starts[hit]
+        words, lang = self._words(2), self._lang_keys(2)
+        for keys, starts, order in zip(self.keys, self.starts, self.orders):
+            a, at = keys.view(np.int64), starts
+            if wanted is not None:
+                likely = wanted.likely(keys)
+                a, at = a[likely], at[likely]
             order_ = np.argsort(a)
-            a, b, at = a[order_], b[order_], at[order_]
+            a, at = a[order_], at[order_]
+            if wanted is not None:
+                hit = wanted.among(a)
+                a, at = a[hit], at[hit]
+            if not len(a):
+                continue
+            b = words[at]
+            for k in range(1, order):
+                b = _mix(b, words[at + k])
+            b = _mix(b, lang[at] ^ np.uint64(order))
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             first = np.flatnonzero(new)
             langs.append(self.names.take(pa.array(self.lang_code[self.doc[at[first]]])))
             texts.append(self.texts(at[first], order))
             counts.append(np.diff(np.append(first, len(a))).astype(np.int64))
-            firsts.append(a[first].view(np.int64))
+            firsts.append(a[first])
         if not firsts:
             return pa.array([], pa.string()), pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return pa.concat_arrays(langs), pa.concat_arrays(texts), np.concatenate(counts), np.concatenate(firsts)
 
 
-def _grams(max_words: int, seeds: tuple[int, ...] = (1, 2)):
-    """Grams of the slices of a batch, each holding at most ``SLICE_BYTES`` of text (or one longer text)."""
+class Wanted:
+    """Sorted keys, and a table of their leading bits that rules out most others before the search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = min(24, max(10, (8 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[self._place(keys.view(np.uint64))] = True
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> self.shift).view(np.int64)
+
+    def likely(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys that may be wanted."""
+        return np.flatnonzero(self.table[self._place(keys)])
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """Which of ``keys`` (sorted) are wanted."""
+        if not len(self.keys) or not len(keys):
+            return np.zeros(len(keys), bool)
+        first = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+        distinct = keys[first[:-1]]
+        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        return np.repeat(self.keys[at] == distinct, np.diff(first))
+
+
+def _grams(max_words: int, slice_bytes: int = SLICE_BYTES):
+    """Grams of the slices of a batch, each holding at most ``slice_bytes`` of text (or one longer text)."""
+
+    def part(batch: pa.RecordBatch) -> Grams:
+        return Grams(batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_lang").to_pylist(), max_words)
 
     def of(batch: pa.RecordBatch) -> Iterator[Grams]:
         sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, size in enumerate(sizes):
-            if held and held + size > SLICE_BYTES:
-                part = batch.slice(start, i - start)
-                yield Grams(part.column("_text").to_pylist(), part.column("_lang").to_pylist(), max_words, seeds)
+            if held and held + size > slice_bytes:
+                yield part(batch.slice(start, i - start))
                 start, held = i, 0
             held += int(size)
         if start < batch.num_rows:
-            part = batch.slice(start)
-            yield Grams(part.column("_text").to_pylist(), part.column("_lang").to_pylist(), max_words, seeds)
+            yield part(batch.slice(start))
 
     return of
 
 
-def _counted(keys: np.ndarray, parts: int) -> pa.RecordBatch:
-    unique, counts = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(counts.astype(np.int64))], ["h", "cnt"])
+def _counted(held: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """The counts of the keys in ``held``, which is emptied: rows of up to ``ROW_KEYS`` keys of one bucket and their counts, as little-endian
+    64-bit numbers end to end."""
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    bucket = np.mod(keys, parts)
+    order = np.argsort(bucket.astype(np.uint16) if parts <= 1 << 16 else bucket, kind="stable")
+    bucket, keys, counts = bucket[order], keys[order], counts[order]
+    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begins, len(bucket)))
+    rows = -(-sizes // ROW_KEYS)
+    cuts = np.repeat(begins, rows) + ROW_KEYS * (np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows))
+    offsets = pa.py_buffer((8 * np.append(cuts, len(keys))).astype(np.int64))
+    packed = [pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, offsets, pa.py_buffer(x.astype("<i8", copy=False))]) for x in (keys, counts)]
+    buckets = pa.array(bucket[cuts].astype(np.int32))
+    for i in range(0, len(cuts), 2048):
+        yield pa.RecordBatch.from_arrays([buckets.slice(i, 2048), *(x.slice(i, 2048).cast(pa.binary()) for x in packed)], ["bucket", "keys", "counts"])
 
 
 def _merge(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +271,7 @@ def misra_gries(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, weights:
     return keys[keep], counts[keep], cut
 
 
-def _summaries(capacity: dict[int, int], threshold: int, parts: int, buffer_rows: int = 1 << 20):
+def _summaries(capacity: dict[int, int], threshold: int, buffer_rows: int = 1 << 20):
     """Misra-Gries summaries of the buckets of a partition. Batches are buffered per bucket and merged once the buffer holds as many
     rows as the summary may (at least ``buffer_rows``), so a merge's sort is paid once per capacity's worth of input."""
 
@@ -230,15 +289,9 @@ def _summaries(capacity: dict[int, int], threshold: int, parts: int, buffer_rows
                 held[key] = (keys, counts, lost + cut)
 
         for batch in batches:
-            h, cnt = batch.column("h").to_numpy(), batch.column("cnt").to_numpy()
-            bucket = np.mod(h, parts)
-            order = np.argsort(bucket, kind="stable")
-            bucket, h, cnt = bucket[order], h[order], cnt[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])):
-                key = int(bucket[a])
-                waiting.setdefault(key, []).append((h[a:b], cnt[a:b]))
-                sizes[key] = sizes.get(key, 0) + int(b - a)
+            for key, h, cnt in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
+                waiting.setdefault(key, []).append((np.frombuffer(h, "<i8"), np.frombuffer(cnt, "<i8")))
+                sizes[key] = sizes.get(key, 0) + len(h) // 8
                 if sizes[key] >= max(capacity[key], buffer_rows):
                     absorb(key)
         for key in list(waiting):
@@ -259,13 +312,13 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grams, first_keys = _grams(max_words), _grams(max_words, (1,))
+    grams, texts_of = _grams(max_words), _grams(max_words, TEXT_SLICE_BYTES)
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Pass one needs only how many keys fall in each bucket.
         held = np.zeros(parts, np.int64)
         for batch in batches:
-            for g in first_keys(batch):
+            for g in grams(batch):
                 held += np.bincount(np.mod(g.first(), parts), minlength=parts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(held)], ["bucket", "m"])
 
@@ -273,20 +326,20 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
         # Keys of several slices are counted together, up to LOCAL_KEYS at once: repeats across a task's slices leave as one row.
         held, size = [], 0
         for batch in batches:
-            for g in first_keys(batch):
+            for g in grams(batch):
                 held.append(g.first())
                 size += len(held[-1])
                 if size >= LOCAL_KEYS:
-                    yield _counted(np.concatenate(held), parts)
-                    held, size = [], 0
+                    yield from _counted(held, parts)
+                    size = 0
         if held:
-            yield _counted(np.concatenate(held), parts)
+            yield from _counted(held, parts)
 
     masses_of = rows.mapInArrow(masses, "bucket int, m bigint").groupBy("bucket").agg(F.sum("m").alias("m"))
     capacity = {r["bucket"]: r["m"] // threshold + 1 for r in masses_of.collect()}
     # A bucket is the key modulo ``parts``; all of a bucket's rows meet in one task, where its summary is built.
-    counted = rows.mapInArrow(local, "h bigint, cnt bigint")
-    survivors = counted.repartition(parts, F.pmod("h", F.lit(parts))).mapInArrow(_summaries(capacity, threshold, parts), "h bigint")
+    counted = rows.mapInArrow(local, "bucket int, keys binary, counts binary")
+    survivors = counted.repartition(parts, "bucket").mapInArrow(_summaries(capacity, threshold), "h bigint")
     keys = written_once(survivors, "frequent-keys")
     n_keys = keys.count()
     wanted = None
@@ -294,9 +347,10 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
         wanted = spark.sparkContext.broadcast(np.sort(keys.toArrow().column("h").to_numpy()))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = None if wanted is None else Wanted(wanted.value)
         for batch in batches:
-            for g in grams(batch):
-                langs, texts, counts, firsts = g.phrases(None if wanted is None else wanted.value)
+            for g in texts_of(batch):
+                langs, texts, counts, firsts = g.phrases(among)
                 columns = [langs, texts, pa.array(counts), pa.array(firsts)]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "cnt", "h"])
 

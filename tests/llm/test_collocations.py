@@ -88,3 +88,29 @@ def test_phrase_texts_collapse_separator_runs_and_keep_utf8():
     assert got[("de", "Ärger im büro")] == 1 and got[("und", "Ärger im büro")] == 1
     assert got[("de", "x")] == 1 and got[("de", "Ärger im")] == 1 and got[("und", "im büro")] == 1
     assert sum(got.values()) == 6 + 1 + 6
+
+
+def test_local_counts_travel_in_rows_of_one_bucket():
+    keys = np.random.default_rng(4).integers(-20_000, 20_000, 60_000)
+    held = [keys[:100], keys[100:]]
+    got, rows = collections.Counter(), 0
+    for batch in collocations._counted(held, 7):
+        for bucket, h, cnt in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
+            h, rows = np.frombuffer(h, "<i8"), rows + 1
+            assert 0 < len(h) <= collocations.ROW_KEYS and (np.mod(h, 7) == bucket).all()
+            got.update(dict(zip(h.tolist(), np.frombuffer(cnt, "<i8").tolist())))
+    assert got == collections.Counter(keys.tolist()) and not held
+    assert rows <= len(got) / collocations.ROW_KEYS + 7
+    assert list(collocations._counted([keys[:0]], 7)) == []
+
+
+def test_words_of_every_length_have_their_own_keys():
+    """Around each step of eight bytes and the length from which words are hashed one by one; a wanted key finds its phrase only."""
+    words = [c * n + end for c in "ab" for n in range(80) for end in ("x", "y", "é")]
+    g = collocations.Grams([" . ".join(words), None, " . ".join(words[::-1])], ["en", "en", "en"], 2)
+    assert len(set(g.first().tolist())) == len(set(words))
+    for pick in ("ay", "a" * 70 + "x", "b" * 63 + "é"):
+        (key,) = set(collocations.Grams([pick], ["en"], 1).first().tolist())
+        langs, texts, counts, firsts = g.phrases(collocations.Wanted(np.array([key])))
+        assert (texts.to_pylist(), counts.tolist(), firsts.tolist()) == ([pick], [2 * words.count(pick)], [key])
+    assert len(g.phrases(collocations.Wanted(np.zeros(0, np.int64)))[0]) == 0
