@@ -24,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetledger.llm.hasharrays import HashArrays, write_arrays
 from fleetledger.session import written_once
 
 #: Fixed values of the method: piece breaks and word separators.
 PIECE_BREAKS = ".,;:!?\x0a\x0b\x0c\x0d"
-#: Survivors that may be sent to every task whole; beyond, the text pass meets them by a shuffle join.
+#: Survivors that may be sent to every task whole; beyond, the text pass looks them up in sorted arrays in the shared folder.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text tokenised at once: bounds a task's Python memory whatever the batch size (a longer single text is one slice).
 SLICE_BYTES = 1 << 20
@@ -199,14 +200,30 @@ class Wanted:
         """Places of the keys that may be wanted."""
         return np.flatnonzero(self.table[self._place(keys)])
 
+    def _known(self, distinct: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(distinct), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)] == distinct
+
     def among(self, keys: np.ndarray) -> np.ndarray:
         """Which of ``keys`` (sorted) are wanted."""
-        if not len(self.keys) or not len(keys):
-            return np.zeros(len(keys), bool)
+        if not len(keys):
+            return np.zeros(0, bool)
         first = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
-        distinct = keys[first[:-1]]
-        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        return np.repeat(self.keys[at] == distinct, np.diff(first))
+        return np.repeat(self._known(keys[first[:-1]]), np.diff(first))
+
+
+class StoredWanted(Wanted):
+    """The same for keys in sorted arrays of the shared folder, whose files a task maps shard by shard."""
+
+    def __init__(self, arrays: HashArrays):
+        self.arrays = arrays
+
+    def likely(self, keys: np.ndarray) -> np.ndarray:
+        return np.arange(len(keys))
+
+    def _known(self, distinct: np.ndarray) -> np.ndarray:
+        return self.arrays.lookup(distinct, [])[0]
 
 
 def _grams(max_words: int, slice_bytes: int = SLICE_BYTES):
@@ -342,12 +359,14 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     survivors = counted.repartition(parts, "bucket").mapInArrow(_summaries(capacity, threshold), "h bigint")
     keys = written_once(survivors, "frequent-keys")
     n_keys = keys.count()
-    wanted = None
+    wanted = stored = None
     if n_keys <= BROADCAST_ROWS:
         wanted = spark.sparkContext.broadcast(np.sort(keys.toArrow().column("h").to_numpy()))
+    else:
+        stored = write_arrays(keys.withColumnRenamed("h", "key"), "frequent-arrays")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        among = None if wanted is None else Wanted(wanted.value)
+        among = StoredWanted(stored) if wanted is None else Wanted(wanted.value)
         for batch in batches:
             for g in texts_of(batch):
                 langs, texts, counts, firsts = g.phrases(among)
@@ -355,8 +374,6 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "cnt", "h"])
 
     found = rows.mapInArrow(named, "lang string, phrase string, cnt bigint, h bigint")
-    if wanted is None:  # too many survivors to send whole: every distinct n-gram of a partition meets them by a shuffle join
-        found = found.join(keys, "h", "left_semi")
     total = found.groupBy("lang", "phrase").agg(F.sum("cnt").alias("f")).where(F.col("f") >= threshold)
     return total.withColumn("words", F.size(F.split("phrase", " ")))
 

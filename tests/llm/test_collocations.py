@@ -114,3 +114,13 @@ def test_words_of_every_length_have_their_own_keys():
         langs, texts, counts, firsts = g.phrases(collocations.Wanted(np.array([key])))
         assert (texts.to_pylist(), counts.tolist(), firsts.tolist()) == ([pick], [2 * words.count(pick)], [key])
     assert len(g.phrases(collocations.Wanted(np.zeros(0, np.int64)))[0]) == 0
+
+
+def test_more_survivors_than_are_sent_whole(spark, monkeypatch):
+    """Beyond the bound only survivors' texts are written out, not every n-gram's, and the counts are the same."""
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 0)
+    texts = [("New York is big. New York City hall", "en"), ("the new york times; NEW YORK city", None)] * 12 + [(f"once{i} only{i}", "en") for i in range(50)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    assert {tuple(r) for r in collocations.collocations(docs.repartition(3)).collect()} == brute(texts, top=2000)
+    plan = collocations.frequent(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
