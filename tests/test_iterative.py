@@ -1,5 +1,7 @@
 """Conjugate gradients (CGLS): the smallest-norm least-squares solution without a Gram matrix, past MAX_TERMS."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,7 +10,7 @@ from fleetledger.models import iterative
 from fleetledger.models.design import build_design
 from fleetledger.models.iterative import ols_cg
 from fleetledger.models.regress import MAX_TERMS, ols
-from fleetledger.session import written_once
+from fleetledger.session import scratch_path, written_once
 
 
 def _coefs(fit):
@@ -83,3 +85,61 @@ def test_passes_read_merged_rows_of_term_numbers(spark, monkeypatch):
 def test_numbers_without_categories(spark):
     frame = spark.createDataFrame([(1.0, 3.0), (2.0, 5.0), (2.0, 5.0), (4.0, 9.0)], "x double, y double")
     assert _coefs(ols_cg(build_design(frame, [], ["x"], "y"))) == pytest.approx({"x": 2.0, "const": 1.0})
+
+
+def _by_tables(monkeypatch, spark, data, schema, cats, numbers, **options):
+    """The fit with no vector over the terms on the driver, and the folders it left."""
+    made = []
+
+    def noted(session, name):
+        made.append(scratch_path(session, name))
+        return made[-1]
+
+    monkeypatch.setattr(iterative, "DRIVER_TERMS", 0)
+    monkeypatch.setattr(iterative, "scratch_path", noted)
+    fit = ols_cg(build_design(spark.createDataFrame(data, schema).repartition(3), cats, numbers, "y"), **options)
+    assert made and not any(os.path.exists(path) for path in made)
+    return fit
+
+
+def test_vectors_as_tables_agree_with_the_gram_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [
+        (str(a) if a else None, str(b), str(b % 2), float(v), float(w), float(3 * a - b + 2 * v + e))
+        for a, b, v, w, e in zip(rng.integers(0, 4, 400), rng.integers(0, 6, 400), rng.normal(3, 1, 400), rng.integers(0, 4, 400), rng.normal(0, 1, 400))
+    ]
+    schema = "g string, h string, half string, v double, w double, y double"
+    # ``half`` follows from ``h``: the design lacks rank in more than the constant.
+    for cats, numbers in ((["g", "h", "half"], ["v", "w"]), (["g"], ["v"])):
+        want = ols(build_design(spark.createDataFrame(data, schema), cats, numbers, "y"))
+        fit = _by_tables(monkeypatch, spark, data, schema, cats, numbers, tol=1e-12)
+        assert _coefs(fit) == pytest.approx(_coefs(want), rel=1e-6, abs=1e-7)
+        assert fit.coefs.count() == want.coefs.count() and fit.coefs.dtypes == want.coefs.dtypes
+        assert fit.intercept == pytest.approx(want.intercept, rel=1e-6) and fit.r2 == pytest.approx(want.r2, rel=1e-9) and fit.n == 400
+        assert all(r["std_err"] is None and r["t"] is None for r in fit.coefs.collect())
+
+
+def test_vectors_as_tables_fit_many_levels(spark, monkeypatch):
+    levels = 5 * MAX_TERMS
+    rng = np.random.default_rng(6)
+    shop = np.concatenate([np.arange(levels), rng.integers(0, levels, levels)])
+    y = rng.normal(0, 1, len(shop)) + shop % 7
+    fit = _by_tables(monkeypatch, spark, pd.DataFrame({"shop": [f"s{i}" for i in shop], "y": y}), "shop string, y double", ["shop"], [], tol=1e-12)
+    means = pd.Series(y).groupby(shop).mean()
+    const = means.sum() / (levels + 1)
+    got = _coefs(fit)
+    assert len(got) == levels + 1 and got["const"] == pytest.approx(const, rel=1e-8)
+    assert [got[f"shop_s{i}"] for i in means.index] == pytest.approx(list(means - const), abs=1e-8)
+
+
+def test_odd_designs_by_tables(spark, monkeypatch):
+    monkeypatch.setattr(iterative, "DRIVER_TERMS", 0)
+    with pytest.raises(ValueError, match="no rows"):
+        ols_cg(build_design(spark.createDataFrame([], "g string, y double"), ["g"], [], "y"))
+    with pytest.raises(ArithmeticError, match="in 1 iterations"):
+        data = [("a", 1.0), ("a", 2.0), ("b", 5.0), ("c", 7.0), ("c", 1.0), ("c", 4.0)]
+        ols_cg(build_design(spark.createDataFrame(data, "g string, y double"), ["g"], [], "y"), max_iter=1)
+    only_null = [(None, 1.0), (None, 3.0)]
+    assert _coefs(_by_tables(monkeypatch, spark, only_null, "g string, y double", ["g"], [])) == pytest.approx({"const": 2.0})
+    numbers = [(1.0, 3.0), (2.0, 5.0), (4.0, 9.0)]
+    assert _coefs(ols_cg(build_design(spark.createDataFrame(numbers, "x double, y double"), [], ["x"], "y"))) == pytest.approx({"x": 2.0, "const": 1.0})
